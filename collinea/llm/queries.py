@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from collinea.llm import decontamination, quality_rules, sentencepieces, sharding, url_filters
+from collinea.llm import decontamination, line_dedup, ngram_jaccard, quality_rules, sentencepieces, sharding, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_digests(table(spark, sf_dir, "documents"), piece_model())
 
@@ -29,6 +33,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -86,8 +94,10 @@ FROM p LEFT JOIN b ON p.host = b.host AND p.path = b.path"""
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_sentencepiece": op2_sentencepiece,
         "op4_sharding": op4_sharding,
+        "op7_line_dedup": op7_line_dedup,
         "op8_decontamination": op8_decontamination,
         "op9_url_filters": op9_url_filters,
         "op10_quality_rules": op10_quality_rules,

@@ -180,7 +180,7 @@ def encode(docs: DataFrame, model_path: str, spans: bool = True) -> DataFrame:
                     for column, value in zip(columns, found):
                         column.append(value.astype(np.int32))
                 part = batch.slice(lo, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, pa.list_(pa.int32())) for c in columns)], [*part.schema.names, *extra])
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(_packed, columns)], [*part.schema.names, *extra])
 
     return base.mapInArrow(run, schema)
 
@@ -202,13 +202,20 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
-def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """Round trip of every text inside one pass: counts, span check and digests, no id columns.
+def _packed(lists: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists).astype(np.int32)))
 
-    ``n_span_bytes`` is the number of source bytes that the pieces' spans cover.
+
+def encode_digests(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
+    """Round trip of every text inside one pass: counts, span check and digests.
+
+    ``n_span_bytes`` is the number of source bytes that the pieces' spans cover; ``with_ids``
+    adds the ids themselves.
     """
     held = _model(docs.sparkSession, model_path)
     built: list[Encoder] = []
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_span_bytes", *(["piece_ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:
@@ -217,16 +224,17 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
         digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in batches:
             for lo, texts in _texts(batch):
-                rows = []
+                rows, kept = [], []
                 for text in texts:
                     ids, origin = coder.encode(text)
                     begin, end = coder.spans(text, ids, origin)
+                    if with_ids:
+                        kept.append(ids)
                     ids = ids.tolist()
                     rows.append((len(ids), digest(",".join(map(coder.decimal.__getitem__, ids))), digest(coder.decode(ids)), int((end - begin).sum())))
                 n, ids_sha, decoded_sha, covered = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, len(texts)), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha), pa.array(covered, pa.int64())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_span_bytes"],
-                )
+                columns = [batch.column("doc_id").slice(lo, len(texts)), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha), pa.array(covered, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *([_packed(kept)] if with_ids else [])], names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_span_bytes long")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_span_bytes long" + ", piece_ids array<int>" * with_ids
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
