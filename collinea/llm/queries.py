@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from collinea.llm import decontamination, line_dedup, ngram_jaccard, quality_rules, sentencepieces, sharding, url_filters
+from collinea.llm import decontamination, line_dedup, ngram_jaccard, quality_rules, sentencepieces, sharding, suffix_dedup, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -97,6 +101,7 @@ def queries() -> dict[str, Query]:
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_sentencepiece": op2_sentencepiece,
         "op4_sharding": op4_sharding,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_line_dedup": op7_line_dedup,
         "op8_decontamination": op8_decontamination,
         "op9_url_filters": op9_url_filters,
