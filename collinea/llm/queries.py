@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from collinea.llm import decontamination, line_dedup, ngram_jaccard, quality_rules, sentencepieces, sharding, suffix_dedup, url_filters
+from collinea.llm import decontamination, html_extraction, line_dedup, ngram_jaccard, quality_rules, sentencepieces, sharding, suffix_dedup, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,10 +29,20 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.fit_on(docs, toxicity.severity_grades(labels), [0, 1, 2]))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extraction.extract(pages, html_extraction.fit_on(pages))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -100,7 +110,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_toxicity": op3_toxicity,
         "op4_sharding": op4_sharding,
+        "op5_html_extraction": op5_html_extraction,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_line_dedup": op7_line_dedup,
         "op8_decontamination": op8_decontamination,
