@@ -101,9 +101,10 @@ def _dealt(rows: DataFrame, limit: int) -> DataFrame:
     parted = numbered.withColumn("part", part).withColumn("per_part", per_part)
     size = F.least(F.col("per_part"), F.col("shard_docs") - F.col("part") * F.col("per_part"))
     return (
-        parted.withColumn("shard", F.concat("shard", F.lit("."), F.col("part").cast("string")))
-        .withColumn("shard_docs", size)
-        .withColumn("shard_bytes", size * F.col("n_bytes"))
+        parted.withColumn("size", size)
+        .withColumn("shard", F.concat("shard", F.lit("."), F.col("part").cast("string")))
+        .withColumn("shard_docs", F.col("size"))
+        .withColumn("shard_bytes", F.col("size") * F.col("n_bytes"))
         .withColumn("over_limit", F.col("shard_bytes") > limit)
     )
 
