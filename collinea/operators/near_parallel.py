@@ -4,8 +4,8 @@
 meant for small matrices and as the yardstick. ``blocked`` turns the search into equi-joins:
 
 * long rows: columns are dealt into 2d groups. A pair that differs in at most d places agrees
-  in d groups at least, where both rows have one signature (values over the group's first
-  value, on a grid). Rows meet under each choice of d groups.
+  in d groups at least, where both rows have one signature (values over the first of them, on
+  a grid). Rows meet under each choice of d groups.
 * short rows: every way to delete or blank at most d cells gives a variant; rows meet under
   equal variants.
 
@@ -77,11 +77,17 @@ def block_signatures(cells: DataFrame, groups: int, group: Column | None = None)
     return placed.select("r", F.size("cells").cast("long").alias("nnz"), blocks.alias("blocks"))
 
 
-def long_row_keys(cells: DataFrame, d: int, groups: int, small: int) -> DataFrame:
-    """(key, r, nnz): a key for each choice of groups - d groups, of rows with more than ``small`` cells."""
-    rows = block_signatures(cells, groups).filter(F.col("nnz") > small)
-    masks = list(combinations(range(groups), groups - d))
-    keys = F.array(*(F.xxhash64(F.lit(k), *(F.get("blocks", F.lit(g)) for g in mask)) for k, mask in enumerate(masks)))
+def long_row_keys(cells: DataFrame, d: int, groups: int, small: int, group: Column | None = None) -> DataFrame:
+    """(key, r, nnz): a key for each choice of groups - d groups, of rows with more than ``small`` cells.
+
+    The cells of all chosen groups are scaled by one value, the first of them: rows that agree
+    in these groups agree at one factor, so this key is stricter than a signature for each
+    group, and as complete. A choice without cells has the empty signature.
+    """
+    rule = (F.pmod(F.xxhash64("c"), F.lit(groups)) if group is None else group).cast("long")
+    rows = cells.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("c", "v", rule.alias("grp")))).alias("cells")).withColumn("nnz", F.size("cells").cast("long")).filter(F.col("nnz") > small)
+    chosen = lambda mask: F.filter("cells", lambda cell: cell["grp"].isin(list(mask)))
+    keys = F.array(*(F.xxhash64(F.lit(k), signature(chosen(mask))) for k, mask in enumerate(combinations(range(groups), groups - d))))
     return rows.select(F.explode(keys).alias("key"), "r", "nnz")
 
 
