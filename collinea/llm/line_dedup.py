@@ -32,6 +32,8 @@ from collinea.llm.graphs import linked_groups
 THRESHOLD = 2
 MIN_BYTES = 20
 BLOCK_ENTRIES = 750_000
+#: classes of byte values whose counts are compared before two lines are
+CLASSES = 16
 #: bits of the table through which candidate lines are fetched: 4 MB, whatever the input
 TABLE_BITS = 1 << 25
 
@@ -174,22 +176,21 @@ def _shared_keys(docs: DataFrame, blocks: int, threshold: int, least: int) -> Da
         if held:
             yield flush()
 
-    names = ["token", "leader", "size_leader", "side_leader", "doc", "size", "side"]
+    names = ["token", *(f"{c}_{end}" for end in ("first", "last") for c in ("doc", "size", "side")), "doc", "size", "side"]
 
     def meet(block: pa.Table) -> pa.Table:
         token, doc, size, side = (np.frombuffer(b"".join(block.column(name).to_pylist()), ENTRY[name]) for name in ENTRY.names)
         order = np.lexsort((doc, token))
         token, doc, size, side = token[order], doc[order], size[order], side[order]
-        new = np.append(True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])) if len(token) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        if len(at):
-            token, doc, size, side = token[at], doc[at], size[at], np.bitwise_or.reduceat(side, at)
+        at = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])))
+        token, doc, size, side = token[at], doc[at], size[at], np.bitwise_or.reduceat(side, at)
         new = np.append(True, token[1:] != token[:-1])
         group = np.cumsum(new) - 1
-        keep = np.flatnonzero(np.bincount(group)[group] > 1) if len(token) else np.zeros(0, np.int64)
-        lead = np.flatnonzero(new)[group[keep]]
-        columns = [token[keep].view(np.int64), doc[lead], size[lead], side[lead], doc[keep], size[keep], side[keep]]
-        return pa.table([pa.array(c.astype(np.int64)) for c in columns], names)
+        keep = np.flatnonzero(np.bincount(group)[group] > 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(token)) - 1
+        columns = [token.view(np.int64), *(x for at in (first, last) for x in (doc[at][group], size[at][group], side[at][group])), doc, size, side]
+        return pa.table([pa.array(c[keep].astype(np.int64)) for c in columns], names)
 
     dealt = docs.select("text").mapInArrow(deal, "block int, token binary, doc binary, size binary, side binary")
     return dealt.groupBy("block").applyInArrow(meet, ", ".join(f"{name} long" for name in names))
@@ -219,6 +220,25 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     return found.groupBy("doc").agg(F.min("content").alias("content")).join(wanted, "doc", "left_semi")
 
 
+def _bags(texts: DataFrame) -> DataFrame:
+    """(doc, b0, ...): counts of byte classes of each line, four to a word, modulo 2**16."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.array([np.bincount(np.frombuffer(x.as_buffer(), np.uint8) % CLASSES, minlength=CLASSES) for x in batch.column("content")], np.int64).reshape(-1, CLASSES)
+            words = np.ascontiguousarray((counts & 0xFFFF).astype("<u2")).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(np.ascontiguousarray(w)) for w in words.T)], ["doc", *(f"b{k}" for k in range(CLASSES // 4))])
+
+    return texts.mapInArrow(run, "doc long, " + ", ".join(f"b{k} long" for k in range(CLASSES // 4)))
+
+
+def _bag_distance(x: str, y: str) -> str:
+    """Summed differences of the class counts: an edit changes it by two at most."""
+    lane = lambda side, k: f"(shiftright(b{k // 4}{side}, {16 * (k % 4)}) & 65535)"
+    gaps = [f"abs({lane(x, k)} - {lane(y, k)})" for k in range(CLASSES)]
+    return " + ".join(f"least({gap}, 65536 - {gap})" for gap in gaps)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     joined = pairs.join(texts.select(F.col("doc").alias("a"), F.col("content").alias("x")), "a").join(texts.select(F.col("doc").alias("b"), F.col("content").alias("y")), "b")
 
@@ -244,7 +264,8 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN
     texts = cut(_line_texts(docs, postings.select("doc").distinct(), least), "line-texts")
     close = lambda x, y: F.abs(F.col(f"size{x}") - F.col(f"size{y}")) <= threshold
     sides = lambda x, y: F.expr(f"((side{x} & 1) > 0 and (side{y} & 2) > 0 and size{x} <= size{y}) or ((side{x} & 2) > 0 and (side{y} & 1) > 0 and size{y} <= size{x})")
-    groups = linked_groups(postings, ["size", "side"], close, lambda x, y: close(x, y) & sides(x, y), lambda pairs: _verified(pairs, texts, threshold))
+    alike = lambda x, y: F.expr(f"{_bag_distance(x, y)} <= {2 * threshold}")
+    groups = linked_groups(postings, ["size", "side"], close, lambda x, y: close(x, y) & sides(x, y) & alike(x, y), lambda pairs: _verified(pairs, texts, threshold), _bags(texts))
 
     first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n"))
     named = first.join(groups.withColumnRenamed("node", "line"), "line", "left").withColumn("class", F.coalesce("component", "line"))
