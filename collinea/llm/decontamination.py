@@ -185,6 +185,15 @@ def _blocks(items: DataFrame, block_bytes: int) -> list[list[tuple[object, str]]
     return blocks
 
 
+def _covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
+    """Whether each of ``n`` words lies in a span; the spans may nest, overlap and repeat."""
+    change = np.zeros(n + 1, np.int64)
+    for a, b in spans:
+        change[a] += 1
+        change[b] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
 def _scan(docs: DataFrame, items: list[tuple[object, str]], window: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(items)
     built: list[ItemMatcher] = []
@@ -196,15 +205,15 @@ def _scan(docs: DataFrame, items: list[tuple[object, str]], window: int) -> Data
             for chunk in chunks(batch, "text"):
                 n_words, hits, (_, _, row) = built[0].match(chunk)
                 base = np.concatenate([[0], np.cumsum(n_words)])
+                hit = _covered([(a, b) for _, a, b, _ in hits], len(row))
+                border = np.append(True, row[1:] != row[:-1])[: len(row)]
+                first = np.flatnonzero(hit & (border | ~np.append(False, hit)[:-1]))
+                until = np.flatnonzero(hit & (np.append(border[1:], True)[: len(row)] | ~np.append(hit[1:], False)[: len(row)])) + 1
                 spans: list[list[dict]] = [[] for _ in range(chunk.rows)]
                 names: list[set[str]] = [set() for _ in range(chunk.rows)]
-                for r, a, b, item in hits:
-                    a, b = int(a - base[r]), int(b - base[r])
-                    if spans[r] and a <= spans[r][-1]["until"]:
-                        # ends never fall; a short item may start before the span it joins
-                        spans[r][-1] = {"first": min(a, spans[r][-1]["first"]), "until": max(b, spans[r][-1]["until"])}
-                    else:
-                        spans[r].append({"first": a, "until": b})
+                for r, a, b in zip(row[first].tolist(), first.tolist(), until.tolist()):
+                    spans[r].append({"first": a - int(base[r]), "until": b - int(base[r])})
+                for r, _, _, item in hits:
                     if built[0].names[item] is not None:
                         names[r].add(str(built[0].names[item]))
                 yield pa.RecordBatch.from_arrays(

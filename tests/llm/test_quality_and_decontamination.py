@@ -107,3 +107,20 @@ def test_spans_are_removed(spark):
     assert D.remove_spans(docs, bench.limit(0)).count() == 4
     assert D.find_contamination(docs, bench.limit(0)).agg({"n_hit": "sum"}).first()[0] == 0
     assert D.find_contamination(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
+def test_short_items_inside_a_longer_window_count_once(spark, block_bytes):
+    words = [f"v{k}" for k in range(13)]
+    items = [(1, " ".join(words[2:5])), (2, " ".join(words[7:10])), (3, " ".join(words)), (4, "v12")]
+    rows = [(k, " ".join([*words, *(f"f{j}" for j in range(n))])) for k, n in enumerate((0, 246, 247, 248, 300, 307))]
+    rows += [(90, "v12"), (91, "v12 v12 x v2 v3 v4 " + " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in D.find_contamination(docs, bench, block_bytes=block_bytes).collect()}
+    for doc_id, text in rows:
+        n, hit, names = contamination_brute(text, items)
+        r = got[doc_id]
+        assert (r.n_words, r.n_hit, sorted(r["items"])) == (n, hit, names), doc_id
+        assert r.contaminated == (hit > 0 and 20 * hit >= n)
+    assert [tuple(x) for x in got[0].spans] == [(0, 13)]
