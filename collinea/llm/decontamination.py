@@ -3,11 +3,12 @@
 The normalised test items form one automaton over word numbers; every text is streamed
 through it word by word, and the longest match that ends at each word is tracked. A word
 is hit if it lies in an occurrence of a window: ``window`` consecutive words of an item, or
-a whole item of fewer words. One Arrow pass over the documents, no shuffle.
+a whole item of fewer words. With one block of items this is one Arrow pass over the
+documents without a shuffle.
 
 The items are broadcast in blocks of at most ``block_bytes`` of text, whose count grows
 with the item table, so the broadcast has a fixed size; each block makes its own pass and
-the hit spans of the blocks are merged per document.
+the hit spans of the blocks are merged per document row before anything is judged or cut.
 
 Defined results: null or empty texts have no words and no hits; items without words (null,
 too) give no window; repeated items count each under their own id; null item ids give
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from collinea.llm.common import ALNUM, LOWER, Chunk, RangeHash, chunks, word_spans
+from collinea.llm.common import ALNUM, LOWER, Chunk, RangeHash, chunks, cut, word_spans
 
 WINDOW = 13
 #: bytes of item text in one automaton: about 40 bytes of automaton for each byte of text
@@ -268,54 +269,78 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("row_key")
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, drop_contaminated: bool = True) -> DataFrame:
+def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, drop_contaminated: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents without hit spans; those beyond the coverage limit go as a whole.
 
     Every hit word is cut with its surroundings up to the next kept word's start, so the kept
-    text has no trace of the passage. Untouched texts stay byte for byte.
+    text has no trace of the passage. Untouched texts stay byte for byte. With several blocks
+    each scans the original texts; the limit and the cut apply once, to the spans of all.
     """
-    blocks = _blocks(items, BLOCK_BYTES)
+    blocks = _blocks(items, block_bytes)
+    if not blocks:
+        return docs
     schema = docs.schema
 
-    def scan(frame: DataFrame, block: list[tuple[object, str]]) -> DataFrame:
-        held = frame.sparkSession.sparkContext.broadcast(block)
+    def clean(part: pa.RecordBatch, chunk: Chunk, n_words: np.ndarray, words: tuple[np.ndarray, ...], spans: list[tuple[int, int]]) -> pa.RecordBatch:
+        if not spans:
+            return part
+        start, _, row = words
+        place = part.schema.get_field_index("text")
+        hit = _covered(spans, len(start))
+        n_hit = np.bincount(row[hit], minlength=chunk.rows)
+        keep = ~((n_hit > 0) & (20 * n_hit >= n_words)) if drop_contaminated else np.ones(chunk.rows, bool)
+        texts = part.column(place).to_pylist()
+        for r in np.flatnonzero(keep & (n_hit > 0)):
+            alive = np.ones(int(chunk.offsets[r + 1] - chunk.offsets[r]), bool)
+            mine = np.flatnonzero(row == r)
+            for k in mine[hit[mine]]:
+                until = start[k + 1] if k + 1 <= mine[-1] else chunk.offsets[r + 1]
+                alive[start[k] - chunk.offsets[r] : until - chunk.offsets[r]] = False
+            texts[r] = chunk.data[chunk.offsets[r] : chunk.offsets[r + 1]][alive].tobytes().decode()
+        arrays = list(part.columns)
+        arrays[place] = pa.array(texts, part.column(place).type)
+        return pa.RecordBatch.from_arrays(arrays, schema=part.schema).filter(pa.array(keep))
+
+    if len(blocks) == 1:
+        held = docs.sparkSession.sparkContext.broadcast(blocks[0])
         built: list[ItemMatcher] = []
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not built:
                 built.append(ItemMatcher(held.value, window))
             for batch in batches:
-                place = batch.schema.get_field_index("text")
                 for chunk in chunks(batch, "text"):
-                    n_words, hits, (start, end, row) = built[0].match(chunk)
-                    part = batch.slice(chunk.lo, chunk.rows)
-                    if not hits:
-                        yield part
-                        continue
-                    hit = np.zeros(len(start) + 1, np.int64)
-                    for _, a, b, _ in hits:
-                        hit[a] += 1
-                        hit[b] -= 1
-                    hit = np.cumsum(hit[:-1]) > 0
-                    n_hit = np.bincount(row[hit], minlength=chunk.rows)
-                    keep = ~((n_hit > 0) & (20 * n_hit >= n_words)) if drop_contaminated else np.ones(chunk.rows, bool)
-                    texts = part.column(place).to_pylist()
-                    for r in np.flatnonzero(keep & (n_hit > 0)):
-                        alive = np.ones(int(chunk.offsets[r + 1] - chunk.offsets[r]), bool)
-                        mine = np.flatnonzero(row == r)
-                        for k in mine[hit[mine]]:
-                            until = start[k + 1] if k + 1 <= mine[-1] else chunk.offsets[r + 1]
-                            alive[start[k] - chunk.offsets[r] : until - chunk.offsets[r]] = False
-                        texts[r] = chunk.data[chunk.offsets[r] : chunk.offsets[r + 1]][alive].tobytes().decode()
-                    arrays = list(part.columns)
-                    arrays[place] = pa.array(texts, part.column(place).type)
-                    yield pa.RecordBatch.from_arrays(arrays, schema=part.schema).filter(pa.array(keep))
-
-        return frame.mapInArrow(run, schema)
+                    n_words, hits, words = built[0].match(chunk)
+                    yield clean(batch.slice(chunk.lo, chunk.rows), chunk, n_words, words, [(a, b) for _, a, b, _ in hits])
+
+        return docs.mapInArrow(run, schema)
 
+    # written first, so that every pass sees the same row keys
+    keyed = cut(docs.withColumn("_row_key", F.monotonically_increasing_id()), "keyed-documents")
+    source = keyed.selectExpr("_row_key row_key", "cast(null as long) doc_id", "cast(text as string) text")
+    union = None
     for block in blocks:
-        docs = scan(docs, block)
-    return docs
+        part = _scan(source, block, window).filter(F.size("spans") > 0).select("row_key", "spans")
+        union = part if union is None else union.unionAll(part)
+    found = union.groupBy(F.col("row_key").alias("_found_key")).agg(_merge(F.flatten(F.collect_list("spans"))).alias("_spans"))
+
+    def run_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("_spans")
+            for chunk in chunks(batch, "text"):
+                part = batch.slice(chunk.lo, chunk.rows).select(schema.names)
+                mine = found.slice(chunk.lo, chunk.rows).to_pylist()
+                if not any(mine):
+                    yield part
+                    continue
+                data = LOWER[chunk.data]
+                words = word_spans(Chunk(chunk.lo, chunk.hi, data, chunk.offsets), ALNUM)
+                n_words = np.bincount(words[2], minlength=chunk.rows)
+                base = np.cumsum(n_words) - n_words
+                yield clean(part, chunk, n_words, words, [(int(base[r]) + x["first"], int(base[r]) + x["until"]) for r, spans in enumerate(mine) for x in spans or ()])
+
+    joined = keyed.join(found, F.col("_row_key") == F.col("_found_key"), "left").select(*(keyed[name] for name in schema.names), "_spans")
+    return joined.mapInArrow(run_merged, schema)
 
 
 def digest_items(names: F.Column) -> F.Column:

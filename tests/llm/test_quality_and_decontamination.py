@@ -124,3 +124,29 @@ def test_short_items_inside_a_longer_window_count_once(spark, block_bytes):
         assert (r.n_words, r.n_hit, sorted(r["items"])) == (n, hit, names), doc_id
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
     assert [tuple(x) for x in got[0].spans] == [(0, 13)]
+
+
+def test_removal_does_not_depend_on_blocks(spark):
+    first, second = ([f"{c}{k}" for k in range(15)] for c in "ab")
+    fill = lambda n, c="f": [f"{c}{k}" for k in range(n)]
+    items = [(1, " ".join(first)), (2, " ".join(second)), (3, " ".join(first[5:] + ["c0", "c1", "c2"])), (4, " ".join(["left", "right"] * 7))]
+    text = lambda *parts: " ".join(w for p in parts for w in p)
+    rows = [
+        (1, text(fill(200), first, fill(250, "g"), second)),  # 3 percent by each of two items
+        (2, text(fill(600), first, second, fill(5, "g"))),
+        (3, text(fill(600), first, ["c0", "c1", "c2"], fill(5, "g"))),  # windows that overlap
+        (4, text(fill(600), ["left", "right"] * 3, first, ["left", "right"] * 4)),  # the cut makes a new window
+        (5, None), (6, ""), (7, text(fill(50))), (2, text(fill(601), second)), (None, text(second, fill(400))),
+    ]
+    docs = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, row_key string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    key = lambda r: (str(r[0]), str(r[1]))
+    for drop in (True, False):
+        whole = sorted(map(tuple, D.remove_spans(docs, bench, drop_contaminated=drop).collect()), key=key)
+        for size in (20, 90):
+            out = D.remove_spans(docs, bench, drop_contaminated=drop, block_bytes=size)
+            assert out.columns == docs.columns
+            assert sorted(map(tuple, out.collect()), key=key) == whole
+        assert (1 in {r[0] for r in whole}) != drop
+        assert {r[0]: r[1] for r in whole}[3] == text(fill(600), fill(5, "g"))
+        assert {r[0]: r[1] for r in whole}[4] == text(fill(600), ["left", "right"] * 7)
