@@ -6,7 +6,8 @@ words and word beginnings of the whole text, each counted as log(1 + n).
 
 The model is fitted on the driver, on a sample of labelled rows with a fixed bound for each
 grade (``sample_per_grade``: the rows of least id hash), so its cost does not grow with the
-input. Scoring is one Arrow pass with the weights (a fixed size) broadcast.
+input. Each sampled row weighs as many labels as it stands for (labels of its grade / sampled
+ones), so the fit keeps the grades' true shares. Scoring is one Arrow pass with the weights (a fixed size) broadcast.
 
 Defined results: a null or empty text has no features and gets the base rate; labels with a
 null grade or without a document are ignored, repeated labels count once for each row; without
@@ -69,16 +70,21 @@ class OrdinalModel:
         return self.grades[0] + self.at_least(score) @ np.diff(self.grades)
 
 
-def fit(rows: np.ndarray, found: np.ndarray, values: np.ndarray, grade: np.ndarray, steps: int = 200, rate: float = 0.05, ridge: float = 3e-5) -> OrdinalModel:
-    """Maximum likelihood by Adam on the cumulative-link loss, all texts in each step."""
+def fit(rows: np.ndarray, found: np.ndarray, values: np.ndarray, grade: np.ndarray, steps: int = 200, rate: float = 0.05, ridge: float = 3e-5, weight: np.ndarray | None = None) -> OrdinalModel:
+    """Maximum likelihood by Adam on the cumulative-link loss, all texts in each step.
+
+    ``weight`` is the number of rows that each text stands for, 1 if not given.
+    """
     grades = np.unique(grade)
     model = OrdinalModel(np.zeros(1 << BITS), np.zeros(len(grades) - 1), grades.astype(float))
     if len(grades) < 2:
         return model
+    weight = np.ones(len(grade)) if weight is None else weight / weight.mean()
     seen = np.bincount(found, minlength=1 << BITS)
     # the features whose texts differ most from the others in mean grade, in standard errors
-    centred = grade - grade.mean()
-    strength = np.abs(np.bincount(found, weights=centred[rows], minlength=1 << BITS)) / np.sqrt(np.maximum(seen, 1))
+    centred = weight * (grade - np.average(grade, weights=weight))
+    spread = np.bincount(found, weights=weight[rows] ** 2, minlength=1 << BITS)
+    strength = np.abs(np.bincount(found, weights=centred[rows], minlength=1 << BITS)) / np.sqrt(np.where(seen > 0, spread, 1))
     strength[seen < SEEN] = 0
     chosen = np.zeros(1 << BITS, bool)
     chosen[np.argsort(-strength, kind="stable")[:FEATURES]] = True
@@ -87,7 +93,7 @@ def fit(rows: np.ndarray, found: np.ndarray, values: np.ndarray, grade: np.ndarr
     used, local = np.unique(found, return_inverse=True)
     place = np.searchsorted(grades, grade)
     upper = place[:, None] >= np.arange(1, len(grades))  # whether each threshold is passed
-    share = upper.mean(axis=0)
+    share = np.average(upper, axis=0, weights=weight)
     # free parameters: weights, the first bias, and logs of the falls between biases
     bias = np.log(share / (1 - share))
     theta = np.concatenate([np.zeros(len(used)), bias[:1], np.log(np.maximum(-np.diff(bias), 1e-2))])
@@ -101,7 +107,7 @@ def fit(rows: np.ndarray, found: np.ndarray, values: np.ndarray, grade: np.ndarr
         edge = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], axis=1)
         mass = np.maximum(edge[np.arange(n), place] - edge[np.arange(n), place + 1], 1e-9)
         slope = np.concatenate([np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))], axis=1)
-        low, high = slope[np.arange(n), place] / mass, slope[np.arange(n), place + 1] / mass
+        low, high = weight * slope[np.arange(n), place] / mass, weight * slope[np.arange(n), place + 1] / mass
         per_text = -(low - high) / n
         per_bias = np.array([(-(low * (place == k + 1)) + high * (place == k)).sum() / n for k in range(len(b))])
         after = np.cumsum(per_bias[::-1])[::-1]
@@ -133,6 +139,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, grades: list[int], sample_per_gra
     ``labels`` holds doc_id and grade.
     """
     labels = labels.selectExpr("cast(doc_id as long) doc_id", "cast(grade as int) grade").filter("doc_id is not null")
+    counts = {r["grade"]: r["count"] for r in labels.filter(F.col("grade").isin(grades)).groupBy("grade").count().collect()}
     sample = None
     for grade in grades:
         part = labels.filter(F.col("grade") == grade).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_grade)
@@ -146,7 +153,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, grades: list[int], sample_per_gra
     found = [np.frombuffer(x, "<i4") for x in table.column("found").to_pylist()]
     value = [np.frombuffer(x, "<f4") for x in table.column("value").to_pylist()]
     rows = np.repeat(np.arange(len(grade)), [len(x) for x in found])
-    return fit(rows, np.concatenate(found), np.concatenate(value), grade)
+    stands_for = {g: n / min(n, sample_per_grade) for g, n in counts.items()}
+    return fit(rows, np.concatenate(found), np.concatenate(value), grade, weight=np.array([stands_for[g] for g in grade.tolist()]))
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:

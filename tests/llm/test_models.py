@@ -133,3 +133,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(kept["decontamination"][k] == text for k, text in clean.items())
     out = P.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(kept["decontamination"]) and all(len(r.piece_ids) == r.n_tokens for r in out)
+
+
+def test_toxicity_keeps_the_base_rate_beyond_the_sample_bound(spark):
+    grade = lambda k: 0 if k % 10 else 1 + (k % 20 == 0)
+    rows = [(k, "" if k % 3 else f"plain words {k % 7}", grade(k)) for k in range(1000)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(5000, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, g) for k, _, g in rows], "doc_id long, grade int")
+    for bound in (4000, 400, 40):
+        got = {r.doc_id: r for r in T.score(docs, T.fit_on(docs, labels, [0, 1, 2], bound)).collect()}
+        assert abs(got[5000].p_toxic - 0.1) < 0.03 and abs(got[5000].expected_severity - 0.15) < 0.04 and not got[5000].toxic
