@@ -12,6 +12,11 @@ Keys travel as packed blocks of bounded size; equal lines are one line of the jo
 of very many variants is found without pairing all of them (see ``graphs.linked_groups``).
 Texts of candidate lines are fetched through a bit table of fixed size.
 
+``equal_least`` is the least length of lines that are compared for equality, ``least`` for the
+edit join (both in bytes); ``points`` counts edits, lengths and segments in code points, not in
+bytes. The registered query and the pipeline compare equal lines of every length and count
+code points (``WHOLE``); lines of fewer than ``MIN_BYTES`` bytes have no near copies.
+
 Defined results: null and empty texts have no lines to compare and stay; shorter lines are
 never compared; rows with a null id stay whole and lend no first line; rows that repeat an id
 count as one document, and a line goes only where both number and content agree; extra
@@ -31,6 +36,8 @@ from collinea.llm.graphs import linked_groups
 
 THRESHOLD = 2
 MIN_BYTES = 20
+#: arguments of the registered query and the pipeline: all equal lines, edits of code points
+WHOLE = {"equal_least": 1, "points": True}
 BLOCK_ENTRIES = 750_000
 #: classes of byte values whose counts are compared before two lines are
 CLASSES = 16
@@ -63,6 +70,18 @@ def chunk_lines(chunk: Chunk, least: int = MIN_BYTES) -> tuple[np.ndarray, np.nd
     return begin[keep], until[keep], rows[keep], number[keep]
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each code point as one number, and the place of its first byte."""
+    tail = np.append((data & 0xC0) == 0x80, [False] * 3)
+    at = np.flatnonzero(~tail[: len(data)])
+    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.uint32)
+    values, more = padded[at], np.ones(len(at), bool)
+    for k in (1, 2, 3):
+        more &= tail[at + k]
+        values |= np.where(more, padded[at + k] << np.uint32(8 * k), np.uint32(0))
+    return values, at
+
+
 def segment(length: np.ndarray, k: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Place and size of the k-th of ``parts`` even segments (the longer ones come last)."""
     small = length // parts
@@ -90,7 +109,7 @@ def line_keys(hashes: RangeHash, start: np.ndarray, end: np.ndarray, threshold:
                     yield key, lines[inside], 1
 
 
-def within(a: bytes, b: bytes, threshold: int) -> bool:
+def within(a: bytes | str, b: bytes | str, threshold: int) -> bool:
     """Whether the edit distance is at most the threshold; banded and bit-parallel.
 
     A bit of ``rows[e]`` is a diagonal of the band that is reached with ``e`` edits.
@@ -144,7 +163,7 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, number long, line long")
 
 
-def _shared_keys(docs: DataFrame, blocks: int, threshold: int, least: int) -> DataFrame:
+def _shared_keys(docs: DataFrame, blocks: int, threshold: int, least: int, points: bool = False) -> DataFrame:
     """Postings of the keys that two distinct lines or more have."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +186,12 @@ def _shared_keys(docs: DataFrame, blocks: int, threshold: int, least: int) -> Da
                 hashes = RangeHash(chunk.data)
                 lines, first = np.unique(hashes.of(start, end), return_index=True)
                 start, end = start[first], end[first]
-                for key, at, side in line_keys(hashes, start, end, threshold, least):
+                if points:
+                    values, places = code_points(chunk.data)
+                    hashes = RangeHash(values)
+                    start, end = np.searchsorted(places, start), np.searchsorted(places, end)
+                # a code point has at most four bytes
+                for key, at, side in line_keys(hashes, start, end, threshold, -(-least // 4) if points else least):
                     entries = np.empty(len(key), ENTRY)
                     entries["token"], entries["doc"], entries["size"], entries["side"] = key, lines[at].view(np.int64), (end - start)[at], side
                     held.append(entries)
@@ -220,12 +244,19 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     return found.groupBy("doc").agg(F.min("content").alias("content")).join(wanted, "doc", "left_semi")
 
 
-def _bags(texts: DataFrame) -> DataFrame:
-    """(doc, b0, ...): counts of byte classes of each line, four to a word, modulo 2**16."""
+def _bags(texts: DataFrame, points: bool = False) -> DataFrame:
+    """(doc, b0, ...): counts of byte (or code point) classes of each line, four to a word, modulo 2**16."""
+
+    def values(x: pa.Scalar) -> np.ndarray:
+        data = np.frombuffer(x.as_buffer(), np.uint8)
+        if not points or data.max(initial=0) < 128:
+            return data
+        found = code_points(data)[0]
+        return found ^ found >> 8 ^ found >> 16 ^ found >> 24
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.array([np.bincount(np.frombuffer(x.as_buffer(), np.uint8) % CLASSES, minlength=CLASSES) for x in batch.column("content")], np.int64).reshape(-1, CLASSES)
+            counts = np.array([np.bincount((values(x) % CLASSES).astype(np.int64), minlength=CLASSES) for x in batch.column("content")], np.int64).reshape(-1, CLASSES)
             words = np.ascontiguousarray((counts & 0xFFFF).astype("<u2")).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(np.ascontiguousarray(w)) for w in words.T)], ["doc", *(f"b{k}" for k in range(CLASSES // 4))])
 
@@ -239,33 +270,34 @@ def _bag_distance(x: str, y: str) -> str:
     return " + ".join(f"least({gap}, 65536 - {gap})" for gap in gaps)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: int, points: bool = False) -> DataFrame:
+    read = (lambda x: x.decode("utf-8", "surrogateescape")) if points else (lambda x: x)
     joined = pairs.join(texts.select(F.col("doc").alias("a"), F.col("content").alias("x")), "a").join(texts.select(F.col("doc").alias("b"), F.col("content").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [within(x, y, threshold) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            keep = [within(read(x), read(y), threshold) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_BYTES) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_BYTES, equal_least: int | None = None, points: bool = False) -> DataFrame:
     """(doc_id, number, line, class, near) of each line that repeats an earlier one.
 
     ``class`` is the least content hash of the lines linked with it; ``near`` tells that no
     equal line came earlier, only a similar one.
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").filter("doc_id is not null")
-    lines = cut(_lines(docs, least), "lines")
+    lines = cut(_lines(docs, least if equal_least is None else min(equal_least, least)), "lines")
     entries_per_line = sum(1 for _ in line_keys(RangeHash(np.zeros(1000, np.uint8)), np.zeros(1, np.int64), np.full(1, 900), threshold, least))
     blocks = lines.count() * entries_per_line // BLOCK_ENTRIES + 1
-    postings = cut(_shared_keys(docs, blocks, threshold, least), "line-keys")
+    postings = cut(_shared_keys(docs, blocks, threshold, least, points), "line-keys")
     texts = cut(_line_texts(docs, postings.select("doc").distinct(), least), "line-texts")
     close = lambda x, y: F.abs(F.col(f"size{x}") - F.col(f"size{y}")) <= threshold
     sides = lambda x, y: F.expr(f"((side{x} & 1) > 0 and (side{y} & 2) > 0 and size{x} <= size{y}) or ((side{x} & 2) > 0 and (side{y} & 1) > 0 and size{y} <= size{x})")
     alike = lambda x, y: F.expr(f"{_bag_distance(x, y)} <= {2 * threshold}")
-    groups = linked_groups(postings, ["size", "side"], close, lambda x, y: close(x, y) & sides(x, y) & alike(x, y), lambda pairs: _verified(pairs, texts, threshold), _bags(texts))
+    groups = linked_groups(postings, ["size", "side"], close, lambda x, y: close(x, y) & sides(x, y) & alike(x, y), lambda pairs: _verified(pairs, texts, threshold, points), _bags(texts, points))
 
     first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n"))
     named = first.join(groups.withColumnRenamed("node", "line"), "line", "left").withColumn("class", F.coalesce("component", "line"))
@@ -275,9 +307,9 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN
     return lines.join(known, "line").filter(place != F.col("class_first")).select("doc_id", "number", "line", "class", (place == F.col("first")).alias("near"))
 
 
-def line_report(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_BYTES) -> DataFrame:
+def line_report(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_BYTES, equal_least: int | None = None, points: bool = False) -> DataFrame:
     """One row per document: lines removed, of these near copies only, their numbers and classes."""
-    gone = repeated_lines(docs, threshold, least)
+    gone = repeated_lines(docs, threshold, least, equal_least, points)
     each = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("number", "class", "near"))).alias("gone"))
     base = docs.selectExpr("cast(doc_id as long) doc_id", "cast(coalesce(length(text) - length(replace(text, '\\n', '')) + 1, 0) as long) n_lines")
     none = F.expr("array()")
@@ -291,10 +323,10 @@ def line_report(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_BY
     )
 
 
-def remove_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_BYTES) -> DataFrame:
+def remove_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_BYTES, equal_least: int | None = None, points: bool = False) -> DataFrame:
     """The documents, all columns, without the lines that repeat an earlier one."""
     schema = docs.schema
-    gone = repeated_lines(docs, threshold, least).groupBy("doc_id").agg(F.collect_set(F.struct("number", "line")).alias("_gone"))
+    gone = repeated_lines(docs, threshold, least, equal_least, points).groupBy("doc_id").agg(F.collect_set(F.struct("number", "line")).alias("_gone"))
     joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +339,7 @@ def remove_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_B
                     continue
                 raw = texts[k].encode()
                 chunk = Chunk(0, 1, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                start, end, _, number = chunk_lines(chunk, least)
+                start, end, _, number = chunk_lines(chunk, least if equal_least is None else min(equal_least, least))
                 found = dict(zip(number.tolist(), RangeHash(chunk.data).of(start, end).view(np.int64).tolist()))
                 drop = {c["number"] for c in cuts if found.get(c["number"]) == c["line"]}
                 texts[k] = "\n".join(line for n, line in enumerate(texts[k].split("\n")) if n not in drop)

@@ -48,7 +48,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), **line_dedup.WHOLE)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,3 +193,34 @@ def test_line_dedup(spark):
     assert all(out[d] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d])) for d, t in rows)
     assert out[None] == base[0] and L.remove_lines(docs).columns == docs.columns
     assert L.line_report(docs.limit(0)).count() == 0 and L.remove_lines(docs.limit(0)).count() == 0
+
+
+def test_line_dedup_of_short_and_accented_lines(spark):
+    rng = random.Random(3)
+    words = ["élève", "Straße", "año", "naïve", "日本語", "plain", "über", "x", "😀", "ça"]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(4, 10))) for _ in range(12)]
+    rows = [(900, "ok\n ok\n\n \nno"), (901, "no\nab\nac"), (902, "é\né"), (903, None)]
+    for d in range(60):
+        lines = []
+        for _ in range(rng.randint(0, 5)):
+            s = list(rng.choice(base))
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                k = rng.randrange(len(s))
+                s[k : k + rng.randint(0, 1)] = rng.choice(["", "é", "語", "😀", "e"])
+            lines.append("".join(s))
+        rows.append((d, "\n".join(lines) or None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = [(d, n, x) for d, t in rows for n, line in enumerate((t or "").split("\n")) if (x := line.strip(" \t\n\v\f\r"))]
+    lines = sorted({x for _, _, x in seen})
+    long = [x for x in lines if len(x.encode()) >= L.MIN_BYTES]
+    linked = [(a, b) for k, a in enumerate(long) for b in long[:k] if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2]
+    assert any(abs(len(a.encode()) - len(b.encode())) > 2 for a, b in linked)
+    of, first, gone = groups(lines, linked), set(), {d: [] for d, _ in rows}
+    for d, n, x in sorted(seen):
+        if of[x] in first:
+            gone[d].append(n)
+        first.add(of[x])
+    assert gone[900] == [1] and gone[901] == [0] and gone[902] == [1]
+    assert {r.doc_id: list(r.removed) for r in L.line_report(docs, **L.WHOLE).collect()} == gone
+    out = {r.doc_id: r.text for r in L.remove_lines(docs, **L.WHOLE).collect()}
+    assert all(out[d] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d])) for d, t in rows)
