@@ -50,6 +50,8 @@ _KIND = {**{f"h{k}": "h" for k in range(1, 7)}, "ul": "list", "ol": "list", "men
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _TOKEN = re.compile(r"[a-z]+")
+#: ASCII only: str.lower makes two code points of U+0130, so places would no longer agree
+_LOWER = {code: code + 32 for code in range(65, 91)}
 
 
 @dataclass
@@ -70,7 +72,7 @@ def parse(source: str) -> Page:
     pieces: list[str] = []
     linked = anchors = at = 0
     n = len(source)
-    lower = source.lower()
+    lower = source.translate(_LOWER)
 
     def flush() -> None:
         nonlocal linked

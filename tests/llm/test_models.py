@@ -143,3 +143,11 @@ def test_toxicity_keeps_the_base_rate_beyond_the_sample_bound(spark):
     for bound in (4000, 400, 40):
         got = {r.doc_id: r for r in T.score(docs, T.fit_on(docs, labels, [0, 1, 2], bound)).collect()}
         assert abs(got[5000].p_toxic - 0.1) < 0.03 and abs(got[5000].expected_severity - 0.15) < 0.04 and not got[5000].toxic
+
+
+def test_unread_elements_after_letters_that_grow_in_lower_case():
+    for n in (0, 3, 12):
+        for element in ("<script>x</script>", "<STYLE>x</Style>", "<select><option>x</SELECT>", "<head><title>x</title></HEAD>"):
+            page = H.parse(f"<p>{'İ' * n}one {element}<p>two three</p><p>four</p>")
+            assert page.text == [f"{'İ' * n}one", "two three", "four"], (n, element)
+            assert [page.tag[k] for k in page.owner] == ["p"] * 3
