@@ -43,6 +43,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(wanted: str, *tables: DataFrame) -> str:
+    """``wanted``, or a longer name, that no column of the tables has (in any case of letters)."""
+    taken = {name.lower() for table in tables for name in table.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 # ---------------------------------------------------------------- Arrow chunks
 
 

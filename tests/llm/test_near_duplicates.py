@@ -62,7 +62,10 @@ def near_texts(seed):
 
 
 def test_jaccard_components(spark, monkeypatch):
-    monkeypatch.setattr(J, "OFTEN", 8)
+    monkeypatch.setattr(J, "BLOCK_ENTRIES", 4000)
+    monkeypatch.setattr(J, "EXPANDED", 50)
+    monkeypatch.setattr(J, "PART_ENTRIES", 300)
+    monkeypatch.setattr(J, "WHOLE_ROWS", 40)
     for seed in (1, 2):
         rows = near_texts(seed)
         docs = spark.createDataFrame([(a, b, "c") for a, b in rows], "doc_id long, text string, token string").repartition(4)
