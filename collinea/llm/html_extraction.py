@@ -13,7 +13,9 @@ Extraction is one Arrow pass over whole pages; the model (a fixed size) is broad
 
 Defined results: a null or empty page, and one without a main block, has an empty text; a
 null id or URL is kept; repeated rows are extracted row by row; unclosed and stray tags follow
-the usual implied ends; extra columns are ignored.
+the usual implied ends; what follows an unclosed comment or script is not read; ties go to the
+node's outside label; a very long page is parsed in one piece, in time and memory linear in its
+length; extra columns are ignored. Page ids must be integers, or texts of such.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html as html_text
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +37,8 @@ SAMPLE_PAGES = 240
 SAMPLE_BYTES = 200_000
 #: pages whose nodes are scored together
 SCORED_PAGES = 64
+#: stands before main blocks of pages made for training; a code point for private use
+MARK = "\ue000"
 
 #: fixed values: elements that make blocks, elements without an end, raw or unread contents
 BLOCKS = frozenset(
@@ -41,7 +46,7 @@ BLOCKS = frozenset(
     "nav aside header footer form fieldset details summary address center hr dialog menu".split()
 )
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style noscript template title textarea select option button iframe object svg math canvas audio video head".split())
+UNREAD = frozenset("script style noscript template title textarea select option button iframe canvas audio video head".split())
 RAW = frozenset("script style title textarea noscript iframe".split())
 #: fixed values: an opening element closes an open one of these
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -49,6 +54,11 @@ KINDS = ("p", "h", "li", "list", "div", "section", "article", "main", "nav", "as
 _KIND = {**{f"h{k}": "h" for k in range(1, 7)}, "ul": "list", "ol": "list", "menu": "nav", "td": "table", "tr": "table", "th": "table", "table": "table", "dialog": "aside"}
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+#: the rest of a tag; a quoted value after an equals sign may hold the end mark
+_TAG_END = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+>""")
+_HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
+#: elements inside which no paragraph, item or cell from outside is ended
+_BARRIERS = frozenset("ul ol dl table td th div section article main".split())
 _TOKEN = re.compile(r"[a-z]+")
 #: ASCII only: str.lower makes two code points of U+0130, so places would no longer agree
 _LOWER = {code: code + 32 for code in range(65, 91)}
@@ -67,12 +77,24 @@ class Page:
 
 
 def parse(source: str) -> Page:
+    """The page's blocks in one pass, linear in its length."""
     page = Page()
     stack = [0]
+    opened: Counter[str] = Counter()  # open elements by name
     pieces: list[str] = []
     linked = anchors = at = 0
     n = len(source)
     lower = source.translate(_LOWER)
+    missing: set[str] = set()  # marks that do not come again
+
+    def find(mark: str, start: int) -> int:
+        """Place of the next mark; each mark is looked for to the end in vain once only."""
+        if mark in missing:
+            return -1
+        place = lower.find(mark, start)
+        if place < 0:
+            missing.add(mark)
+        return place
 
     def flush() -> None:
         nonlocal linked
@@ -84,12 +106,9 @@ def parse(source: str) -> Page:
         pieces.clear()
         linked = 0
 
-    def close(names: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if page.tag[stack[k]] in names:
-                flush()
-                del stack[k:]
-                return
+    def leave(k: int) -> None:
+        opened.subtract(page.tag[x] for x in stack[k:])
+        del stack[k:]
 
     while at < n:
         start = source.find("<", at)
@@ -102,45 +121,32 @@ def parse(source: str) -> Page:
         if start == n:
             break
         if source.startswith("<!--", start):
-            end = source.find("-->", start + 4)
+            end = find("-->", start + 4)
             at = n if end < 0 else end + 3
             continue
         found = _TAG.match(source, start)
         if not found:
             if source[start + 1 : start + 2] in ("!", "?", "/"):
-                end = source.find(">", start)
+                end = find(">", start)
                 at = n if end < 0 else end + 1
             else:
                 pieces.append("<")
                 at = start + 1
             continue
-        end = found.end()
-        quote = ""
-        while True:  # the end of the tag, outside quoted values
-            stop = source.find(">", end)
-            if stop < 0:
-                stop = n
-                break
-            quoted = re.match(r"[^>\"']*(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>\"'])*", source[end:stop])
-            if quoted and quoted.end() == stop - end or not re.search(r"=\s*[\"'][^\"']*$", source[found.end() : stop]):
-                break
-            quote = re.search(r"=\s*([\"'])[^\"']*$", source[found.end() : stop])[1]
-            close_at = source.find(quote, stop)
-            if close_at < 0:
-                break
-            end = close_at + 1
+        whole = None if ">" in missing else _TAG_END.match(source, found.end())
+        if whole is None:
+            missing.add(">")
+        at = n if whole is None else whole.end()
+        rest = source[found.end() : at - (whole is not None)]
         name, closing = found[2].lower(), bool(found[1])
-        rest = source[found.end() : stop]
-        at = min(stop + 1, n)
         if name in UNREAD and not closing:
             if not rest.endswith("/"):
                 if name == "head":
                     # an unclosed head ends where the body begins
-                    ends = [x for x in (lower.find("</head", at), lower.find("<body", at)) if x >= 0]
-                    end = min(ends) if ends else at
-                    at = end
+                    ends = [x for x in (find("</head", at), find("<body", at)) if x >= 0]
+                    at = min(ends) if ends else at
                 else:
-                    end = lower.find(f"</{name}", at)
+                    end = find(f"</{name}", at)
                     at = at if end < 0 and name not in RAW else n if end < 0 else end
             pieces.append(" ")
             continue
@@ -152,35 +158,35 @@ def parse(source: str) -> Page:
             continue
         if name not in BLOCKS:
             continue
-        if closing:
-            if any(page.tag[k] == name for k in stack[1:]):
-                close({name})
-            else:
-                flush()
-            anchors = 0
-            continue
         flush()
         anchors = 0
+        if closing:
+            if opened[name] > 0:
+                leave(next(k for k in range(len(stack) - 1, 0, -1) if page.tag[stack[k]] == name))
+            continue
         if name in ("html", "body"):
             continue
-        for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, an item an open item
-            tag = page.tag[stack[k]]
-            if tag == "p" or tag in CLOSES.get(name, ()) or (re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", name)):
-                del stack[k:]
-                break
-            if tag in ("ul", "ol", "dl", "table", "td", "th", "div", "section", "article", "main") and tag not in CLOSES.get(name, ()):
-                break
+        ends_here = {"p", *CLOSES.get(name, ()), *(_HEADINGS if name in _HEADINGS else ())}
+        if any(opened[x] > 0 for x in ends_here):  # a block ends an open paragraph, an item an open item
+            for k in range(len(stack) - 1, 0, -1):
+                tag = page.tag[stack[k]]
+                if tag in ends_here:
+                    leave(k)
+                    break
+                if tag in _BARRIERS:
+                    break
         if name in EMPTY:
             continue
         page.parent.append(stack[-1])
         page.tag.append(name)
         page.tokens.append([t for m in _ATTRIBUTE.finditer(rest) for t in _TOKEN.findall((m[2] or m[3] or m[4] or "").lower())])
         stack.append(len(page.tag) - 1)
+        opened[name] += 1
     flush()
     return page
 
 
-FEATURES = [*KINDS, "depth", "children", "chars", "blocks", "link_share", "mean_block", "longest", "stops", "before", "after", "same_siblings", "sibling_chars", "place", "share_of_parent", "own_low", "own_high", "path_low", "path_high", "path_cut_kind"]
+FEATURES = [*KINDS, "depth", "children", "chars", "blocks", "link_share", "mean_block", "longest", "stops", "before", "after", "same_siblings", "sibling_chars", "place", "share_of_parent", "own_low", "own_high", "path_low", "path_high", "path_cut_kind", "path_main", "main_elsewhere"]
 
 
 def page_features(page: Page, token_score: dict[str, float]) -> np.ndarray:
@@ -194,7 +200,7 @@ def page_features(page: Page, token_score: dict[str, float]) -> np.ndarray:
     first_block = np.full(n, len(owner))
     np.minimum.at(first_block, owner, np.arange(len(owner)))
     depth, children, place = np.zeros(n), np.zeros(n), np.zeros(n)
-    low, high, path_low, path_high, path_kind = (np.zeros(n) for _ in range(5))
+    low, high, path_low, path_high, path_kind, path_main = (np.zeros(n) for _ in range(6))
     boiler = {"nav", "aside", "footer", "form", "header"}
     kinds = [_KIND.get(t, t if t in KINDS else "other") for t in page.tag]
     for k in range(1, n):
@@ -206,6 +212,7 @@ def page_features(page: Page, token_score: dict[str, float]) -> np.ndarray:
         low[k], high[k] = min(scores, default=0.0), max(scores, default=0.0)
         path_low[k], path_high[k] = min(path_low[p], low[k]), max(path_high[p], high[k])
         path_kind[k] = path_kind[p] or float(kinds[k] in boiler)
+        path_main[k] = path_main[p] or float(kinds[k] in ("article", "main"))
     for k in range(n - 1, 0, -1):
         total[parent[k]] += total[k]
         longest[parent[k]] = max(longest[parent[k]], longest[k])
@@ -225,7 +232,7 @@ def page_features(page: Page, token_score: dict[str, float]) -> np.ndarray:
     kind = np.zeros((n, len(KINDS)))
     kind[np.arange(n), [KINDS.index(x) for x in kinds]] = 1
     rest = [depth, children, np.log1p(chars), np.log1p(blocks), linked / safe, np.log1p(chars / np.maximum(blocks, 1)), np.log1p(longest), 100 * stops / safe, before / whole, (whole - before - chars) / whole]
-    rest += [same, np.log1p(sibling), place, chars / np.maximum(chars[np.maximum(parent, 0)], 1), low, high, path_low, path_high, path_kind]
+    rest += [same, np.log1p(sibling), place, chars / np.maximum(chars[np.maximum(parent, 0)], 1), low, high, path_low, path_high, path_kind, path_main, np.full(n, path_main.max()) * (1 - path_main)]
     return np.concatenate([kind, np.stack(rest, 1)], 1)
 
 
@@ -282,12 +289,19 @@ OTHER_NAMES = {
 OTHER_TAGS = {"nav": "nav", "side": "aside", "head": "header", "foot": "footer", "form": "form"}
 
 
-def retold(prose: list[str], rng: random.Random) -> tuple[str, list[str]]:
-    """A page with known parts: (html, its main blocks), from paragraphs of real pages."""
+def retold(prose: list[str], rng: random.Random, mark: str = "") -> tuple[str, list[str]]:
+    """A page with known parts: (html, its main blocks), from paragraphs of real pages.
+
+    Every main block of the html begins with ``mark``.
+    """
     pick = lambda: rng.choice(prose)
     short = lambda: " ".join(pick().split()[: rng.randint(1, 5)])
-    title = " ".join(pick().split()[: rng.randint(3, 12)])
-    body = [title, *(" ".join(pick().split()[: rng.randint(2, 400)]) for _ in range(rng.choice([1, 2, 3, 5, 8, 12])))]
+    title = " ".join(pick().split()[: rng.randint(1, 12)])
+    body: list[str] = []
+
+    def said(text: str) -> str:
+        body.append(text)
+        return mark + text
 
     def part(kind: str, inner: str) -> str:
         name = rng.choice(OTHER_NAMES[kind])
@@ -304,19 +318,42 @@ def retold(prose: list[str], rng: random.Random) -> tuple[str, list[str]]:
         if rng.random() < p
     ]
     rng.shuffle(before)
-    inner = [f"<h1>{title}</h1>"]
-    for text in body[1:]:
+    heading = f"<h1>{said(title)}</h1>"
+    roll = rng.random()
+    inner = [f"<header>{heading}</header>" if roll < 0.15 else f"<header>{heading}<p>{said(short())}</p></header>" if roll < 0.25 else heading]
+
+    def main_part() -> str:
         roll = rng.random()
-        inner.append(f"<li>{text}</li>" if roll < 0.05 else f"<h2>{text}</h2>" if roll < 0.08 else f"<blockquote>{text}</blockquote>" if roll < 0.11 else f"<div>{text}</div>" if roll < 0.15 else f"<p>{text}</p>")
+        long = lambda: " ".join(pick().split()[: rng.randint(2, 400)])
+        if roll < 0.04:
+            return f"<h{rng.randint(2, 4)}>{said(short())}</h{rng.randint(2, 4)}>"
+        if roll < 0.1:
+            tag = rng.choice(["ul", "ol"])
+            return f"<{tag}>" + "".join(f"<li>{said(rng.choice([short, short, long])())}</li>" for _ in range(rng.randint(2, 6))) + f"</{tag}>"
+        if roll < 0.15:
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{said(short())}</td>" for _ in range(3)) + "</tr>" for _ in range(rng.randint(2, 5))) + "</table>"
+        if roll < 0.19:
+            return f'<p><a href="/y">{said(rng.choice([short, long])())}</a></p>'
+        if roll < 0.23:
+            return f"<figure><figcaption>{said(short())}</figcaption></figure>"
+        if roll < 0.3:
+            tag = rng.choice(["blockquote", "pre", "div"])
+            return f"<{tag}>{said(long())}</{tag}>"
+        return f"<p>{said(short() if roll < 0.36 else long())}</p>"
+
+    for _ in range(rng.choice([1, 2, 3, 5, 8, 12])):
+        inner.append(main_part())
     for kind in ("ad", "side", "comment", "nav", "form", "notice"):
         if rng.random() < 0.12:
             added = part(kind, rng.choice([links, prose_part, short])() if kind != "form" else f"<p>{short()}</p>")
             inner.insert(len(inner) if kind == "comment" else rng.randint(1, len(inner)), added)
+    any_name = lambda: rng.choice([*MAIN_NAMES, *(x for names in OTHER_NAMES.values() for x in names)])
+    own_name = f' class="{any_name()}{rng.choice(["", "-story", " post"])}"' if rng.random() < 0.35 else ""
     form = rng.random()
     if form < 0.35:
-        main = f"<article>{''.join(inner)}</article>"
+        main = f"<article{own_name}>{''.join(inner)}</article>"
     elif form < 0.5:
-        main = f"<main>{''.join(inner)}</main>"
+        main = f"<main{own_name}>{''.join(inner)}</main>"
     else:
         name = f' {rng.choice(["class", "id"])}="{rng.choice(MAIN_NAMES)}{rng.choice(["", "-area", " wrap"])}"' if rng.random() < 0.8 else ""
         main = f"<{(tag := rng.choice(['div', 'section']))}{name}>{''.join(inner)}</{tag}>"
@@ -331,22 +368,19 @@ def _known_labels(page: Page) -> np.ndarray | None:
     other = {name for names in OTHER_NAMES.values() for name in names} - {"header", "top", "site", "bottom", "form"}
     for k in range(1, len(page.tag)):
         p = page.parent[k]
-        out[k] = out[p] or page.tag[k] in ("nav", "aside", "footer", "form", "dialog") or any(t in other for t in page.tokens[k])
+        named = any(t in other for t in page.tokens[k]) and (page.tag[k] not in ("article", "main") or inside[p])
+        out[k] = out[p] or page.tag[k] in ("nav", "aside", "footer", "form", "dialog") or named
         inside[k] = (inside[p] or page.tag[k] in ("article", "main")) and not out[k]
     return inside if inside.any() else None
 
 
-def _marked_labels(page: Page, main: list[str]) -> np.ndarray:
-    """Labels of a retold page: a node is main if most of its subtree's text is."""
+def _marked_labels(page: Page) -> np.ndarray:
+    """Labels of a retold page, whose marks are taken away: a node is main if most of its subtree's text is."""
     total, good = np.zeros(len(page.tag)), np.zeros(len(page.tag))
-    left = {}
-    for text in main:
-        text = " ".join(html_text.unescape(text).split())
-        left[text] = left.get(text, 0) + 1
-    for owner, text in zip(page.owner, page.text):
-        total[owner] += len(text)
-        if left.get(text, 0):
-            good[owner] += len(text)
+    for k, (owner, text) in enumerate(zip(page.owner, page.text)):
+        page.text[k] = text.replace(MARK, "").strip() or "x"
+        total[owner] += len(page.text[k])
+        good[owner] += len(page.text[k]) * (MARK in text)
     for k in range(len(page.tag) - 1, 0, -1):
         total[page.parent[k]] += total[k]
         good[page.parent[k]] += good[k]
@@ -355,7 +389,7 @@ def _marked_labels(page: Page, main: list[str]) -> np.ndarray:
     return share | (wide & np.array([t in ("article", "main", "section", "div") for t in page.tag]))
 
 
-def fit_model(sources: list[str], retellings: int = 900, seed: int = 7) -> ExtractionModel:
+def fit_model(sources: list[str], retellings: int = 1000, seed: int = 7) -> ExtractionModel:
     """Fit on a bounded list of pages; the same pages give the same model."""
     rng = random.Random(seed)
     pages: list[tuple[Page, np.ndarray]] = []
@@ -369,9 +403,12 @@ def fit_model(sources: list[str], retellings: int = 900, seed: int = 7) -> Extra
     if len(prose) < 20:
         prose += [" ".join(f"word{rng.randint(0, 999)}" for _ in range(60)) + "." for _ in range(40)]
     for _ in range(retellings):
-        source, main = retold(prose, rng)
+        source, _ = retold(prose, rng, MARK)
+        if rng.random() < 0.15:  # a page that breaks off
+            source = source[: rng.randint(len(source) // 3, len(source))]
         page = parse(source)
-        pages.append((page, _marked_labels(page, main)))
+        if MARK in "".join(page.text):
+            pages.append((page, _marked_labels(page)))
     held: dict[str, list[int]] = {}
     for page, labels in pages:
         for k in range(1, len(page.tag)):

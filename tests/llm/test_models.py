@@ -53,7 +53,7 @@ def prose(seed, n=80):
 def test_extraction_on_held_out_pages():
     rng = random.Random(11)
     train = [H.retold(prose(1), rng)[0] for _ in range(60)]
-    model = H.fit_model(train, retellings=500)
+    model = H.fit_model(train)
     rng = random.Random(12)
     pages = [H.retold(prose(2), rng) for _ in range(200)]
     found = model.main_texts([source for source, _ in pages])
@@ -72,6 +72,50 @@ def test_extraction_of_pages(spark):
     assert len(got) == 6 and H.extract(pages.limit(0), H.fit_on(pages.limit(0))).count() == 0
 
 
+PARAGRAPHS = ["The river had been high for a week, and the mill stood idle until the water fell again.", "Nobody in the village could say who had opened the gate, or why the lamp was still burning.", "By the second morning the road was dry enough for carts, and the market opened at noon."]
+P1, P2, P3 = PARAGRAPHS
+NAV = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li><li><a href='/c'>Contact</a></li></ul></nav>"
+FOOT = "<footer><p>&copy; 2020 The Paper</p><ul><li><a href='/t'>Terms</a></li></ul></footer>"
+#: (html, blocks of the main text), written by hand
+BY_HAND = {
+    "short heading": (f"<html><body>{NAV}<article><h1>T</h1><p>{P1}</p><p>{P2}</p></article>{FOOT}</body></html>", ["T", P1, P2]),
+    "header inside": (f"<body>{NAV}<article><header><h1>My title</h1></header><p>{P1}</p><p>{P3}</p></article>{FOOT}</body>", ["My title", P1, P3]),
+    "table": (f"<body>{NAV}<article><h1>Prices</h1><p>{P1}</p><table><tr><td>Corn</td><td>12</td><td>up</td></tr><tr><td>Rye</td><td>9</td><td>down</td></tr></table><p>{P2}</p></article>{FOOT}", ["Prices", P1, "Corn", "12", "up", "Rye", "9", "down", P2]),
+    "short list": (f"<body>{NAV}<article><h1>What to bring</h1><p>{P1}</p><ul><li>Rope</li><li>Bread</li><li>A lamp</li></ul><p>{P2}</p></article>{FOOT}", ["What to bring", P1, "Rope", "Bread", "A lamp", P2]),
+    "link paragraph": (f"<body>{NAV}<article><h1>The gate</h1><p>{P1}</p><p><a href='/x'>{P3}</a></p><p>{P2}</p></article>{FOOT}", ["The gate", P1, P3, P2]),
+    "formula": (f"<body>{NAV}<article><h1>The gate</h1><p>{P1}</p><p>We find <math><mi>x</mi><mo>=</mo><mn>2</mn></math> at once.</p></article>{FOOT}", ["The gate", P1, "We find x=2 at once."]),
+    "named like a side part": (f"<body>{NAV}<article class='related-story'><h1>The gate</h1><p>{P1}</p><p>{P2}</p></article>{FOOT}", ["The gate", P1, P2]),
+    "unclosed comment": (f"<body>{NAV}<article><h1>The gate</h1><p>{P1}</p><!-- <p>{P2}</p></article>{FOOT}", ["The gate", P1]),
+    "reader comments": (f"<body>{NAV}<div id='content'><h1>The gate</h1><p>{P1}</p><p>{P2}</p></div><div class='comments'><h3>Comments</h3><p>I was there, too, and saw it.</p><p>So did I.</p></div>{FOOT}", ["The gate", P1, P2]),
+    "form and notice": (f"<body><div class='cookie-notice'><p>We use cookies to make this better.</p></div>{NAV}<main><h1>The gate</h1><p>{P1}</p><form><p>Sign up</p><input></form><p>{P2}</p></main><aside><h3>More</h3><p>Other news of the day.</p></aside>{FOOT}", ["The gate", P1, P2]),
+}
+
+
+def plain_page(text, k):
+    body = "".join(f"<p>{x}</p>" for x in text[k : k + 2 + k % 3])
+    return f"<html><head><title>x</title></head><body><nav><ul>{''.join(f'<li><a href=/>{w}</a></li>' for w in text[k].split()[:5])}</ul></nav><div class=ad>{text[k][:30]}</div><article><h1>{text[k][:50]}</h1>{body}</article><footer>&copy; {text[k][:40]}</footer></body></html>"
+
+
+def test_extraction_of_pages_written_by_hand():
+    text = prose(5, 120)
+    model = H.fit_model([plain_page(text, k) for k in range(100)])
+    found = dict(zip(BY_HAND, model.main_texts([source for source, _ in BY_HAND.values()])))
+    wrong = {name: found[name] for name, (_, blocks) in BY_HAND.items() if found[name] != "\n\n".join(blocks)}
+    assert not wrong, wrong
+
+
+def test_parsing_is_linear():
+    import time
+
+    for piece in ("<option>x", "<a title='", "<p", "<!x", "<blockquote>", "</b", "<svg>", "<a b=\"c>"):
+        seconds = []
+        for n in (5_000, 40_000):
+            began = time.process_time()
+            H.parse("<p>one</p>" + piece * n)
+            seconds.append(time.process_time() - began)
+        assert seconds[1] < 25 * max(seconds[0], 0.02), (piece, seconds)
+
+
 def test_decoding_is_consistent():
     rng = np.random.default_rng(0)
     source = H.retold(prose(3), random.Random(4))[0]
