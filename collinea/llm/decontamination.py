@@ -6,14 +6,17 @@ is hit if it lies in an occurrence of a window: ``window`` consecutive words of
 a whole item of fewer words. With one block of items this is one Arrow pass over the
 documents without a shuffle.
 
-The items are broadcast in blocks of at most ``block_bytes`` of text, whose count grows
-with the item table, so the broadcast has a fixed size; each block makes its own pass and
-the hit spans of the blocks are merged per document row before anything is judged or cut.
+The items are dealt by hash into blocks of about ``block_bytes`` of text at most, whose number
+grows with the item table. One block at a time is fetched and broadcast, so neither the driver
+nor an executor ever holds the table; each block makes its own pass over the whole texts, and
+the hit spans of all blocks are merged per document row before anything is judged or cut.
 
 Defined results: null or empty texts have no words and no hits; items without words (null,
 too) give no window; repeated items count each under their own id; null item ids give
-hits, but no name in the list; a null document id stays null; extra columns pass through
-``remove_spans``.
+hits, but no name in the list; a null document id stays null; repeated rows are judged row by
+row; windows that nest or overlap count each word once; a very long text is scanned whole, in
+one piece, with about 50 bytes of memory for each of its bytes; extra columns pass through
+``remove_spans``. Document ids must be integers, or texts of such.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from collinea.llm.common import ALNUM, LOWER, Chunk, RangeHash, chunks, cut, word_spans
+from collinea.llm.common import ALNUM, LOWER, Chunk, RangeHash, chunks, cut, free_name, word_spans
 
 WINDOW = 13
 #: bytes of item text in one automaton: about 40 bytes of automaton for each byte of text
@@ -172,18 +175,20 @@ class ItemMatcher:
         return n_words, hits, (start, end, row)
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> list[list[tuple[object, str]]]:
-    """The items, dealt into blocks of bounded text size, streamed one partition at a time."""
-    blocks: list[list[tuple[object, str]]] = []
-    size = block_bytes
-    for item, text in items.selectExpr("item_id", "cast(text as string) text").toLocalIterator():
-        n = len((text or "").encode())
-        if size + n > block_bytes and size:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
-        size += n
-    return blocks
+def dealt_items(items: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """(item_id, text, block) of the items with a text, and the number of blocks.
+
+    Several blocks are dealt by hash, half full on average, so that each stays near its size.
+    """
+    known = items.selectExpr("item_id", "cast(text as string) text").filter("octet_length(text) > 0")
+    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = 1 if total <= block_bytes else -(-2 * total // block_bytes)
+    return known.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), int(blocks if total else 0)
+
+
+def _items_of(dealt: DataFrame, block: int) -> list[tuple[object, str]]:
+    """The items of one block, the only ones on the driver at that time."""
+    return [(row.item_id, row.text) for row in dealt.filter(F.col("block") == block).toLocalIterator()]
 
 
 def _covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
@@ -247,23 +252,34 @@ def _merge(spans: F.Column) -> F.Column:
     )
 
 
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """The rows with numbers, written first, so that every pass sees the same ones."""
+    return cut(docs.withColumn(key, F.monotonically_increasing_id()), "keyed-documents")
+
+
+def _found_by_block(source: DataFrame, dealt: DataFrame, blocks: int, window: int) -> DataFrame:
+    """(row_key, spans, items) of the rows with hits; one block of items is fetched at a time."""
+    union = None
+    for block in range(blocks):
+        found = _scan(source, _items_of(dealt, block), window).filter(F.size("spans") > 0).select("row_key", "spans", "items")
+        part = cut(found, "block-hits")
+        union = part if union is None else union.unionAll(part)
+    return union.groupBy("row_key").agg(_merge(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, hit word spans, names of the items found, for each document row."""
     source = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    blocks = _blocks(items, block_bytes) or [[]]
-    if len(blocks) == 1:
-        found = _scan(source.selectExpr("0L row_key", "doc_id", "text"), blocks[0], window)
+    dealt, blocks = dealt_items(items, block_bytes)
+    if blocks <= 1:
+        found = _scan(source.selectExpr("0L row_key", "doc_id", "text"), _items_of(dealt, 0) if blocks else [], window)
     else:
-        source = source.withColumn("row_key", F.monotonically_increasing_id())
-        parts = [_scan(source.select("row_key", "doc_id", "text"), block, window) for block in blocks]
-        union = parts[0]
-        for part in parts[1:]:
-            union = union.unionByName(part)
-        found = union.groupBy("row_key").agg(
-            F.first("doc_id").alias("doc_id"),
-            F.first("n_words").alias("n_words"),
-            _merge(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        source = _keyed(source, "row_key")
+        counted = _scan(source, [], window).select("row_key", "doc_id", "n_words")
+        hits = _found_by_block(source, dealt, blocks, window)
+        none = _scan(source.limit(0), [], window).schema
+        found = counted.join(hits, "row_key", "left").select(
+            "row_key", "doc_id", "n_words", *(F.coalesce(name, F.array().cast(none[name].dataType)).alias(name) for name in ("spans", "items"))
         )
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["until"] - x["first"])
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("row_key")
@@ -276,7 +292,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, drop_c
     text has no trace of the passage. Untouched texts stay byte for byte. With several blocks
     each scans the original texts; the limit and the cut apply once, to the spans of all.
     """
-    blocks = _blocks(items, block_bytes)
+    dealt, blocks = dealt_items(items, block_bytes)
     if not blocks:
         return docs
     schema = docs.schema
@@ -301,8 +317,8 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, drop_c
         arrays[place] = pa.array(texts, part.column(place).type)
         return pa.RecordBatch.from_arrays(arrays, schema=part.schema).filter(pa.array(keep))
 
-    if len(blocks) == 1:
-        held = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    if blocks == 1:
+        held = docs.sparkSession.sparkContext.broadcast(_items_of(dealt, 0))
         built: list[ItemMatcher] = []
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,18 +331,14 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, drop_c
 
         return docs.mapInArrow(run, schema)
 
-    # written first, so that every pass sees the same row keys
-    keyed = cut(docs.withColumn("_row_key", F.monotonically_increasing_id()), "keyed-documents")
-    source = keyed.selectExpr("_row_key row_key", "cast(null as long) doc_id", "cast(text as string) text")
-    union = None
-    for block in blocks:
-        part = _scan(source, block, window).filter(F.size("spans") > 0).select("row_key", "spans")
-        union = part if union is None else union.unionAll(part)
-    found = union.groupBy(F.col("row_key").alias("_found_key")).agg(_merge(F.flatten(F.collect_list("spans"))).alias("_spans"))
+    row_key, found_key, spans = (free_name(name, docs) for name in ("row_key", "found_key", "spans"))
+    keyed = _keyed(docs, row_key)
+    found = _found_by_block(keyed.select(F.col(row_key).alias("row_key"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), dealt, blocks, window)
+    found = found.select(F.col("row_key").alias(found_key), F.col("spans").alias(spans))
 
     def run_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("_spans")
+            found = batch.column(spans)
             for chunk in chunks(batch, "text"):
                 part = batch.slice(chunk.lo, chunk.rows).select(schema.names)
                 mine = found.slice(chunk.lo, chunk.rows).to_pylist()
@@ -337,9 +349,9 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, drop_c
                 words = word_spans(Chunk(chunk.lo, chunk.hi, data, chunk.offsets), ALNUM)
                 n_words = np.bincount(words[2], minlength=chunk.rows)
                 base = np.cumsum(n_words) - n_words
-                yield clean(part, chunk, n_words, words, [(int(base[r]) + x["first"], int(base[r]) + x["until"]) for r, spans in enumerate(mine) for x in spans or ()])
+                yield clean(part, chunk, n_words, words, [(int(base[r]) + x["first"], int(base[r]) + x["until"]) for r, own in enumerate(mine) for x in own or ()])
 
-    joined = keyed.join(found, F.col("_row_key") == F.col("_found_key"), "left").select(*(keyed[name] for name in schema.names), "_spans")
+    joined = keyed.join(found, F.col(row_key) == F.col(found_key), "left").select(*schema.names, spans)
     return joined.mapInArrow(run_merged, schema)
 
 
