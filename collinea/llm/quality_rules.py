@@ -1,13 +1,22 @@
 """Operator 10, quality rules: line-first cleaning.
 
-Every line of a text is judged on its own (punctuation, navigation, boilerplate); failing
-lines go; a document that loses too much of its text, or that fails the document rules,
+Every line of a text is judged on its own, by features that need no language:
+
+* punctuation: too many symbols, too few letters and digits, or cut off by an ellipsis;
+* navigation: separators between few words, link-like words, or a run of short lines of which
+  none ends like a sentence;
+* boilerplate: phrases of page furniture in a short line, or a short line that the document
+  repeats again and again.
+
+Failing lines go; a document that loses too much of its text, or that fails the document rules,
 is rejected. One Arrow pass, no shuffle; memory is bounded by one text chunk.
 
 Defined results: a null or empty text has no words, no lines with a word, and fails for
 having too few words; a null id is kept as null; repeated rows are judged row by row;
 extra columns are passed through by ``clean_documents`` and ignored by ``judge``; an empty
-table gives an empty result.
+table gives an empty result; ties can't occur, since each limit is exact; a very long text is
+judged in one piece, with about 100 bytes of memory for each of its bytes. Ids must be integers,
+or texts of such.
 """
 
 from __future__ import annotations
@@ -34,6 +43,18 @@ class QualityRules:
     #: navigation: separators a line may hold for each ten words
     max_separators_per_ten_words: int = 3
     min_separators: int = 3
+    #: punctuation: the least share of letters and digits among the non-space characters
+    min_letter_percent: int = 40
+    #: punctuation: the most words of a line that an ellipsis cuts off
+    max_ellipsis_words: int = 12
+    #: navigation: the least share of words that are addresses
+    min_link_percent: int = 50
+    #: navigation: so many lines in a row, of so few words each, none ending like a sentence
+    run_lines: int = 4
+    run_words: int = 3
+    #: boilerplate: a line of so few words that occurs so often in the document
+    often_lines: int = 4
+    often_words: int = 10
     #: a document that loses more of its non-space characters than this is rejected
     max_lost_percent: int = 50
 
@@ -48,6 +69,12 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[np.frombuffer(b"|>\\", np.uint8)] = True
+_LETTER = np.zeros(256, bool)  # a first byte of a letter, a digit or any code point beyond ASCII
+_LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC2:] = True
+#: fixed values: ends of sentences, ends that cut a line off, beginnings of addresses
+SENTENCE_ENDS = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", "\u2026".encode(), "\u3002".encode(), "\uff01".encode(), "\uff1f".encode(), "\u201d".encode(), "\u2019".encode(), "\u00bb".encode())
+ELLIPSES = (b"...", "\u2026".encode())
+ADDRESS = re.compile(rb"https?://|www\.")
 _POINT = np.ones(256, bool)  # the first byte of a code point
 _POINT[0x80:0xC0] = False
 
@@ -74,6 +101,25 @@ def _lines(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, rows
 
 
+def _ending(data: np.ndarray, first: np.ndarray, end: np.ndarray, marks: tuple[bytes, ...]) -> np.ndarray:
+    """Whether the bytes up to each end, from ``first`` on, end with one of the marks."""
+    found = np.zeros(len(end), bool)
+    for mark in marks:
+        fits = end - first >= len(mark)
+        for k, byte in enumerate(mark):
+            fits &= data[np.maximum(end - len(mark) + k, 0)] == byte if len(data) else False
+        found |= fits
+    return found
+
+
+def _in_runs(short: np.ndarray, row: np.ndarray, least: int) -> np.ndarray:
+    """Which entries stand in a run of at least ``least`` marked entries of one row."""
+    if not len(short):
+        return short
+    run = np.cumsum(np.append(True, (short[1:] != short[:-1]) | (row[1:] != row[:-1]))) - 1
+    return short & (np.bincount(run)[run] >= least)
+
+
 def judge_chunk(chunk, rules: QualityRules) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, ...]]:
     """The measures of each row, and its lines as (start, end, row, failed)."""
     n, lo, hi = chunk.rows, chunk.offsets[:-1], chunk.offsets[1:]
@@ -87,11 +133,11 @@ def judge_chunk(chunk, rules: QualityRules) -> tuple[dict[str, np.ndarray], tupl
     l_start, l_end, l_row = _lines(chunk)
     total_words = np.searchsorted(w_start, l_end) - np.searchsorted(w_start, l_start)
     l_hash = hashes.of(l_start, l_end)
-    order = np.lexsort((l_start, l_hash, l_row))
-    again = np.zeros(len(order), bool)
-    again[1:] = (l_hash[order][1:] == l_hash[order][:-1]) & (l_row[order][1:] == l_row[order][:-1])
-    dup = np.zeros(len(order), bool)
-    dup[order] = again
+    by_hash = np.lexsort((l_start, l_hash, l_row))
+    again = np.zeros(len(by_hash), bool)
+    again[1:] = (l_hash[by_hash][1:] == l_hash[by_hash][:-1]) & (l_row[by_hash][1:] == l_row[by_hash][:-1])
+    dup = np.zeros(len(by_hash), bool)
+    dup[by_hash] = again
     dup &= total_words > 0
 
     word_hash = hashes.of(w_start, w_end)
@@ -113,7 +159,24 @@ def judge_chunk(chunk, rules: QualityRules) -> tuple[dict[str, np.ndarray], tupl
     l_separators = _sums(_SEPARATOR[chunk.data], l_start, l_end)
     failed = 100 * l_symbols > rules.max_symbol_percent * np.maximum(l_points, 1)
     failed |= (l_separators >= rules.min_separators) & (10 * l_separators > rules.max_separators_per_ten_words * np.maximum(total_words, 1))
-    for found in BOILERPLATE.finditer(chunk.data.tobytes().lower()):
+    failed |= 100 * _sums(_LETTER[chunk.data], l_start, l_end) < rules.min_letter_percent * l_points
+    # from the first byte of the first word to the end of the last one
+    word_from, word_to = np.searchsorted(w_start, l_start), np.searchsorted(w_start, l_end)
+    filled = np.flatnonzero(word_to > word_from)
+    first, last = np.zeros(len(l_start), np.int64), np.zeros(len(l_start), np.int64)
+    first[filled], last[filled] = w_start[word_from[filled]], w_end[word_to[filled] - 1]
+    failed |= (total_words <= rules.max_ellipsis_words) & _ending(chunk.data, first, last, ELLIPSES)
+    raw = chunk.data.tobytes()
+    addresses = np.intersect1d(np.array([m.start() for m in ADDRESS.finditer(raw)], np.int64), w_start)  # at a word's beginning
+    links = np.bincount(np.searchsorted(l_start, addresses, "right") - 1, minlength=len(l_start))
+    failed |= (links > 0) & (100 * links >= rules.min_link_percent * total_words)
+    short = (total_words[filled] <= rules.run_words) & ~_ending(chunk.data, first[filled], last[filled], SENTENCE_ENDS)
+    failed[filled] |= _in_runs(short, l_row[filled], rules.run_lines)
+    same = np.append(True, (l_hash[by_hash][1:] != l_hash[by_hash][:-1]) | (l_row[by_hash][1:] != l_row[by_hash][:-1]))[: len(by_hash)]
+    often = np.zeros(len(l_start), np.int64)
+    often[by_hash] = np.bincount(np.cumsum(same) - 1)[np.cumsum(same) - 1] if len(by_hash) else 0
+    failed |= (often >= rules.often_lines) & (total_words <= rules.often_words)
+    for found in BOILERPLATE.finditer(raw.lower()):
         k = int(np.searchsorted(l_start, found.start(), "right")) - 1
         if found.end() <= l_end[k] and total_words[k] <= 30:  # furniture, not prose that names it
             failed[k] = True

@@ -60,6 +60,59 @@ def test_quality_line_rules(spark):
     assert Q.judge(df.limit(0)).count() == 0 and Q.clean_documents(df.limit(0)).count() == 0
 
 
+def failed_lines_brute(text):
+    lines = text.split("\n")
+    words, ends = [SPACE_WORD.findall(x) for x in lines], tuple(x.decode() for x in Q.SENTENCE_ENDS)
+    often, bad = Counter(lines), [False] * len(lines)
+    filled = [k for k, w in enumerate(words) if w]
+    for k in filled:
+        line, w, size = lines[k], words[k], sum(map(len, words[k]))
+        body = line.strip(" \t\n\v\f\r")
+        separators = sum(line.count(c) for c in "|>\\")
+        bad[k] = (
+            100 * sum(line.count(c) for c in "#*$%&|<>") > 8 * size
+            or 100 * sum(c.isalnum() or ord(c) > 127 for c in line) < 40 * size
+            or (len(w) <= 12 and body.endswith(("...", "…")))
+            or (separators >= 3 and 10 * separators > 3 * len(w))
+            or (n := sum(bool(re.match(r"https?://|www\.", x)) for x in w)) > 0
+            and 100 * n >= 50 * len(w)
+            or (len(w) <= 30 and bool(Q.BOILERPLATE.search(line.encode().lower())))
+            or (len(w) <= 10 and often[line] >= 4)
+        )
+    run = []
+    for k in [*filled, None]:
+        if k is not None and len(words[k]) <= 3 and not lines[k].strip(" \t\n\v\f\r").endswith(ends):
+            run.append(k)
+            continue
+        for j in run if len(run) >= 4 else ():
+            bad[j] = True
+        run = []
+    return bad
+
+
+def test_quality_verdict(spark):
+    rng = random.Random(4)
+    words = ["Alpha", "beta,", "gämma", "x1", "|", "#tag", "日本", "end.", "so…", "etc...", "http://a.b/c", "www.x.org", "--", "\\", ">", "privacy", "policy", "?!", "word", "more", "lines", "here"]
+    rows = [(0, None), (1, ""), (2, "\n \n\t")]
+    for k in range(10, 300):
+        lines = [" ".join(rng.choice(words[-rng.choice([3, 12, 22]) :]) for _ in range(rng.choice([0, 1, 2, 3, 8, 25]))) for _ in range(rng.randint(1, 14))]
+        lines += [" ".join(f"w{rng.randint(0, 999)}" for _ in range(20)) for _ in range(rng.randint(0, 6))] + [rng.choice(lines)] * rng.randint(0, 4)
+        rng.shuffle(lines)
+        rows.append((k, "\n".join(lines)))
+    df = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, lost_percent string").repartition(3)
+    got, seen = {r.doc_id: r for r in Q.judge(df).collect()}, Counter()
+    cleaned = {r.doc_id: r.text for r in Q.clean_documents(df).collect()}
+    for doc_id, text in rows:
+        lines, bad = (text or "").split("\n"), failed_lines_brute(text or "")
+        size = [sum(map(len, SPACE_WORD.findall(x))) for x in lines]
+        lost = sum(n for n, b in zip(size, bad) if b)
+        kept = not quality_brute(text)[-1] and 100 * lost <= 50 * max(sum(size), 1)
+        assert (got[doc_id].n_failed_lines, got[doc_id].kept) == (sum(bad), kept), (doc_id, text)
+        assert cleaned.get(doc_id) == ("\n".join(x for x, b in zip(lines, bad) if not b) if kept else None)
+        seen[kept, any(bad)] += 1
+    assert len(seen) == 4 and min(seen.values()) > 5
+
+
 def contamination_brute(text, items, window=13):
     words = ALNUM_WORD.findall(lower(text or ""))
     hit, names = set(), set()
@@ -138,7 +191,8 @@ def test_removal_does_not_depend_on_blocks(spark):
         (4, text(fill(600), ["left", "right"] * 3, first, ["left", "right"] * 4)),  # the cut makes a new window
         (5, None), (6, ""), (7, text(fill(50))), (2, text(fill(601), second)), (None, text(second, fill(400))),
     ]
-    docs = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, row_key string").repartition(3)
+    docs = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, _row_key string").repartition(3)
+    docs = docs.select("*", *(docs["doc_id"].alias(name) for name in ("row_key", "spans", "found_key", "items")))
     bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
     key = lambda r: (str(r[0]), str(r[1]))
     for drop in (True, False):
