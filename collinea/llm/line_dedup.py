@@ -20,7 +20,9 @@ code points (``WHOLE``); lines of fewer than ``MIN_BYTES`` bytes have no near co
 Defined results: null and empty texts have no lines to compare and stay; shorter lines are
 never compared; rows with a null id stay whole and lend no first line; rows that repeat an id
 count as one document, and a line goes only where both number and content agree; extra
-columns pass through ``remove_lines``.
+columns pass through ``remove_lines``. Ties go to the least (doc_id, line number). A very long
+text is walked in one piece, with about 50 bytes of memory for each of its bytes. Ids must be
+integers, or texts of such.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from collinea.llm.common import NOT_SPACE, Chunk, RangeHash, chunks, cut, mix
+from collinea.llm.common import NOT_SPACE, Chunk, RangeHash, chunks, cut, free_name, mix
 from collinea.llm.graphs import linked_groups
 
 THRESHOLD = 2
@@ -197,7 +199,7 @@ def _shared_keys(docs: DataFrame, blocks: int, threshold: int, least: int, point
                     held.append(entries)
                 if sum(map(len, held)) >= BLOCK_ENTRIES:
                     yield flush()
-        if held:
+        if any(map(len, held)):
             yield flush()
 
     names = ["token", *(f"{c}_{end}" for end in ("first", "last") for c in ("doc", "size", "side")), "doc", "size", "side"]
@@ -326,13 +328,14 @@ def line_report(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_BY
 def remove_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_BYTES, equal_least: int | None = None, points: bool = False) -> DataFrame:
     """The documents, all columns, without the lines that repeat an earlier one."""
     schema = docs.schema
-    gone = repeated_lines(docs, threshold, least, equal_least, points).groupBy("doc_id").agg(F.collect_set(F.struct("number", "line")).alias("_gone"))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    own_id, own_gone = free_name("id", docs), free_name("gone", docs)
+    gone = repeated_lines(docs, threshold, least, equal_least, points).groupBy("doc_id").agg(F.collect_set(F.struct("number", "line")).alias(own_gone))
+    joined = docs.join(gone.withColumnRenamed("doc_id", own_id), F.col("doc_id").cast("long") == F.col(own_id), "left").drop(own_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.get_field_index("text")
-            gone = batch.column("_gone").to_pylist()
+            gone = batch.column(own_gone).to_pylist()
             texts = batch.column(place).to_pylist()
             for k, cuts in enumerate(gone):
                 if not cuts or texts[k] is None:

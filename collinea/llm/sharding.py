@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from collinea.llm.common import cut
+from collinea.llm.common import cut, free_name
 
 SHARD_BYTES = 4 * 1024 * 1024
 HASH_BITS = 60
@@ -110,6 +110,7 @@ def _dealt(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, tasks: int = 200) -> None:
-    """Write the documents as one folder for each shard."""
+    """Write the documents as one folder for each shard, named by ``shard_bits`` (``_`` before it if a column has that name)."""
     rows = assign(docs, limit, carry=True)
-    rows.repartition(tasks, "shard").select("doc.*", F.col("shard").alias("shard_bits")).write.partitionBy("shard_bits").parquet(path)
+    bits = free_name("shard_bits", docs)
+    rows.repartition(tasks, "shard").select("doc.*", F.col("shard").alias(bits)).write.partitionBy(bits).parquet(path)

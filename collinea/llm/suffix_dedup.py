@@ -136,7 +136,7 @@ def _runs(docs: DataFrame, blocks: int) -> DataFrame:
                 held.append(entries)
                 if sum(map(len, held)) >= BLOCK_ENTRIES:
                     yield from flush()
-        if held:
+        if any(map(len, held)):
             yield from flush()
 
     def settle(block: pa.Table) -> pa.Table:

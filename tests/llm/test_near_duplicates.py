@@ -227,3 +227,34 @@ def test_line_dedup_of_short_and_accented_lines(spark):
     assert {r.doc_id: list(r.removed) for r in L.line_report(docs, **L.WHOLE).collect()} == gone
     out = {r.doc_id: r.text for r in L.remove_lines(docs, **L.WHOLE).collect()}
     assert all(out[d] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d])) for d, t in rows)
+
+
+def test_columns_with_clashing_names(spark):
+    names = ("id", "_id", "gone", "_gone", "a", "b", "line", "number", "component", "token", "least", "node", "several")
+    line = "one line of words that is long enough to be compared"
+    docs = spark.createDataFrame([(1, line + "\nalpha"), (2, line), (3, "x y z"), (4, line)], "doc_id long, text string")
+    docs = docs.select("*", *(docs["doc_id"].cast("string").alias(name) for name in names))
+    lines = {r.doc_id: (r.text, r._id, r.gone) for r in L.remove_lines(docs).collect()}
+    assert lines == {1: (line + "\nalpha", "1", "1"), 2: ("", "2", "2"), 3: ("x y z", "3", "3"), 4: ("", "4", "4")}
+    assert {(r.doc_id, r._gone) for r in J.keep_one(docs).collect()} == {(1, "1"), (3, "3")}
+
+
+def test_jaccard_ids_of_several_sets_and_long_texts(spark):
+    rng = random.Random(8)
+    long = [f"w{rng.randint(0, 5000)}" for _ in range(30000)]
+    near = list(long)
+    for k in range(0, 30000, 500):
+        near[k] = "other"
+    text = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    rows = [(9, " ".join(long)), (8, " ".join(near)), (5, text("a")), (5, text("b")), (6, text("a")), (7, text("b")), (3, text("c")), (3, text("d")), (2, text("d")), (4, text("e")), (4, text("c") + " tail")]
+    got = {}
+    for r in J.link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        assert got.setdefault(r.doc_id, r.component_id) == r.component_id
+    assert got == {9: 8, 8: 8, 5: 5, 6: 5, 7: 5, 3: 2, 2: 2, 4: 2}
+
+
+def test_tasks_of_short_texts_only(spark):
+    docs = spark.createDataFrame([(k, "ab cd" if k % 2 else "\n") for k in range(8)], "doc_id long, text string").repartition(4)
+    assert {r.doc_id: list(r.removed) for r in L.line_report(docs, **L.WHOLE).collect()} == {k: [0] if k % 2 and k > 1 else [] for k in range(8)}
+    assert all(r.n_removed == 0 for r in S.remove_repeats(docs).collect())
+    assert {r.doc_id: r.component_id for r in J.link_documents(docs).collect()} == {k: 1 if k % 2 else k for k in range(8)}
