@@ -30,10 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
         # the tables of a step need no more partitions than their size asks for
         parts = state[0] // PARTITION_LINKS + 1
         edges = edges.coalesce(parts)
-        both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        # large star: greater neighbours move to the least node around u
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
+        # large star: greater neighbours move to the least node around their lesser end, if it has a lesser one
+        least = edges.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("m"))
+        large = edges.join(least, "a", "left").select(F.coalesce("m", "a").alias("a"), "b").distinct()
         # small star: u and its lesser neighbours move to the least of them
         large = cut(large, "large-star").coalesce(parts)
         below = large.groupBy("b").agg(F.min("a").alias("m"))
