@@ -9,15 +9,22 @@ shuffle of its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from collinea.functions.scalars import EPSILON
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def common_values(x: Column, y: Column) -> Column:
     """Array of (x, y) values of the columns that both cell arrays hold."""
-    held = F.map_from_entries(y)
-    both = F.transform(x, lambda cell: F.struct(cell["v"].alias("x"), F.try_element_at(held, cell["c"]).alias("y")))
+    value = lambda held, cell: F.struct(cell["v"].alias("x"), F.try_element_at(held, cell["c"]).alias("y"))
+    both = bound(F.map_from_entries(y), lambda held: F.transform(x, lambda cell: value(held, cell)))
     return F.filter(both, lambda p: p["y"].isNotNull())
 
 
@@ -28,9 +35,29 @@ def agreeing(common: Column, ratio: Column) -> Column:
 
 def hamming(x: Column, y: Column) -> Column:
     """The distance of two arrays of (c, v), whose values are all nonzero."""
-    common = common_values(x, y)
-    best = F.array_max(F.transform(common, lambda anchor: agreeing(common, anchor["x"] / anchor["y"])))
-    return (F.size(x) + F.size(y) - F.size(common) - F.coalesce(best, F.lit(0))).cast("long")
+
+    def measure(common: Column) -> Column:
+        ratios = F.array_distinct(F.transform(common, lambda anchor: anchor["x"] / anchor["y"]))
+        best = F.array_max(F.transform(ratios, lambda ratio: agreeing(common, ratio)))
+        return (F.size(x) + F.size(y) - F.size(common) - F.coalesce(best, F.lit(0))).cast("long")
+
+    return bound(common_values(x, y), measure)
+
+
+def may_be_within(x: Column, y: Column, d: int) -> Column:
+    """Whether the distance may be at most ``d``; false only where it is greater.
+
+    At most d common columns disagree at the best ratio, so one of any d + 1 has that ratio but
+    for the tolerance; the others are compared at a tolerance widened by as much.
+    """
+
+    def measure(common: Column) -> Column:
+        need = F.size(x) + F.size(y) - F.size(common) - d
+        slack = lambda p, a: 2 * EPSILON * (1 + F.abs(p["y"] / a["y"])) + 1e-12 * F.abs(p["x"])
+        close = lambda a: F.size(F.filter(common, lambda p: F.abs(p["x"] - p["y"] * (a["x"] / a["y"])) <= slack(p, a)))
+        return (need <= 0) | ((need <= F.size(common)) & F.exists(F.slice(common, 1, d + 1), lambda a: close(a) >= need))
+
+    return bound(common_values(x, y), measure)
 
 
 def hamming_fixed_ratio(x: Column, y: Column, ratio: Column) -> Column:
@@ -47,14 +74,21 @@ def majority_hamming(x: Column, y: Column) -> Column:
     Equal to ``hamming`` whenever fewer than half of the places of either row differ; one
     ratio is tried for each grid step, the most frequent one, ties by the least.
     """
-    common = common_values(x, y)
-    ratios = F.transform(common, lambda p: p["x"] / p["y"])
-    votes = F.transform(ratios, lambda r: F.struct(F.size(F.filter(ratios, lambda q: F.abs(q - r) <= EPSILON)).alias("n"), (-r).alias("r")))
-    winner = -F.array_max(votes)["r"]
-    return (F.size(x) + F.size(y) - F.size(common) - F.coalesce(agreeing(common, winner), F.lit(0))).cast("long")
+
+    def measure(common: Column) -> Column:
+        votes = lambda ratios: F.array_max(F.transform(ratios, lambda r: F.struct(F.size(F.filter(ratios, lambda q: F.abs(q - r) <= EPSILON)).alias("n"), (-r).alias("r"))))
+        winner = bound(F.transform(common, lambda p: p["x"] / p["y"]), lambda ratios: -votes(ratios)["r"])
+        agreed = bound(winner, lambda ratio: agreeing(common, ratio))
+        return (F.size(x) + F.size(y) - F.size(common) - F.coalesce(agreed, F.lit(0))).cast("long")
+
+    return bound(common_values(x, y), measure)
 
 
-def pair_distances(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(i, j, distance) of pairs of rows from ``sparse_rows``."""
+def pair_distances(pairs: DataFrame, rows: DataFrame, most: int | None = None) -> DataFrame:
+    """(i, j, distance) of pairs of rows from ``sparse_rows``; of those within ``most`` if given."""
     left, right = rows.select(F.col("r").alias("i"), F.col("cells").alias("x")), rows.select(F.col("r").alias("j"), F.col("cells").alias("y"))
-    return pairs.join(left, "i").join(right, "j").select("i", "j", hamming(F.col("x"), F.col("y")).alias("distance"))
+    joined = pairs.join(left, "i").join(right, "j")
+    if most is not None:
+        joined = joined.filter(may_be_within(F.col("x"), F.col("y"), most))
+    measured = joined.select("i", "j", hamming(F.col("x"), F.col("y")).alias("distance"))
+    return measured if most is None else measured.filter(F.col("distance") <= most)

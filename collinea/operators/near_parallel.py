@@ -21,8 +21,9 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame, functions as F
 
 from collinea.functions.scalars import quantise
-from collinea.operators.distance import hamming, pair_distances
+from collinea.operators.distance import hamming, may_be_within, pair_distances
 from collinea.operators.reshape import sparse_rows
+from collinea.sources.workspace import cut
 
 PAIR = "i < j"
 
@@ -35,7 +36,7 @@ def exhaustive(cells: DataFrame, d: int = 2) -> DataFrame:
     rows = sparse_rows(cells)
     left = rows.select(F.col("r").alias("i"), F.col("cells").alias("x"), F.explode(F.sequence(F.greatest(F.col("nnz") - d, F.lit(1)), F.col("nnz") + d)).alias("band"))
     right = rows.select(F.col("r").alias("j"), F.col("cells").alias("y"), F.col("nnz").alias("band"))
-    pairs = left.join(right, "band").filter(PAIR)
+    pairs = left.join(right, "band").filter(PAIR).filter(may_be_within(F.col("x"), F.col("y"), d))
     return pairs.select("i", "j", hamming(F.col("x"), F.col("y")).alias("distance")).filter(F.col("distance") <= d)
 
 
@@ -84,8 +85,20 @@ def long_row_keys(cells: DataFrame, d: int, groups: int, small: int, group: Colu
     in these groups agree at one factor, so this key is stricter than a signature for each
     group, and as complete. A choice without cells has the empty signature.
     """
-    rule = (F.pmod(F.xxhash64("c"), F.lit(groups)) if group is None else group).cast("long")
-    rows = cells.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("c", "v", rule.alias("grp")))).alias("cells")).withColumn("nnz", F.size("cells").cast("long")).filter(F.col("nnz") > small)
+    if group is None:
+        return _long_keys(sparse_rows(cells), d, groups, small)
+    placed = cells.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("c", "v", group.cast("long").alias("grp")))).alias("cells"))
+    return _placed_keys(placed.withColumn("nnz", F.size("cells").cast("long")), d, groups, small)
+
+
+def _long_keys(rows: DataFrame, d: int, groups: int, small: int) -> DataFrame:
+    """The keys of ``long_row_keys`` from rows of ``sparse_rows``, without a shuffle."""
+    placed = F.transform("cells", lambda cell: F.struct(cell["c"].alias("c"), cell["v"].alias("v"), F.pmod(F.xxhash64(cell["c"]), F.lit(groups)).cast("long").alias("grp")))
+    return _placed_keys(rows.withColumn("cells", placed), d, groups, small)
+
+
+def _placed_keys(rows: DataFrame, d: int, groups: int, small: int) -> DataFrame:
+    rows = rows.filter(F.col("nnz") > small)
     chosen = lambda mask: F.filter("cells", lambda cell: cell["grp"].isin(list(mask)))
     keys = F.array(*(F.xxhash64(F.lit(k), signature(chosen(mask))) for k, mask in enumerate(combinations(range(groups), groups - d))))
     return rows.select(F.explode(keys).alias("key"), "r", "nnz")
@@ -101,8 +114,13 @@ def short_row_variants(cells: DataFrame, d: int, small: int) -> DataFrame:
 
     The first kept cell sets the scale; a blanked cell keeps its column under a mark of its own.
     """
+    return _short_variants(sparse_rows(cells), d, small)
+
+
+def _short_variants(rows: DataFrame, d: int, small: int) -> DataFrame:
+    """The variants of ``short_row_variants`` from rows of ``sparse_rows``, without a shuffle."""
     most = small + d
-    rows = sparse_rows(cells).filter(F.col("nnz") <= most)
+    rows = rows.filter(F.col("nnz") <= most)
     table = F.array(*(F.struct(F.array(*map(F.lit, gone)).cast("array<int>").alias("gone"), F.array(*map(F.lit, blank)).cast("array<int>").alias("blank")) for gone, blank in variants(d, most)))
     each = rows.select("r", "nnz", "cells", F.explode(table).alias("way")).filter("coalesce(array_max(way.gone), -1) < nnz and coalesce(array_max(way.blank), -1) < nnz")
     kept = F.filter("cells", lambda cell, k: ~F.array_contains("way.gone", k) & ~F.array_contains("way.blank", k))
@@ -133,13 +151,24 @@ def normalise_pairs(single: DataFrame, groups: DataFrame) -> DataFrame:
 
 def candidate_pairs(cells: DataFrame, d: int = 2, groups: int | None = None, small: int | None = None) -> DataFrame:
     """Distinct pairs that share a key of either path; every pair within d is among them."""
-    groups, small = 2 * d if groups is None else groups, 2 * d if small is None else small
-    if d < 1 or groups <= d or small < 2 * d:
+    _check(d, groups, small)
+    return _candidates(cut(sparse_rows(cells), "rows"), d, groups, small)
+
+
+def _check(d: int, groups: int | None, small: int | None) -> None:
+    if d < 1 or (groups is not None and groups <= d) or (small is not None and small < 2 * d):
         raise ValueError("need d >= 1, more than d groups, and short rows of 2 d cells at least")
-    keys = long_row_keys(cells, d, groups, small)
-    other = keys.select("key", F.col("r").alias("r2"), F.col("nnz").alias("nnz2"))
-    long = keys.join(other, "key").filter(F.col("r") < F.col("r2")).filter(F.abs(F.col("nnz") - F.col("nnz2")) <= d).select(F.col("r").alias("i"), F.col("r2").alias("j"))
-    short = short_row_variants(cells, d, small)
+
+
+def _candidates(rows: DataFrame, d: int, groups: int | None, small: int | None) -> DataFrame:
+    """``candidate_pairs`` of rows from ``sparse_rows``; sizes within d are part of the long rows' key."""
+    groups, small = 2 * d if groups is None else groups, 2 * d if small is None else small
+    keys = _long_keys(rows, d, groups, small)
+    other = keys.select("key", F.col("r").alias("r2"), F.col("nnz").alias("band"), F.col("nnz").alias("nnz2"))
+    banded = keys.withColumn("band", F.explode(F.sequence(F.col("nnz"), F.col("nnz") + d)))
+    met = banded.join(other, ["key", "band"]).filter((F.col("nnz") < F.col("nnz2")) | (F.col("r") < F.col("r2")))
+    long = met.select(F.least("r", "r2").alias("i"), F.greatest("r", "r2").alias("j"))
+    short = _short_variants(rows, d, small)
     second = short.select("key", "blanked", F.col("r").alias("r2"), F.col("deleted").alias("deleted2"))
     met = short.join(second, ["key", "blanked"]).filter(F.col("r") < F.col("r2")).filter(F.col("deleted") + F.col("deleted2") + F.col("blanked") <= d)
     return long.unionByName(met.select(F.col("r").alias("i"), F.col("r2").alias("j"))).distinct()
@@ -150,29 +179,42 @@ def candidate_pairs(cells: DataFrame, d: int = 2, groups: int | None = None, sma
 
 def parallel_classes(cells: DataFrame) -> DataFrame:
     """(r, rep): rows of one whole signature under their least row. Equal shapes, one class."""
-    rows = sparse_rows(cells).select("r", F.xxhash64(signature(F.col("cells"))).alias("shape"), "nnz")
+    return _classes(sparse_rows(cells))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    rows = rows.select("r", F.xxhash64(signature(F.col("cells"))).alias("shape"), "nnz")
     reps = rows.groupBy("shape", "nnz").agg(F.min("r").alias("rep"))
     return rows.join(reps, ["shape", "nnz"]).select("r", "rep")
 
 
 def class_pairs(cells: DataFrame, d: int = 2, groups: int | None = None, small: int | None = None) -> DataFrame:
     """(i, j, distance) between the representatives of parallel classes."""
-    classes = parallel_classes(cells)
-    reps = cells.join(classes.filter("r = rep").select("r"), "r", "left_semi")
-    return pair_distances(candidate_pairs(reps, d, groups, small), sparse_rows(reps)).filter(F.col("distance") <= d)
+    _check(d, groups, small)
+    rows = cut(sparse_rows(cells), "rows")
+    return _class_pairs(rows, cut(_classes(rows), "classes"), d, groups, small)
+
+
+def _class_pairs(rows: DataFrame, classes: DataFrame, d: int, groups: int | None, small: int | None) -> DataFrame:
+    reps = rows.join(classes.filter("r = rep").select("r"), "r", "left_semi")
+    return pair_distances(_candidates(reps, d, groups, small), reps, d)
 
 
 def blocked(cells: DataFrame, d: int = 2, groups: int | None = None, small: int | None = None) -> DataFrame:
     """The pairs of ``exhaustive``, found through class pairs and expanded at the end.
 
-    The expansion is the size of the answer; each expanded pair is measured on its own rows.
+    Rows and classes are written once, so every step reads them without a shuffle. The
+    expansion is the size of the answer; each expanded pair is measured on its own rows.
     """
-    classes, near = parallel_classes(cells), class_pairs(cells, d, groups, small)
+    _check(d, groups, small)
+    rows = cut(sparse_rows(cells), "rows")
+    classes = cut(_classes(rows), "classes")
+    near = _class_pairs(rows, classes, d, groups, small)
     one, two = classes.select(F.col("r").alias("a"), F.col("rep").alias("i")), classes.select(F.col("r").alias("b"), F.col("rep").alias("j"))
     across = near.select("i", "j").join(one, "i").join(two, "j").select("a", "b")
     inside = one.join(two, F.col("i") == F.col("j")).filter("a < b").select("a", "b")
     pairs = across.unionByName(inside).select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
-    return pair_distances(pairs, sparse_rows(cells)).filter(F.col("distance") <= d)
+    return pair_distances(pairs, rows, d)
 
 
 def pairs_difference(left: DataFrame, right: DataFrame) -> DataFrame:
