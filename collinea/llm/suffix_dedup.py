@@ -16,8 +16,10 @@ Contexts lie in the sorted buffer with their anchors at multiples of the cover's
 strings that may be equal have equal residues and one sample offset serves them.
 
 Defined results: null and empty texts have no bytes; texts under 100 bytes lose none; rows
-with a null id, or whose id stands for several texts, stay whole and lend no earlier string;
-equal rows with one id are one document; extra columns are ignored.
+with a null id stay whole and lend no earlier string; equal rows with one id are one document;
+the unlike texts of one id are parts of it that matches don't cross, and of two equal strings in
+different parts the one in the part of lesser text hash counts as earlier; extra columns are
+ignored. A very long text is held whole, with a few 8-byte arrays over its bytes.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ BLOCK_ENTRIES = 750_000
 BLOCK_CONTEXTS = 60_000
 SLICE_CONTEXTS = 3_000
 
-ENTRY = np.dtype([("token", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("size", "<i2"), ("turn", "<i2")])
+ENTRY = np.dtype([("token", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("part", "<i8"), ("at", "<i4"), ("size", "<i2"), ("turn", "<i2")])
 
 
 def anchored_runs(chunk: Chunk, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -106,14 +108,14 @@ def _deal(entries: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
 
 def _repeats(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries sorted by token, run and place; and which of them repeat an earlier run."""
-    entries = entries[np.lexsort((entries["at"], entries["doc"], entries["run"], entries["token"]))]
+    entries = entries[np.lexsort((entries["at"], entries["part"], entries["doc"], entries["run"], entries["token"]))]
     new = np.append(True, (entries["token"][1:] != entries["token"][:-1]) | (entries["run"][1:] != entries["run"][:-1]))
     first = entries[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    return entries, (entries["doc"] != first["doc"]) | (entries["at"] != first["at"])
+    return entries, (entries[["doc", "part", "at"]] != first[["doc", "part", "at"]])
 
 
 def _runs(docs: DataFrame, blocks: int) -> DataFrame:
-    """(kind, doc, at, size, turn): covered runs (0), and first runs whose anchor has others (1)."""
+    """(kind, doc, part, at, size, turn): covered runs (0), and first runs whose anchor has others (1)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -127,11 +129,12 @@ def _runs(docs: DataFrame, blocks: int) -> DataFrame:
                 yield _deal(entries[again], blocks + entries["doc"][again] % blocks)
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, parts = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("doc_id", "part"))
             for chunk in chunks(batch, "text", 1_000_000):
                 row, start, size, at, token, run = anchored_runs(chunk)
                 entries = np.empty(len(row), ENTRY)
                 entries["token"], entries["run"], entries["doc"] = token, run, ids[chunk.lo + row]
+                entries["part"] = parts[chunk.lo + row]
                 entries["at"], entries["size"], entries["turn"] = start - chunk.offsets[row], size, at - start
                 held.append(entries)
                 if sum(map(len, held)) >= BLOCK_ENTRIES:
@@ -153,29 +156,29 @@ def _runs(docs: DataFrame, blocks: int) -> DataFrame:
             keep = again | several
             kind = np.where(again, 0, 1)[keep]
             entries = entries[keep]
-        columns = [kind, *(entries[name].astype(np.int64) for name in ("doc", "at", "size", "turn"))]
-        return pa.table([pa.array(c) for c in columns], ["kind", "doc", "at", "size", "turn"])
+        columns = [kind, *(entries[name].astype(np.int64) for name in ("doc", "part", "at", "size", "turn"))]
+        return pa.table([pa.array(c) for c in columns], ["kind", "doc", "part", "at", "size", "turn"])
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "block int, " + ", ".join(f"{name} binary" for name in ENTRY.names))
-    return dealt.groupBy("block").applyInArrow(settle, "kind long, doc long, at long, size long, turn long")
+    dealt = docs.select("doc_id", "part", "text").mapInArrow(deal, "block int, " + ", ".join(f"{name} binary" for name in ENTRY.names))
+    return dealt.groupBy("block").applyInArrow(settle, "kind long, doc long, part long, at long, size long, turn long")
 
 
 def _contexts(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
-    """(bucket, doc, at, size, turn, content): the bytes of open runs, in halves around the anchor.
+    """(bucket, doc, part, at, size, turn, content): the bytes of open runs, in halves around the anchor.
 
     Windows that start close before the anchor share the bytes after it, the others the bytes
     before it; those shared bytes name the bucket.
     """
     half = (LENGTH - ANCHOR) // 2
-    wanted = open_runs.groupBy("doc").agg(F.collect_list(F.struct("at", "size", "turn")).alias("runs"))
-    joined = docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "runs")
+    wanted = open_runs.groupBy("doc", "part").agg(F.collect_list(F.struct("at", "size", "turn")).alias("runs"))
+    joined = docs.join(wanted.withColumnRenamed("doc", "doc_id"), ["doc_id", "part"]).select("doc_id", "part", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = batch.column("runs")
             lists, values = np.asarray(runs.offsets), runs.values
             at, size, turn = (np.asarray(values.field(k)) for k in range(3))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, parts = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("doc_id", "part"))
             for chunk in chunks(batch, "text", 1_000_000):
                 lo, hi = int(lists[chunk.lo]), int(lists[chunk.hi])
                 row = np.repeat(np.arange(chunk.rows), np.diff(lists[chunk.lo : chunk.hi + 1]))
@@ -193,10 +196,10 @@ def _contexts(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
                     bucket = mix(shared ^ np.uint64(side + 1)).view(np.int64)
                     content = pa.array([raw[x : y + LENGTH] for x, y in zip(a.tolist(), b.tolist())], pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket), pa.array(ids[chunk.lo + row[here]].astype(np.int64)), pa.array(a - base[here]), pa.array(b - a + 1), pa.array(p - a), content], ["bucket", "doc", "at", "size", "turn", "content"]
+                        [pa.array(bucket), pa.array(ids[chunk.lo + row[here]].astype(np.int64)), pa.array(parts[chunk.lo + row[here]].astype(np.int64)), pa.array(a - base[here]), pa.array(b - a + 1), pa.array(p - a), content], ["bucket", "doc", "part", "at", "size", "turn", "content"]
                     )
 
-    return joined.mapInArrow(run, "bucket long, doc long, at long, size long, turn long, content binary")
+    return joined.mapInArrow(run, "bucket long, doc long, part long, at long, size long, turn long, content binary")
 
 
 def difference_cover(period: int) -> np.ndarray:
@@ -222,8 +225,8 @@ def _rank(words: np.ndarray) -> np.ndarray:
     return rank
 
 
-def repeated_strings(contents: list[bytes], turns: np.ndarray, sizes: np.ndarray, buckets: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, place) of the strings in a slice of whole buckets that an equal earlier one precedes.
+def repeated_strings(contents: list[bytes], turns: np.ndarray, sizes: np.ndarray, buckets: np.ndarray, docs: np.ndarray, parts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, part, place) of the strings in a slice of whole buckets that an equal earlier one precedes.
 
     Context ``k`` holds ``sizes[k]`` strings; the first starts at ``places[k]`` of its document
     and ``turns[k]`` bytes before its anchor.
@@ -252,65 +255,70 @@ def repeated_strings(contents: list[bytes], turns: np.ndarray, sizes: np.ndarray
     owner, offset = owner[order], offset[order]
     whole = _words(buffer, suffix[order], LENGTH)
     new = np.append(True, (whole[1:] != whole[:-1]).any(axis=1) | (buckets[owner[1:]] != buckets[owner[:-1]]))
-    group, doc, place = np.cumsum(new) - 1, docs[owner], places[owner] + offset
-    by_place = np.lexsort((place, doc, group))
-    group, doc, place = group[by_place], doc[by_place], place[by_place]
+    group, doc, part, place = np.cumsum(new) - 1, docs[owner], parts[owner], places[owner] + offset
+    by_place = np.lexsort((place, part, doc, group))
+    group, doc, part, place = (x[by_place] for x in (group, doc, part, place))
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))[group]
-    later = (doc != doc[first]) | (place != place[first])
-    return doc[later], place[later]
+    later = (doc != doc[first]) | (part != part[first]) | (place != place[first])
+    return doc[later], part[later], place[later]
 
 
 def _settled_contexts(contexts: DataFrame) -> DataFrame:
-    """(doc, start, end) spans of repeated strings, from the sorted buckets."""
+    """(doc, part, start, end) spans of repeated strings, from the sorted buckets."""
 
     def settle(block: pa.Table) -> pa.Table:
-        bucket, doc, at, size, turn = (block.column(name).to_numpy() for name in ("bucket", "doc", "at", "size", "turn"))
+        bucket, doc, part, at, size, turn = (block.column(name).to_numpy() for name in ("bucket", "doc", "part", "at", "size", "turn"))
         order = np.argsort(bucket, kind="stable")
         new = np.append(True, bucket[order][1:] != bucket[order][:-1])
         group = np.cumsum(new) - 1
         order = order[np.bincount(group)[group] > 1]
         contents = block.column("content").take(pa.array(order)).to_pylist()
-        bucket, doc, at, size, turn = (x[order] for x in (bucket, doc, at, size, turn))
+        bucket, doc, part, at, size, turn = (x[order] for x in (bucket, doc, part, at, size, turn))
         edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-        docs, places, lo = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        spans, lo = [(np.zeros(0, np.int64),) * 3], 0
         while lo < len(bucket):
             hi = int(edges[max(np.searchsorted(edges, lo + SLICE_CONTEXTS, "right") - 1, np.searchsorted(edges, lo) + 1)])
-            found = repeated_strings(contents[lo:hi], turn[lo:hi], size[lo:hi], bucket[lo:hi], doc[lo:hi], at[lo:hi])
-            docs.append(found[0])
-            places.append(found[1])
+            spans.append(repeated_strings(contents[lo:hi], turn[lo:hi], size[lo:hi], bucket[lo:hi], doc[lo:hi], part[lo:hi], at[lo:hi]))
             lo = hi
-        doc, place = np.concatenate(docs), np.concatenate(places)
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        new = np.append(True, (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)) if len(doc) else np.zeros(0, bool)
+        doc, part, place = (np.concatenate(x) for x in zip(*spans))
+        order = np.lexsort((place, part, doc))
+        doc, part, place = doc[order], part[order], place[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]) | (place[1:] > place[:-1] + 1)) if len(doc) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(doc))[: len(first)] - 1
-        return pa.table([pa.array(doc[first]), pa.array(place[first]), pa.array(place[last] + LENGTH)], ["doc", "start", "end"])
+        return pa.table([pa.array(doc[first]), pa.array(part[first]), pa.array(place[first]), pa.array(place[last] + LENGTH)], ["doc", "part", "start", "end"])
 
     blocks = contexts.count() // BLOCK_CONTEXTS + 1
     dealt = contexts.withColumn("block", F.pmod("bucket", F.lit(blocks)))
-    return dealt.groupBy("block").applyInArrow(settle, "doc long, start long, end long")
+    return dealt.groupBy("block").applyInArrow(settle, "doc long, part long, start long, end long")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, start, end) byte spans that hold every byte to remove; spans may overlap."""
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").filter("doc_id is not null")
-    texts = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"), F.sum(F.octet_length("text")).alias("n"))
-    total, clashes = texts.agg(F.sum("n"), F.count_if(F.col("low") != F.col("high"))).first()
-    if clashes:
-        docs = docs.join(texts.filter("low != high").select("doc_id"), "doc_id", "left_anti")
-    blocks = int((total or 0) * 2 // (LENGTH - ANCHOR + 2)) // BLOCK_ENTRIES + 1
+def _parted(docs: DataFrame) -> DataFrame:
+    """doc_id, text and part of each row: 0, or the text's hash where the id stands for several texts."""
+    source = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    several = source.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high")).filter("low != high").select("doc_id")
+    if several.isEmpty():
+        return source.withColumn("part", F.lit(0).cast("long"))
+    marked = source.join(several.withColumn("clash", F.lit(True)), "doc_id", "left")
+    return marked.select("doc_id", "text", F.when(F.col("clash"), F.xxhash64("text")).otherwise(0).alias("part"))
+
+
+def repeated_spans(parted: DataFrame) -> DataFrame:
+    """(doc, part, start, end) byte spans that hold every byte to remove; spans may overlap."""
+    docs = parted.filter("doc_id is not null")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = int(total * 2 // (LENGTH - ANCHOR + 2)) // BLOCK_ENTRIES + 1
     runs = cut(_runs(docs, blocks), "suffix-runs")
     contexts = cut(_contexts(docs, runs.filter("kind = 1")), "suffix-contexts")
-    whole = runs.filter("kind = 0").select("doc", F.col("at").alias("start"), (F.col("at") + F.col("size") - 1 + LENGTH).alias("end"))
+    whole = runs.filter("kind = 0").select("doc", "part", F.col("at").alias("start"), (F.col("at") + F.col("size") - 1 + LENGTH).alias("end"))
     return whole.unionByName(_settled_contexts(contexts))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with the kept bytes if asked."""
-    spans = cut(repeated_spans(docs), "suffix-spans").groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    source = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    joined = source.join(spans.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("doc_id", "text", "starts", "ends")
+    source = _parted(docs)
+    spans = cut(repeated_spans(source), "suffix-spans").groupBy("doc", "part").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    joined = source.join(spans.withColumnRenamed("doc", "doc_id"), ["doc_id", "part"], "left").select("doc_id", "text", "starts", "ends")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

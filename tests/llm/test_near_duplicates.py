@@ -134,11 +134,31 @@ def test_suffix_dedup_edges(spark):
     long = "z" + "".join(chr(97 + int(c, 16)) for c in hashlib.sha512(b"a").hexdigest() + hashlib.sha512(b"b").hexdigest() + hashlib.sha256(b"c").hexdigest())[:299]
     docs = spark.createDataFrame([(1, long), (1, long), (2, long), (3, "x" + long), (4, "y" + long)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in S.remove_repeats(docs).collect()) == [(1, 0), (1, 0), (2, 300), (3, 300), (4, 300)]
-    clash = spark.createDataFrame([(1, long), (1, long + "!"), (2, long)], "doc_id long, text string")
-    assert all(r.n_removed == 0 for r in S.remove_repeats(clash).collect())
+    assert sum(r.n_removed == 0 for r in S.remove_repeats(spark.createDataFrame([(1, long), (1, "!" + long + "!"), (2, long)], "doc_id long, text string")).collect()) == 1
     assert S.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_ids_of_several_texts(spark):
+    rng = random.Random(6)
+    phrase = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(90, 250))) for _ in range(8)]
+    rows = [(rng.choice([1, 2, 3, 50, 60, 70 + k]), "".join(rng.choice(phrase)[rng.randint(0, 20) :] for _ in range(rng.randint(0, 3)))) for k in range(60)] + [(3, None), (3, None)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string").repartition(4)
+    part = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) h").distinct().collect()}
+    seen, want = set(), {}
+    for d, text in sorted(set(rows), key=lambda row: (row[0], part[row[1]])):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(raw[k : k + 100])
+        want.setdefault(d, []).append((len(raw), sum(gone), hashlib.sha256(bytes(b for b, g in zip(raw, gone) if not g)).hexdigest()))
+    got = {}
+    for r in S.remove_repeats(docs).collect():
+        got.setdefault(r.doc_id, set()).add((r.n_bytes, r.n_removed, r.kept_sha256))
+    assert got == {d: set(x) for d, x in want.items()} and len(want[1]) > 3
+
+
 def test_difference_cover():
     for period in (7, 32, 64):
         cover = set(S.difference_cover(period).tolist())
