@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from collinea.functions.scalars import is_nonzero, trim_right
+from collinea.sources.workspace import cut
 
 #: fixed values: section headers, matched as prefixes
 HEADERS = ("NAME", "ROWS", "COLUMNS", "RHS", "BOUNDS", "RANGES", "OBJECT", "ENDATA")
@@ -80,9 +81,10 @@ def row_dimension(spark: SparkSession, path: str, fixed_width: bool = False) ->
 def numbered(cells: DataFrame, key: str, name: str) -> DataFrame:
     """Dense numbers for keys, in key order: counts for each range partition, then offsets.
 
-    Only one number for each partition is gathered; rows stay where the range sort put them.
+    Only one number for each partition is gathered. The ranges are written once and reread, so
+    that counts and rows see the same partition numbers, whatever adaptive execution merges.
     """
-    keys = cells.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
+    keys = cut(cells.select(key).distinct().repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "numbered")
     counts = keys.groupBy("_p").agg(F.count("*").alias("n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
