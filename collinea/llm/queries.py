@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from collinea.llm import decontamination, html_extraction, line_dedup, ngram_jaccard, quality_rules, sentencepieces, sharding, suffix_dedup, toxicity, url_filters
+from collinea.llm import decontamination, html_extraction, line_dedup, ngram_jaccard, quality_rules, sentencepieces, sharding, substring_dedup, suffix_dedup, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_failed_lines", "kept")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -118,6 +122,7 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_url_filters": op9_url_filters,
         "op10_quality_rules": op10_quality_rules,
+        "op11_substring_dedup": op11_substring_dedup,
     }
 
 
