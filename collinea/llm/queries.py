@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from collinea.llm import decontamination, html_extraction, line_dedup, ngram_jaccard, quality_rules, sentencepieces, sharding, substring_dedup, suffix_dedup, toxicity, url_filters
+from collinea.llm import collocations, decontamination, html_extraction, line_dedup, ngram_jaccard, quality_rules, sentencepieces, sharding, substring_dedup, suffix_dedup, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,10 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -110,6 +114,27 @@ SELECT p.page_id, p.host, p.path, CASE WHEN best.tier = 1 THEN best.name END AS
 FROM p LEFT JOIN b ON p.host = b.host AND p.path = b.path"""
 
 
+def _op12_sql() -> str:
+    support, top = collocations.SUPPORT, collocations.TOP
+    lower = f"translate(coalesce(text, ''), '{url_filters.UPPER}', '{url_filters.LOWER}')"
+    return rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({lower}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+f AS (SELECT lang, m, ws[i:i + m - 1] AS p, count(*)::BIGINT AS f
+      FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3, 4]) AS m)
+      WHERE i + m - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= {support}),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+cuts AS (SELECT c.lang, c.m, c.p, c.f AS a, x.f AS l, y.f AS r, k, (2000000::HUGEINT * c.f) // (x.f::HUGEINT + y.f) AS score
+         FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m >= 2) c
+         JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:m]),
+best AS (SELECT lang, m, p, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+longer AS (SELECT lang, p[s:s + q - 1] AS p, max(a)::HUGEINT AS most
+           FROM (SELECT *, unnest(range(1, m - q + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS q FROM best)) GROUP BY ALL),
+kept AS (SELECT best.*, array_to_string(best.p, ' ') AS phrase FROM best LEFT JOIN longer USING (lang, p) WHERE most IS NULL OR 100 * most < 80 * a::HUGEINT),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= {top}"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -123,8 +148,9 @@ def queries() -> dict[str, Query]:
         "op9_url_filters": op9_url_filters,
         "op10_quality_rules": op10_quality_rules,
         "op11_substring_dedup": op11_substring_dedup,
+        "op12_phrase_collocations": op12_phrase_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": _op4_sql(), "op9_url_filters": _op9_sql()}
+    return {"op4_sharding": _op4_sql(), "op9_url_filters": _op9_sql(), "op12_phrase_collocations": _op12_sql()}
