@@ -124,9 +124,9 @@ f AS (SELECT lang, m, ws[i:i + m - 1] AS p, count(*)::BIGINT AS f
       FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3, 4]) AS m)
       WHERE i + m - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= {support}),
 n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
-cuts AS (SELECT c.lang, c.m, c.p, c.f AS a, x.f AS l, y.f AS r, k, (2000000::HUGEINT * c.f) // (x.f::HUGEINT + y.f) AS score
+cuts AS (SELECT c.lang, c.m AS m, c.p AS p, c.f AS a, x.f AS l, y.f AS r, c.k AS k, (2000000::HUGEINT * c.f) // (x.f::HUGEINT + y.f) AS score
          FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m >= 2) c
-         JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:m]),
+         JOIN f x ON x.lang = c.lang AND x.p = c.p[1:c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1:c.m]),
 best AS (SELECT lang, m, p, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
 longer AS (SELECT lang, p[s:s + q - 1] AS p, max(a)::HUGEINT AS most
            FROM (SELECT *, unnest(range(1, m - q + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS q FROM best)) GROUP BY ALL),
