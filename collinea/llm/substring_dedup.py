@@ -4,7 +4,7 @@ Suffixes are word sequences, cut at 50 words, of the windows of all documents; a
 internal node of depth 50 in their tree. The tree is built in parts that never meet:
 
 * A suffix's prefix runs from its first word through its anchor, the leftmost ``ANCHOR``-word
-  string of least hash in its window, so prefixes have 16 to 50 words. Equal suffixes have equal
+  string of least hash in its window, so prefixes have 8 to 50 words. Equal suffixes have equal
   prefixes. Neighbouring suffixes with one anchor travel as a run, which holds their words once.
 * Equal runs are one path with many owners, of which the least and the greatest document are
   kept (a grouped minimum, summed up before the shuffle). Anchors of one document are leaves
@@ -38,10 +38,10 @@ from collinea.llm.common import NOT_SPACE, Chunk, RangeHash, chunks, cut, segmen
 from collinea.llm.suffix_dedup import anchored_runs
 
 LENGTH = 50
-ANCHOR = 16
+ANCHOR = 8
 TEXT_BYTES = 1_000_000
 GROUP_RUNS = 20_000
-SPLIT_RUNS = 5_000
+SPLIT_RUNS = 1_000
 SLICE_WORDS = 1_000_000
 
 
