@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from collinea.llm import collocations, decontamination, html_extraction, line_dedup, ngram_jaccard, quality_rules, sentencepieces, sharding, substring_dedup, suffix_dedup, toxicity, url_filters
+from collinea.llm import collocations, conversation_trie, decontamination, html_extraction, line_dedup, ngram_jaccard, quality_rules, sentencepieces, sharding, substring_dedup, suffix_dedup, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +82,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.branched_trie(table(spark, sf_dir, "conversations"))
+
+
 def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -135,6 +139,26 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= {top}"""
 
 
+def _op13_sql() -> str:
+    # crc32, bit by bit: the reflected polynomial, all bits of start and end inverted
+    step = "list_reduce(list_concat([xor(crc, byte)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, bit: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))"
+    crc = f"xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::UBIGINT)), lambda crc, byte: {step}), 4294967295::UBIGINT)"
+    return rf"""
+WITH own AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, turns, ({crc} % 4)::INT AS h FROM own),
+path AS (SELECT h.c AS c, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS path FROM h LEFT JOIN own b ON b.c = h.c - h.c % 20),
+n AS (SELECT path[1:d] AS p, d, min(c) AS low, count(*) AS n_convs, coalesce(array_to_string(list(c ORDER BY c) FILTER (WHERE len(path) = d), ','), '') AS ends
+      FROM (SELECT c, path, unnest(range(0, len(path) + 1)) AS d FROM path) GROUP BY ALL),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT n.p AS p, n.d AS d, coalesce(n_children, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE len(regexp_extract_all(n.p[n.d].t, '[^ 	-]+')) END * (n_convs - 1) AS saved
+      FROM n LEFT JOIN kids ON kids.p = n.p),
+s AS (SELECT p[1:k] AS p, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM w) GROUP BY ALL)
+SELECT n.low::BIGINT AS conv_id, n.d::BIGINT AS depth, a.low::BIGINT AS parent_conv_id, n.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children,
+       s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN w ON w.p = n.p JOIN s ON s.p = n.p LEFT JOIN n a ON n.d > 0 AND a.p = n.p[1:n.d - 1]"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -149,8 +173,9 @@ def queries() -> dict[str, Query]:
         "op10_quality_rules": op10_quality_rules,
         "op11_substring_dedup": op11_substring_dedup,
         "op12_phrase_collocations": op12_phrase_collocations,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": _op4_sql(), "op9_url_filters": _op9_sql(), "op12_phrase_collocations": _op12_sql()}
+    return {"op4_sharding": _op4_sql(), "op9_url_filters": _op9_sql(), "op12_phrase_collocations": _op12_sql(), "op13_conversation_trie": _op13_sql()}
