@@ -6,11 +6,13 @@ of exactly the windows that start with it, Spark's ROLLUP over (lang, w1, w2, w3
 counts of all shorter phrases and each language's number of words; there is no explosion for
 each order.
 
-A phrase below the support can't be a candidate nor a part of one, and a phrase with a rare pair
-of neighbours is rare. So windows are padded from their first pair on that is certainly rare: a
-table of ``BUCKETS`` saturating counters, filled over all texts, bounds each pair's count from
-above. It never pads away a phrase with support; where many pairs share a counter it only pads less.
-The table's bits (one for each counter, a constant 4 MB) are the only thing broadcast.
+A phrase below the support can't be a candidate nor a part of one, and neither can a longer one that
+holds it. So a window is padded from the first word on with which it is certainly rare. Two tables
+of ``BUCKETS`` saturating counters, filled over all texts, bound counts from above: one for pairs of
+neighbours, the next for strings of three and four words without a rare pair. They never pad away a
+phrase with support. Windows left are about as many as phrases with support; where very many strings
+share a counter, as in far larger corpora, less is padded and the windows' own number is the cost.
+A table's bits (one for each counter, a constant 4 MB) are the only thing broadcast.
 
 Windows are summed up by text before each shuffle, so a hot pair or word is one row of each task.
 The first 2,000 of a language are taken among ``SLICES`` slices of phrases first, so no task holds
@@ -37,7 +39,7 @@ TOP = 2_000
 ORDER = 4
 SCALE = 2_000_000
 SLICES = 64
-TEXT_BYTES = 6_000_000
+TEXT_BYTES = 2_500_000
 BUCKETS = 1 << 25
 BLOCK = 1 << 13
 
@@ -48,8 +50,8 @@ MEMBER = ~ENDS
 MEMBER[[32, 9]] = False
 
 
-def _words(batch: pa.RecordBatch) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(lower-cased chunk, start, end, row, pair, joined): ``pair`` hashes a word with its successor, where ``joined``."""
+def _words(batch: pa.RecordBatch) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(lower-cased chunk, start, end, row, hashes, joined): of strings of 2, 3, 4 words from each word; whether its successor is in its piece."""
     names, offsets = string_buffer(batch.column("lang"))
     langs = mix(RangeHash(names[: offsets[-1]]).of(offsets[:-1], offsets[1:]) + np.uint64(1))
     for raw in chunks(batch, "text", TEXT_BYTES):
@@ -60,20 +62,51 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[Chunk, np.ndarray, np.ndarra
         codes = RangeHash(chunk.data).of(start, end) ^ langs[chunk.lo + row]
         ends = np.append(0, np.cumsum(ENDS[chunk.data], dtype=np.int32))
         joined = np.append((ends[start[1:]] == ends[end[:-1]]) & (row[1:] == row[:-1]), False)
-        pair = mix(codes * np.uint64(3) + np.append(codes[1:], np.uint64(0)))
-        yield chunk, start, end, row, pair, joined
+        hashes = [codes]
+        for k in range(1, ORDER):
+            hashes.append(mix(hashes[-1] * np.uint64(2 * k + 1) + _later(codes, k)))
+        yield chunk, start, end, row, hashes[1:], joined
 
 
-def pair_filter(texts: DataFrame, support: int = SUPPORT, buckets: int = BUCKETS) -> np.ndarray:
-    """One bit for each counter: whether the pairs that share it occur ``support`` times together."""
+def _later(values: np.ndarray, k: int) -> np.ndarray:
+    """Each place's value ``k`` places on; zeros behind the end."""
+    out = np.zeros_like(values)
+    out[: max(len(values) - k, 0)] = values[k:]
+    return out
+
+
+def _frequent(bits: np.ndarray, hashes: np.ndarray, buckets: int) -> np.ndarray:
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    return ((bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _unbroken(joined: np.ndarray) -> list[np.ndarray]:
+    """From which words strings of 2, 3 and 4 words go through joints that hold."""
+    out = [joined]
+    for k in range(1, ORDER - 1):
+        out.append(out[-1] & _later(joined, k))
+    return out
+
+
+def support_filter(texts: DataFrame, support: int = SUPPORT, buckets: int = BUCKETS, pairs: np.ndarray | None = None) -> np.ndarray:
+    """One bit for each counter: whether the strings that share it occur ``support`` times together.
+
+    Counts pairs; given the pairs' bits, strings of three and four words whose pairs all are frequent.
+    """
     most = min(support, 255)
     blocks = -(-buckets // BLOCK)
+    shared = None if pairs is None else texts.sparkSession.sparkContext.broadcast(pairs.tobytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(blocks * BLOCK, np.uint8)
         for batch in batches:
-            for _, _, _, _, pair, joined in _words(batch):
-                bucket, n = np.unique((pair[joined] % np.uint64(buckets)).astype(np.int64), return_counts=True)
+            for _, _, _, _, hashes, joined in _words(batch):
+                if shared is None:
+                    counted = hashes[0][joined]
+                else:
+                    holds = _unbroken(joined & _frequent(np.frombuffer(shared.value, np.uint8), hashes[0], buckets))
+                    counted = np.concatenate([h[ok] for h, ok in zip(hashes[1:], holds[1:])])
+                bucket, n = np.unique((counted % np.uint64(buckets)).astype(np.int64), return_counts=True)
                 table[bucket] = np.minimum(table[bucket] + n, most)
         for lo in range(0, blocks, 256):
             part = table[lo * BLOCK : (lo + 256) * BLOCK]
@@ -110,31 +143,28 @@ def pair_filter(texts: DataFrame, support: int = SUPPORT, buckets: int = BUCKETS
     return bits
 
 
-def lead_windows(texts: DataFrame, bits: np.ndarray, buckets: int = BUCKETS) -> DataFrame:
+def lead_windows(texts: DataFrame, pairs: np.ndarray, longer: np.ndarray, buckets: int = BUCKETS) -> DataFrame:
     """(lang, w1, w2, w3, w4, n): padded longest windows, summed up within runs of texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
+    shared = texts.sparkSession.sparkContext.broadcast((pairs.tobytes(), longer.tobytes()))
     columns = [f"w{k + 1}" for k in range(ORDER)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.frombuffer(shared.value, np.uint8)
+        frequent = [np.frombuffer(bits, np.uint8) for bits in shared.value]
         for batch in batches:
             langs = batch.column("lang").dictionary_encode()
             lang = langs.indices.to_numpy().astype(np.int64)
-            for chunk, start, end, row, pair, joined in _words(batch):
-                bucket = (pair % np.uint64(buckets)).astype(np.int64)
-                goes_on = joined & ((frequent[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1).astype(bool)
+            for chunk, start, end, row, hashes, joined in _words(batch):
+                # a lead is there if all strings that its window then holds may be frequent
+                open_ = [joined & _frequent(frequent[0], hashes[0], buckets)]
+                for k in range(2, ORDER):
+                    open_.append(open_[-1] & _later(open_[-1], 1) & _frequent(frequent[1], hashes[k - 1], buckets))
                 # exact numbers of words, from their bytes
                 word, at = segment_index(end - start)
                 offsets = np.append(0, np.cumsum(end - start)).astype(np.int64)
                 texts_ = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(chunk.data[start[word] + at]))
                 coded = texts_.dictionary_encode()
                 ids = coded.indices.to_numpy().astype(np.int64) + 1
-                # names of padded windows of 1, 2 and 4 words; 0 pads
-                n = len(ids)
-                leads, open_ = [ids], np.ones(n, bool)
-                for k in range(1, ORDER):
-                    open_ = open_ & np.append(goes_on[k - 1 :], np.zeros(k - 1, bool))
-                    leads.append(np.where(open_, np.append(ids[k:], np.zeros(k, np.int64)), 0))
+                leads = [ids, *(np.where(open_[k - 1], _later(ids, k), 0) for k in range(1, ORDER))]  # 0 pads
                 many = len(coded.dictionary) + 1
                 name = lang[chunk.lo + row]
                 for lead in leads:
@@ -149,9 +179,10 @@ def lead_windows(texts: DataFrame, bits: np.ndarray, buckets: int = BUCKETS) ->
 def phrase_counts(docs: DataFrame, support: int = SUPPORT, buckets: int = BUCKETS) -> DataFrame:
     """(lang, size, phrase, f) of all phrases of at most four words with support; size 0: words of the language."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bits = pair_filter(texts, support, buckets)
+    pairs = support_filter(texts, support, buckets)
+    longer = support_filter(texts, support, buckets, pairs)
     keys = ["lang", *(f"w{k + 1}" for k in range(ORDER))]
-    windows = lead_windows(texts, bits, buckets).groupBy(*keys).agg(F.sum("n").alias("n"))
+    windows = lead_windows(texts, pairs, longer, buckets).groupBy(*keys).agg(F.sum("n").alias("n"))
     sums = windows.rollup(*keys).agg(F.sum("n").alias("f"), F.grouping_id().alias("summed"))
     size = F.lit(ORDER) - F.bit_count("summed")  # a bit for each column that is summed over
     phrase = F.concat_ws(" ", *keys[1:])

@@ -78,8 +78,9 @@ def test_empty_table(spark):
     assert found(spark, []) == []
 
 
-def test_pair_filter_has_no_false_negatives(spark):
+def test_support_filter(spark):
     rows = planted(3)
     docs = spark.createDataFrame(rows, "lang string, text string").na.fill("")
-    bits = np.unpackbits(C.pair_filter(docs, 30, 1 << 14))
-    assert 0 < bits.sum() < 400
+    pairs = C.support_filter(docs, 30, 1 << 14)
+    longer = C.support_filter(docs, 30, 1 << 14, pairs)
+    assert 0 < np.unpackbits(longer).sum() < 400 and 0 < np.unpackbits(pairs).sum() < 400
