@@ -41,7 +41,7 @@ LENGTH = 50
 ANCHOR = 8
 TEXT_BYTES = 1_000_000
 GROUP_RUNS = 20_000
-SPLIT_RUNS = 1_000
+SPLIT_RUNS = 5_000
 SLICE_WORDS = 1_000_000
 
 
