@@ -208,10 +208,20 @@ def hamming_fixed_ratio(spark, d):
     return measured(spark, d, lambda x, y: distance.hamming_fixed_ratio(x, y, F.lit(0.5)))
 
 
-@query(f"SELECT i, j, distance FROM ({distance_sql('events', 2, NEXT_SQL)}) WHERE 2 * distance < 5")
+@query(
+    with_cells(
+        "events",
+        f""", n AS (SELECT r, count(*) AS n FROM cell GROUP BY r), p AS (SELECT n.r AS i, o.r AS j, n.n + o.n AS total FROM n JOIN n o ON {NEXT_SQL}),
+q AS (SELECT i, j, a.c, a.v AS x, b.v AS y FROM p JOIN cell a ON a.r = i JOIN cell b ON b.r = j AND b.c = a.c),
+w AS (SELECT i, j, list_reduce(list_concat([struct_pack(r := 0.0::DOUBLE, n := 0)], list(struct_pack(r := x / y, n := 0) ORDER BY c)), lambda a, b:
+             CASE WHEN abs(a.r - b.r) <= 1e-10 THEN struct_pack(r := a.r, n := a.n + 1) WHEN a.n = 0 THEN struct_pack(r := b.r, n := 1) ELSE struct_pack(r := a.r, n := a.n - 1) END).r AS ratio FROM q GROUP BY i, j),
+k AS (SELECT i, j, count(*) AS m, count(*) FILTER (abs(x - y * ratio) <= 1e-10) AS k FROM q JOIN w USING (i, j) GROUP BY i, j)
+SELECT p.i, p.j, (total - coalesce(m, 0) - coalesce(k, 0))::BIGINT AS distance FROM p LEFT JOIN k ON p.i = k.i AND p.j = k.j""",
+    )
+)
 def majority_hamming(spark, d):
-    """Only where fewer than half of five columns differ is the majority's ratio the best one."""
-    return measured(spark, d, distance.majority_hamming).filter(2 * F.col("distance") < 5)
+    """The vote on all pairs of neighbouring keys, also where no ratio has a majority."""
+    return measured(spark, d, distance.majority_hamming)
 
 
 @query(near_sql("events", 2))
@@ -267,9 +277,49 @@ def band_candidates(spark, d):
     return near_parallel.band_candidates(nation_cells(spark, d))
 
 
-@query()
+_CLASSES = """ordered AS (SELECT r, list(struct_pack(c := c, v := v) ORDER BY c) AS cells FROM cell GROUP BY r),
+shaped AS (SELECT r, list_transform(cells, lambda x: struct_pack(c := x.c, q := round(x.v / cells[1].v * 1e10)::BIGINT)) AS shape FROM ordered),
+class AS (SELECT r, min(r) OVER (PARTITION BY shape) AS rep FROM shaped)"""
+
+
+@query(
+    with_cells(
+        "lineitem",
+        f""", {_CLASSES}, size AS (SELECT rep, count(*) AS n FROM class GROUP BY rep),
+rc AS (SELECT cell.* FROM cell JOIN class ON class.r = cell.r AND rep = cell.r), n AS (SELECT r, count(*) AS n FROM rc GROUP BY r),
+shared AS (SELECT a.r AS i, b.r AS j, count(*) AS m FROM rc a JOIN rc b ON a.c = b.c AND a.r < b.r GROUP BY 1, 2),
+pair AS (SELECT i, j, x.n + y.n AS total, m FROM shared JOIN n x ON x.r = i JOIN n y ON y.r = j WHERE x.n + y.n - 2 * m <= 2
+         UNION ALL SELECT x.r, y.r, x.n + y.n, 0 FROM n x JOIN n y ON x.r < y.r AND x.n = 1 AND y.n = 1 ANTI JOIN shared ON i = x.r AND j = y.r),
+common AS (SELECT i, j, total, m, a.v AS x, b.v AS y FROM pair LEFT JOIN rc a ON a.r = i AND m > 0 LEFT JOIN rc b ON b.r = j AND b.c = a.c WHERE m = 0 OR b.v IS NOT NULL),
+best AS (SELECT p.i, p.j, p.total, p.m, p.x, p.y, count(*) FILTER (abs(q.x - q.y * (p.x / p.y)) <= 1e-10) AS k
+         FROM (SELECT DISTINCT * FROM common) p JOIN common q ON p.i = q.i AND p.j = q.j GROUP BY ALL),
+near AS (SELECT i, j, min(total - m - k)::BIGINT AS distance FROM best GROUP BY i, j)
+SELECT i, j, distance, (a.n * b.n)::BIGINT AS links FROM near JOIN size a ON a.rep = i JOIN size b ON b.rep = j WHERE distance <= 2""",
+    )
+)
+def near_parallel_class_pairs(spark, d):
+    """Orders by suppliers over the whole of lineitem, as pairs of classes with the row pairs they stand for."""
+    return near_parallel.class_pairs(lineitem_cells(spark, d))
+
+
+@query(
+    with_cells(
+        "parts",
+        f""", {_CLASSES}, g AS (SELECT c, (row_number() OVER (ORDER BY count(*) DESC, c) - 1) % 4 AS g FROM cell GROUP BY c),
+long AS (SELECT cell.r, cell.c, v, g FROM cell JOIN g USING (c) JOIN class ON class.r = cell.r AND rep = cell.r
+         WHERE cell.r IN (SELECT r FROM cell GROUP BY r HAVING count(*) > 4)),
+mask(mask, a, b) AS (VALUES (0, 0, 1), (1, 0, 2), (2, 0, 3), (3, 1, 2), (4, 1, 3), (5, 2, 3)),
+rows AS (SELECT DISTINCT r FROM long),
+part AS (SELECT rows.r, mask, list(struct_pack(c := c, v := v) ORDER BY c) FILTER (c IS NOT NULL) AS cells
+         FROM rows CROSS JOIN mask LEFT JOIN long ON long.r = rows.r AND g IN (a, b) GROUP BY 1, 2),
+keyed AS (SELECT mask, list_transform(cells, lambda x: struct_pack(c := x.c, q := round(x.v / cells[1].v * 1e10)::BIGINT)) AS key FROM part),
+met AS (SELECT mask, key, count(*) AS n FROM keyed GROUP BY 1, 2)
+SELECT mask::BIGINT AS mask, coalesce(sum(n * (n - 1) // 2), 0)::BIGINT AS raw FROM met GROUP BY mask""",
+    )
+)
 def near_parallel_statistics(spark, d):
-    return near_parallel.search_statistics(part_cells(spark, d))
+    """Row pairs under each choice of column groups at the first level, counted while the search runs."""
+    return near_parallel.search_statistics(part_cells(spark, d)).filter("level = 0").select("mask", "raw")
 
 
 @query(f"SELECT i, j, distance FROM ({near_sql('orders', 2)}) WHERE distance = 2")
@@ -279,15 +329,27 @@ def pairs_difference(spark, d):
     return near_parallel.pairs_difference(two, two.filter("distance <= 1").select(F.col("j").alias("i"), F.col("i").alias("j"))).withColumn("distance", F.lit(2).cast("long"))
 
 
-@query(f"SELECT i, j, distance FROM ({near_sql('nations', 2)})")
-def near_parallel_groups(spark, d):
+def factorised(cells: DataFrame) -> DataFrame:
     """Factorised candidates of short rows with the pairs of long rows, made into pairs and measured."""
-    cells = nation_cells(spark, d)
-    keys = near_parallel.long_row_keys(cells, 2, 4, 4)
-    other = keys.select("key", F.col("r").alias("r2"))
-    single = keys.join(other, "key").filter("r < r2").select(F.col("r").alias("i"), F.col("r2").alias("j"))
+    rows = near_parallel.numbered_rows(cells)
+    single = near_parallel.long_pairs(rows, 2, 4, 4).select("i", "j")
     pairs = near_parallel.normalise_pairs(single, near_parallel.short_row_groups(cells))
-    return distance.pair_distances(pairs, reshape.sparse_rows(cells)).filter("distance <= 2")
+    return distance.pair_distances(pairs, rows, 2)
+
+
+@query(near_sql("nations", 2))
+def near_parallel_groups(spark, d):
+    return factorised(nation_cells(spark, d))
+
+
+@query(near_sql("orders", 2))
+def near_parallel_groups_orders(spark, d):
+    return factorised(order_cells(spark, d))
+
+
+@query(near_sql("parts", 2))
+def near_parallel_groups_parts(spark, d):
+    return factorised(part_cells(spark, d))
 
 
 @query(with_cells("parts", "SELECT DISTINCT c, c % 4 AS grp FROM cell"))

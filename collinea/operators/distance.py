@@ -22,10 +22,14 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def common_values(x: Column, y: Column) -> Column:
-    """Array of (x, y) values of the columns that both cell arrays hold."""
-    value = lambda held, cell: F.struct(cell["v"].alias("x"), F.try_element_at(held, cell["c"]).alias("y"))
-    both = bound(F.map_from_entries(y), lambda held: F.transform(x, lambda cell: value(held, cell)))
-    return F.filter(both, lambda p: p["y"].isNotNull())
+    """Array of (x, y) values of the columns that both cell arrays hold.
+
+    A merge: the cells of both in column order, where a column of both has two neighbours.
+    """
+    of = lambda cells, side: F.transform(cells, lambda cell: F.struct(cell["c"].alias("c"), F.lit(side).alias("s"), cell["v"].alias("v")))
+    met = lambda both: F.transform(F.sequence(F.lit(0), F.size(both) - 2), lambda k: F.struct(F.get(both, k).alias("a"), F.get(both, k + 1).alias("b")))
+    pairs = bound(F.sort_array(F.concat(of(x, 0), of(y, 1))), lambda both: F.when(F.size(both) > 1, met(both)).otherwise(F.slice(met(both), 1, 0)))
+    return F.transform(F.filter(pairs, lambda p: p["a"]["c"] == p["b"]["c"]), lambda p: F.struct(p["a"]["v"].alias("x"), p["b"]["v"].alias("y")))
 
 
 def agreeing(common: Column, ratio: Column) -> Column:
@@ -60,6 +64,22 @@ def may_be_within(x: Column, y: Column, d: int) -> Column:
     return bound(common_values(x, y), measure)
 
 
+def within_at(x: Column, y: Column, ratios: Column, d: int) -> Column:
+    """Whether the rows differ in at most ``d`` places at one of the known ratios; linear in the cells.
+
+    The tolerance is widened by what two anchors of one true ratio may differ in, so no pair is lost.
+    """
+
+    def measure(common: Column) -> Column:
+        need = F.size(x) + F.size(y) - F.size(common) - d
+        least = F.array_min(F.transform(common, lambda p: F.abs(p["y"])))
+        slack = lambda p: 2 * EPSILON * (1 + F.abs(p["y"]) / least) + 1e-12 * F.abs(p["x"])
+        close = lambda ratio: F.size(F.filter(common, lambda p: F.abs(p["x"] - p["y"] * ratio) <= slack(p)))
+        return (need <= 0) | ((need <= F.size(common)) & F.exists(ratios, lambda ratio: close(ratio) >= need))
+
+    return bound(common_values(x, y), measure)
+
+
 def hamming_fixed_ratio(x: Column, y: Column, ratio: Column) -> Column:
     """Differing places of x and ratio * y; one-sided places differ unless within tolerance."""
     held_x, held_y = F.map_from_entries(x), F.map_from_entries(y)
@@ -69,17 +89,25 @@ def hamming_fixed_ratio(x: Column, y: Column, ratio: Column) -> Column:
 
 
 def majority_hamming(x: Column, y: Column) -> Column:
-    """The distance at the ratio that most places share, with one tolerance throughout.
+    """The distance at the ratio that most common places share, with one tolerance throughout.
 
-    Equal to ``hamming`` whenever fewer than half of the places of either row differ; one
-    ratio is tried for each grid step, the most frequent one, ties by the least.
+    One fold over the common places in column order keeps a candidate ratio and its balance: a
+    place within the tolerance adds one, another takes one away, and at zero the next place's
+    ratio is the candidate. One more pass counts its places. Equal to ``hamming`` whenever more
+    than half of the common places share a ratio; else an upper bound of it.
     """
 
+    def step(held: Column, ratio: Column) -> Column:
+        same = F.abs(held["ratio"] - ratio) <= EPSILON
+        return F.when(same, F.struct(held["ratio"].alias("ratio"), (held["n"] + 1).alias("n"))).otherwise(
+            F.when(held["n"] == 0, F.struct(ratio.alias("ratio"), F.lit(1).alias("n"))).otherwise(F.struct(held["ratio"].alias("ratio"), (held["n"] - 1).alias("n")))
+        )
+
     def measure(common: Column) -> Column:
-        votes = lambda ratios: F.array_max(F.transform(ratios, lambda r: F.struct(F.size(F.filter(ratios, lambda q: F.abs(q - r) <= EPSILON)).alias("n"), (-r).alias("r"))))
-        winner = bound(F.transform(common, lambda p: p["x"] / p["y"]), lambda ratios: -votes(ratios)["r"])
+        start = F.struct(F.lit(0.0).alias("ratio"), F.lit(0).alias("n"))
+        winner = F.aggregate(F.transform(common, lambda p: p["x"] / p["y"]), start, step, lambda held: held["ratio"])
         agreed = bound(winner, lambda ratio: agreeing(common, ratio))
-        return (F.size(x) + F.size(y) - F.size(common) - F.coalesce(agreed, F.lit(0))).cast("long")
+        return (F.size(x) + F.size(y) - F.size(common) - agreed).cast("long")
 
     return bound(common_values(x, y), measure)
 

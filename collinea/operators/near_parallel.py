@@ -4,39 +4,77 @@
 meant for small matrices and as the yardstick. ``blocked`` turns the search into equi-joins:
 
 * long rows: columns are dealt into 2d groups. A pair that differs in at most d places agrees
-  in d groups at least, where both rows have one signature (values over the first of them, on
-  a grid). Rows meet under each choice of d groups.
+  in d groups at least. Rows meet under each choice of d groups in which their signatures (values
+  over the first of the chosen cells, on a grid) are equal. Such a key names the ratio of the two
+  rows, so a candidate is verified at that ratio in one pass over its cells.
+* a key that more than ``KEY_ROWS`` rows share says too little: the cells outside of it are dealt
+  again, by the next digit of their columns' numbers, and its rows meet under longer keys. The
+  argument holds again for the cells that are left. So rows with few or no cells in the chosen
+  groups, or with very common cells there, make no more candidates than others.
 * short rows: every way to delete or blank at most d cells gives a variant; rows meet under
   equal variants.
 
+Column numbers come from the ``RANKED`` most frequent columns, which are dealt in turn so that the
+groups are of like weight, and from a hash for the others. What still meets under one key is
+dealt to tiles of at most ``TILE_ROWS`` rows a side, so no task holds a key's pairs alone.
+
 Signatures only propose candidates; each is verified by the distance itself. Rows that are
 parallel as a whole are one class first: classes meet, not rows, so a hot class of a third of
 all rows costs one row. ``class_pairs`` returns that compact form; ``blocked`` expands it.
+
+Many matrices are searched at once if row keys are structs with a field ``file``: only rows of one
+file meet.
 """
 
 from __future__ import annotations
 
 from itertools import combinations, product
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from collinea.functions.scalars import quantise
-from collinea.operators.distance import hamming, may_be_within, pair_distances
+from collinea.operators.distance import hamming, may_be_within, pair_distances, within_at
 from collinea.operators.reshape import sparse_rows
 from collinea.sources.workspace import cut
 
 PAIR = "i < j"
+KEY_ROWS = 64
+TILE_ROWS = 256
+LEVELS = 4
+RANKED = 4_096
+
+
+def scope_of(rows: DataFrame) -> Column:
+    """What rows must share to meet: their file, if row keys have one."""
+    kind = rows.schema["r"].dataType
+    return F.col("r")["file"] if "file" in getattr(kind, "names", ()) else F.lit("")
+
+
+def met_in_tiles(left: DataFrame, right: DataFrame, on: list[str], most: int = TILE_ROWS) -> DataFrame:
+    """The equi-join of two sides, a key's rows dealt to tiles of about ``most`` rows a side.
+
+    Each row goes to all tiles of the other side, so a key's pairs are spread over tasks. Keys that
+    only one side holds are dropped before the sides move.
+    """
+    counts = left.groupBy(*on).agg(F.count("*").alias("n_left")).join(right.groupBy(*on).agg(F.count("*").alias("n_right")), on)
+    tiles = counts.select(*on, *(F.ceil(F.col(n) / most).cast("int").alias(t) for n, t in (("n_left", "tiles_left"), ("n_right", "tiles_right"))))
+    spread = lambda side, own, other, a, b: side.join(tiles, on).withColumn(a, F.pmod(F.xxhash64(*side.columns), F.col(own)).cast("int")).withColumn(b, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("tiles_left", "tiles_right")
+    return spread(left, "tiles_left", "tiles_right", "tile_a", "tile_b").join(spread(right, "tiles_right", "tiles_left", "tile_b", "tile_a"), [*on, "tile_a", "tile_b"]).drop("tile_a", "tile_b")
 
 
 def exhaustive(cells: DataFrame, d: int = 2) -> DataFrame:
     """(i, j, distance) with i < j and distance <= d, over all rows that hold a cell.
 
-    Sizes of a pair differ by at most d; that band is an equality after exploding one side.
+    Sizes of a pair differ by at most d; that band is an equality after exploding the smaller
+    side. The rows of a band meet tile by tile.
     """
     rows = sparse_rows(cells)
-    left = rows.select(F.col("r").alias("i"), F.col("cells").alias("x"), F.explode(F.sequence(F.greatest(F.col("nnz") - d, F.lit(1)), F.col("nnz") + d)).alias("band"))
-    right = rows.select(F.col("r").alias("j"), F.col("cells").alias("y"), F.col("nnz").alias("band"))
-    pairs = left.join(right, "band").filter(PAIR).filter(may_be_within(F.col("x"), F.col("y"), d))
+    left = rows.select(F.col("r").alias("r1"), F.col("cells").alias("x"), F.col("nnz").alias("n1"), F.explode(F.sequence(F.col("nnz"), F.col("nnz") + d)).alias("band"))
+    right = rows.select(F.col("r").alias("r2"), F.col("cells").alias("y"), F.col("nnz").alias("band"))
+    met = met_in_tiles(left, right, ["band"]).filter((F.col("n1") < F.col("band")) | (F.col("r1") < F.col("r2")))
+    swap = F.col("r1") > F.col("r2")
+    pick = lambda a, b, name: F.when(swap, F.col(b)).otherwise(F.col(a)).alias(name)
+    pairs = met.filter(may_be_within(F.col("x"), F.col("y"), d)).select(pick("r1", "r2", "i"), pick("r2", "r1", "j"), pick("x", "y", "x"), pick("y", "x", "y"))
     return pairs.select("i", "j", hamming(F.col("x"), F.col("y")).alias("distance")).filter(F.col("distance") <= d)
 
 
@@ -78,30 +116,79 @@ def block_signatures(cells: DataFrame, groups: int, group: Column | None = None)
     return placed.select("r", F.size("cells").cast("long").alias("nnz"), blocks.alias("blocks"))
 
 
-def long_row_keys(cells: DataFrame, d: int, groups: int, small: int, group: Column | None = None) -> DataFrame:
-    """(key, r, nnz): a key for each choice of groups - d groups, of rows with more than ``small`` cells.
+def numbered_columns(cells: DataFrame, ranked: int = RANKED) -> DataFrame:
+    """Cells with ``k``, a number of their column: the rank of a frequent one, else a hash.
 
-    The cells of all chosen groups are scaled by one value, the first of them: rows that agree
-    in these groups agree at one factor, so this key is stricter than a signature for each
-    group, and as complete. A choice without cells has the empty signature.
+    The broadcast side has ``ranked`` rows at most.
     """
-    if group is None:
-        return _long_keys(sparse_rows(cells), d, groups, small)
-    placed = cells.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("c", "v", group.cast("long").alias("grp")))).alias("cells"))
-    return _placed_keys(placed.withColumn("nnz", F.size("cells").cast("long")), d, groups, small)
+    frequent = cells.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").limit(ranked)
+    ranks = frequent.select("c", (F.row_number().over(Window.orderBy(F.desc("n"), "c")) - 1).cast("long").alias("rank"))
+    code = F.coalesce("rank", F.xxhash64("c").bitwiseAND(F.lit((1 << 62) - 1)))
+    return cells.join(F.broadcast(ranks), "c", "left").select("r", "c", "v", code.alias("k"))
+
+
+def numbered_rows(cells: DataFrame) -> DataFrame:
+    """``sparse_rows`` whose cells are (c, v, k)."""
+    placed = numbered_columns(cells).groupBy("r").agg(F.sort_array(F.collect_list(F.struct("c", "v", "k"))).alias("cells"))
+    return placed.select("r", F.size("cells").cast("long").alias("nnz"), "cells")
 
 
-def _long_keys(rows: DataFrame, d: int, groups: int, small: int) -> DataFrame:
-    """The keys of ``long_row_keys`` from rows of ``sparse_rows``, without a shuffle."""
-    placed = F.transform("cells", lambda cell: F.struct(cell["c"].alias("c"), cell["v"].alias("v"), F.pmod(F.xxhash64(cell["c"]), F.lit(groups)).cast("long").alias("grp")))
-    return _placed_keys(rows.withColumn("cells", placed), d, groups, small)
+def masks(d: int, groups: int) -> list[tuple[int, ...]]:
+    """Every choice of groups - d groups."""
+    return list(combinations(range(groups), groups - d))
 
 
-def _placed_keys(rows: DataFrame, d: int, groups: int, small: int) -> DataFrame:
-    rows = rows.filter(F.col("nnz") > small)
-    chosen = lambda mask: F.filter("cells", lambda cell: cell["grp"].isin(list(mask)))
-    keys = F.array(*(F.xxhash64(F.lit(k), signature(chosen(mask))) for k, mask in enumerate(combinations(range(groups), groups - d))))
-    return rows.select(F.explode(keys).alias("key"), "r", "nnz")
+def level_keys(rows: DataFrame, d: int, groups: int, level: int) -> DataFrame:
+    """(key, r, nnz, front, path): a key for each choice of groups at this level.
+
+    ``rows`` hold the path of choices at the levels before; their cells are part of every key.
+    All cells of a key are scaled by one value, its first: the front. Rows that agree in these
+    groups agree at one factor, so a key is as complete as a signature for each group.
+    """
+    chosen_groups = F.array(*(F.array(*(F.lit(g in mask) for g in range(groups))) for mask in masks(d, groups)))
+    digit = lambda cell, at: F.pmod(F.call_function("div", cell["k"], F.lit(groups**at)), F.lit(groups)).cast("int")
+
+    def taken(cell: Column, mask: Column) -> Column:
+        held = F.get(F.get(chosen_groups, mask), digit(cell, level))
+        for at in range(level):
+            held = held | F.get(F.get(chosen_groups, F.get("path", F.lit(at))), digit(cell, at))
+        return held
+
+    each = rows.select("r", "nnz", "path", "cells", F.posexplode(chosen_groups).alias("mask", "_"))
+    part = each.withColumn("part", F.filter("cells", lambda cell: taken(cell, F.col("mask"))))
+    path = F.concat("path", F.array("mask"))
+    return part.select(F.xxhash64(scope_of(rows), path, signature(F.col("part"))).alias("key"), "r", "nnz", F.get("part", F.lit(0))["v"].alias("front"), path.alias("path"))
+
+
+def long_pairs(rows: DataFrame, d: int, groups: int, small: int, key_rows: int = KEY_ROWS, levels: int = LEVELS, seen: list | None = None) -> DataFrame:
+    """(i, j, ratio): rows with more than ``small`` cells that share a key, at the key's ratio; pairs may repeat.
+
+    The ratio is null where the key has no cell. ``seen`` gets an Observation for each level: how
+    many pairs of rows share a key, by choice of groups.
+    """
+    going = rows.filter(F.col("nnz") > small).withColumn("path", F.array().cast("array<int>"))
+    found = []
+    for level in range(levels):
+        keys = cut(level_keys(going, d, groups, level), "long-keys")
+        counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.element_at("path", -1)).alias("mask")).filter("n > 1")
+        if seen is not None:
+            seen.append(Observation(f"level {level}"))
+            counts = counts.observe(seen[-1], F.count("*").alias("keys"), *(F.coalesce(F.sum(F.when(F.col("mask") == m, F.expr("n * (n - 1) div 2"))), F.lit(0)).cast("long").alias(str(m)) for m in range(len(masks(d, groups)))))
+        counts = cut(counts, "long-key-counts")
+        last = level == levels - 1
+        shared = keys.join(counts if last else counts.filter(F.col("n") <= key_rows), "key").select("key", "r", "nnz", "front")
+        other = shared.select("key", *(F.col(c).alias(f"{c}2") for c in ("r", "nnz", "front")))
+        met = met_in_tiles(shared, other, ["key"]) if last else shared.join(other, "key")
+        near = met.filter((F.col("r") < F.col("r2")) & (F.abs(F.col("nnz") - F.col("nnz2")) <= d))
+        found.append(near.select(F.col("r").alias("i"), F.col("r2").alias("j"), (F.col("front") / F.col("front2")).alias("ratio")))
+        heavy = counts.filter(F.col("n") > key_rows).select("key")
+        if last or heavy.isEmpty():
+            break
+        going = rows.join(keys.join(heavy, "key", "left_semi").select("r", "path"), "r")
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs
 
 
 def variants(d: int, most: int) -> list[tuple[list[int], list[int]]]:
@@ -114,7 +201,7 @@ def short_row_variants(cells: DataFrame, d: int, small: int) -> DataFrame:
 
     The first kept cell sets the scale; a blanked cell keeps its column under a mark of its own.
     """
-    return _short_variants(sparse_rows(cells), d, small)
+    return _short_variants(sparse_rows(cells), d, small).drop("is_small")
 
 
 def _short_variants(rows: DataFrame, d: int, small: int) -> DataFrame:
@@ -125,21 +212,25 @@ def _short_variants(rows: DataFrame, d: int, small: int) -> DataFrame:
     each = rows.select("r", "nnz", "cells", F.explode(table).alias("way")).filter("coalesce(array_max(way.gone), -1) < nnz and coalesce(array_max(way.blank), -1) < nnz")
     kept = F.filter("cells", lambda cell, k: ~F.array_contains("way.gone", k) & ~F.array_contains("way.blank", k))
     blanked = F.filter("cells", lambda cell, k: F.array_contains("way.blank", k))
-    key = F.xxhash64(signature(kept), F.transform(blanked, lambda cell: cell["c"].cast("string")))
-    return each.select(key.alias("key"), "r", F.size("way.gone").alias("deleted"), F.size("way.blank").alias("blanked"))
+    key = F.xxhash64(scope_of(rows), signature(kept), F.transform(blanked, lambda cell: cell["c"].cast("string")))
+    return each.select(key.alias("key"), "r", F.size("way.gone").alias("deleted"), F.size("way.blank").alias("blanked"), (F.col("nnz") <= small).alias("is_small"))
 
 
-def short_row_groups(cells: DataFrame, d: int = 2, small: int | None = None) -> DataFrame:
-    """(key, left, right): factorised candidates of short rows; every left row with every right row.
+def short_row_groups(cells: DataFrame, d: int = 2, small: int | None = None, most: int = TILE_ROWS) -> DataFrame:
+    """(key, left, right, links): factorised candidates of short rows; every left row with every right row.
 
-    Left and right hold the rows that reach a variant with few enough edits in all.
+    Left and right are parts of the rows that reach a variant with few enough edits in all, of
+    about ``most`` rows, so no group grows with the matrix. ``links`` counts the pairs.
     """
-    keys = short_row_variants(cells, d, 2 * d if small is None else small)
-    held = keys.groupBy("key", "blanked", "deleted").agg(F.sort_array(F.collect_set("r")).alias("rows"))
-    left = held.select("key", "blanked", F.col("deleted").alias("deleted_left"), F.col("rows").alias("left"))
-    right = held.select("key", "blanked", F.col("deleted").alias("deleted_right"), F.col("rows").alias("right"))
-    met = left.join(right, ["key", "blanked"]).filter(F.col("deleted_left") <= F.col("deleted_right")).filter(F.col("deleted_left") + F.col("deleted_right") + F.col("blanked") <= d)
-    return met.filter((F.size("left") > 1) | (F.size("right") > 1) | (F.get("left", F.lit(0)) != F.get("right", F.lit(0)))).select("key", "left", "right")
+    keys = short_row_variants(cells, d, 2 * d if small is None else small).distinct()
+    sizes = keys.groupBy("key", "blanked", "deleted").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    dealt = keys.join(sizes, ["key", "blanked", "deleted"]).withColumn("part", F.pmod(F.xxhash64("r", "key"), F.col("parts")))
+    held = dealt.groupBy("key", "blanked", "deleted", "part").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    left = held.withColumn("wanted", F.explode(F.sequence(F.col("deleted"), F.lit(2 * d)))).filter(F.col("deleted") + F.col("wanted") + F.col("blanked") <= d)
+    left = left.select("key", "blanked", F.col("wanted").alias("deleted"), F.col("deleted").alias("deleted_left"), F.col("part").alias("part_left"), F.col("rows").alias("left"))
+    met = left.join(held.withColumnRenamed("rows", "right"), ["key", "blanked", "deleted"]).filter((F.col("deleted_left") < F.col("deleted")) | (F.col("part_left") <= F.col("part")))
+    several = (F.size("left") > 1) | (F.size("right") > 1) | (F.get("left", F.lit(0)) != F.get("right", F.lit(0)))
+    return met.filter(several).select("key", "left", "right", (F.size("left").cast("long") * F.size("right")).alias("links"))
 
 
 def normalise_pairs(single: DataFrame, groups: DataFrame) -> DataFrame:
@@ -152,7 +243,7 @@ def normalise_pairs(single: DataFrame, groups: DataFrame) -> DataFrame:
 def candidate_pairs(cells: DataFrame, d: int = 2, groups: int | None = None, small: int | None = None) -> DataFrame:
     """Distinct pairs that share a key of either path; every pair within d is among them."""
     _check(d, groups, small)
-    return _candidates(cut(sparse_rows(cells), "rows"), d, groups, small)
+    return _candidates(cut(numbered_rows(cells), "rows"), d, groups, small).select("i", "j")
 
 
 def _check(d: int, groups: int | None, small: int | None) -> None:
@@ -160,18 +251,23 @@ def _check(d: int, groups: int | None, small: int | None) -> None:
         raise ValueError("need d >= 1, more than d groups, and short rows of 2 d cells at least")
 
 
-def _candidates(rows: DataFrame, d: int, groups: int | None, small: int | None) -> DataFrame:
-    """``candidate_pairs`` of rows from ``sparse_rows``; sizes within d are part of the long rows' key."""
-    groups, small = 2 * d if groups is None else groups, 2 * d if small is None else small
-    keys = _long_keys(rows, d, groups, small)
-    other = keys.select("key", F.col("r").alias("r2"), F.col("nnz").alias("band"), F.col("nnz").alias("nnz2"))
-    banded = keys.withColumn("band", F.explode(F.sequence(F.col("nnz"), F.col("nnz") + d)))
-    met = banded.join(other, ["key", "band"]).filter((F.col("nnz") < F.col("nnz2")) | (F.col("r") < F.col("r2")))
-    long = met.select(F.least("r", "r2").alias("i"), F.greatest("r", "r2").alias("j"))
+def short_pairs(rows: DataFrame, d: int, small: int) -> DataFrame:
+    """(i, j): rows of which one has at most ``small`` cells and which share a variant; pairs may repeat."""
     short = _short_variants(rows, d, small)
-    second = short.select("key", "blanked", F.col("r").alias("r2"), F.col("deleted").alias("deleted2"))
-    met = short.join(second, ["key", "blanked"]).filter(F.col("r") < F.col("r2")).filter(F.col("deleted") + F.col("deleted2") + F.col("blanked") <= d)
-    return long.unionByName(met.select(F.col("r").alias("i"), F.col("r2").alias("j"))).distinct()
+    left = short.filter("is_small").withColumn("wanted", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    left = left.filter(F.col("deleted") + F.col("wanted") + F.col("blanked") <= d).select("key", "blanked", F.col("wanted").alias("deleted"), F.col("r").alias("r1"))
+    right = short.select("key", "blanked", "deleted", F.col("r").alias("r2"), F.col("is_small").alias("both"))
+    met = met_in_tiles(left, right, ["key", "blanked", "deleted"])
+    # two small rows meet from either side
+    return met.filter((F.col("r1") != F.col("r2")) & (~F.col("both") | (F.col("r1") < F.col("r2")))).select(F.least("r1", "r2").alias("i"), F.greatest("r1", "r2").alias("j"))
+
+
+def _candidates(rows: DataFrame, d: int, groups: int | None, small: int | None, seen: list | None = None) -> DataFrame:
+    """(i, j, ratios): distinct pairs of rows from ``numbered_rows``; null ratios stand for unknown ones."""
+    groups, small = 2 * d if groups is None else groups, 2 * d if small is None else small
+    pairs = long_pairs(rows, d, groups, small, seen=seen).unionByName(short_pairs(rows, d, small).withColumn("ratio", F.lit(None).cast("double")))
+    unknown = F.count("*") > F.count("ratio")
+    return pairs.groupBy("i", "j").agg(F.collect_set("ratio").alias("known"), unknown.alias("unknown")).select("i", "j", F.when(~F.col("unknown"), F.col("known")).alias("ratios"))
 
 
 # ------------------------------------------------------------------ classes
@@ -183,21 +279,30 @@ def parallel_classes(cells: DataFrame) -> DataFrame:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    rows = rows.select("r", F.xxhash64(signature(F.col("cells"))).alias("shape"), "nnz")
+    rows = rows.select("r", F.xxhash64(scope_of(rows), signature(F.col("cells"))).alias("shape"), "nnz")
     reps = rows.groupBy("shape", "nnz").agg(F.min("r").alias("rep"))
     return rows.join(reps, ["shape", "nnz"]).select("r", "rep")
 
 
 def class_pairs(cells: DataFrame, d: int = 2, groups: int | None = None, small: int | None = None) -> DataFrame:
-    """(i, j, distance) between the representatives of parallel classes."""
+    """(i, j, distance, links) between the representatives of parallel classes; ``links`` counts row pairs."""
     _check(d, groups, small)
-    rows = cut(sparse_rows(cells), "rows")
-    return _class_pairs(rows, cut(_classes(rows), "classes"), d, groups, small)
+    rows = cut(numbered_rows(cells), "rows")
+    classes = cut(_classes(rows), "classes")
+    sizes = classes.groupBy("rep").agg(F.count("*").alias("n"))
+    near = _class_pairs(rows, classes, d, groups, small)
+    sized = near.join(sizes.toDF("i", "n_i"), "i").join(sizes.toDF("j", "n_j"), "j")
+    return sized.select("i", "j", "distance", (F.col("n_i") * F.col("n_j")).alias("links"))
 
 
-def _class_pairs(rows: DataFrame, classes: DataFrame, d: int, groups: int | None, small: int | None) -> DataFrame:
+def _class_pairs(rows: DataFrame, classes: DataFrame, d: int, groups: int | None, small: int | None, seen: list | None = None) -> DataFrame:
+    """Candidates with a known ratio are verified at it, the few others at d + 1 anchors; then the pairs left are measured."""
     reps = rows.join(classes.filter("r = rep").select("r"), "r", "left_semi")
-    return pair_distances(_candidates(reps, d, groups, small), reps, d)
+    left, right = reps.select(F.col("r").alias("i"), F.col("cells").alias("x")), reps.select(F.col("r").alias("j"), F.col("cells").alias("y"))
+    joined = _candidates(reps, d, groups, small, seen).join(left, "i").join(right, "j")
+    x, y = F.col("x"), F.col("y")
+    near = joined.filter(F.when(F.col("ratios").isNull(), may_be_within(x, y, d)).otherwise(within_at(x, y, F.col("ratios"), d)))
+    return near.select("i", "j", hamming(x, y).alias("distance")).filter(F.col("distance") <= d)
 
 
 def blocked(cells: DataFrame, d: int = 2, groups: int | None = None, small: int | None = None) -> DataFrame:
@@ -207,12 +312,12 @@ def blocked(cells: DataFrame, d: int = 2, groups: int | None = None, small: int
     expansion is the size of the answer; each expanded pair is measured on its own rows.
     """
     _check(d, groups, small)
-    rows = cut(sparse_rows(cells), "rows")
+    rows = cut(numbered_rows(cells), "rows")
     classes = cut(_classes(rows), "classes")
     near = _class_pairs(rows, classes, d, groups, small)
     one, two = classes.select(F.col("r").alias("a"), F.col("rep").alias("i")), classes.select(F.col("r").alias("b"), F.col("rep").alias("j"))
     across = near.select("i", "j").join(one, "i").join(two, "j").select("a", "b")
-    inside = one.join(two, F.col("i") == F.col("j")).filter("a < b").select("a", "b")
+    inside = met_in_tiles(one.withColumnRenamed("i", "rep"), two.withColumnRenamed("j", "rep"), ["rep"]).filter("a < b").select("a", "b")
     pairs = across.unionByName(inside).select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
     return pair_distances(pairs, rows, d)
 
@@ -224,8 +329,13 @@ def pairs_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def search_statistics(cells: DataFrame, d: int = 2) -> DataFrame:
-    """One row: keys met by long rows (counted for each choice of groups) and distinct candidates."""
-    keys = long_row_keys(cells, d, 2 * d, 2 * d).groupBy("key").agg(F.count("*").alias("n"))
-    raw = keys.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).cast("long").alias("raw_long"))
-    return raw.crossJoin(candidate_pairs(cells, d).agg(F.count("*").alias("distinct_candidates")))
+    """(level, mask, raw): row pairs that share a key, by choice of column groups, as the search counts them.
 
+    One search over the classes' representatives is run; the counts are taken as it goes.
+    """
+    spark = cells.sparkSession
+    rows = cut(numbered_rows(cells), "rows")
+    seen: list[Observation] = []
+    cut(_class_pairs(rows, cut(_classes(rows), "classes"), d, None, None, seen), "near-classes")
+    counted = [(level, mask, int(one.get[str(mask)])) for level, one in enumerate(seen) for mask in range(len(masks(d, 2 * d)))]
+    return spark.createDataFrame(counted, "level long, mask long, raw long")
