@@ -598,12 +598,40 @@ def row_hash_unordered(spark, d):
 # ------------------------------------------------------------------ text
 
 
-@query(with_cells("nations", "SELECT r::VARCHAR AS r, c, v FROM cell"))
-def mps_round_trip(spark, d):
-    """The nation matrix written as MPS text to the shared folder and read again."""
+def order_matrices(spark: SparkSession, d: str) -> DataFrame:
+    """(file, r, c, v): a hundred matrices of customers by order priorities, with names fit for MPS."""
+    keyed = order_cells(spark, d)
+    return keyed.select((F.col("r") % 100).cast("string").alias("file"), F.concat(F.lit("c"), "r").alias("r"), F.substring("c", 1, 1).alias("c"), "v")
+
+
+SQL_MATRICES = f"SELECT (r % 100)::VARCHAR AS file, 'c' || r AS r, c[1:1] AS c, v FROM ({SQL_CELLS['orders']})"
+
+
+def read_back(spark: SparkSession, d: str, fixed_width: bool, objective: str) -> DataFrame:
+    """The matrices written as MPS text, with an objective, markers and two pairs a line, and read again."""
+    cells = order_matrices(spark, d)
+    costs = cells.groupBy("file", "c").agg(F.sum("v").alias("v"))
     path = scratch(spark, "mps")
-    mps.text_of(nation_cells(spark, d), "nations").coalesce(1).write.text(path)
-    return mps.read(spark, path).select("r", "c", "v")
+    mps.write(mps.text_lines(cells, costs, fixed_width, F.col("c") == "3"), path)
+    found = mps.read(spark, path, fixed_width, objective)
+    return found.select(F.regexp_extract("file", "file=([^/]*)$", 1).alias("file"), "r", "c", "v")
+
+
+@query(f"SELECT file, r, c, v FROM ({SQL_MATRICES})")
+def mps_space_separated(spark, d):
+    return read_back(spark, d, False, "last")
+
+
+@query(f"SELECT file, r, c, v FROM ({SQL_MATRICES})")
+def mps_fixed_width(spark, d):
+    return read_back(spark, d, True, "all")
+
+
+@query(f"SELECT DISTINCT file, r FROM ({SQL_MATRICES})")
+def mps_row_dimension(spark, d):
+    path = scratch(spark, "mps")
+    mps.write(mps.text_lines(order_matrices(spark, d)), path)
+    return mps.row_dimension(spark, path).select(F.regexp_extract("file", "file=([^/]*)$", 1).alias("file"), "r")
 
 
 def _wide_sql(line: str) -> str:
@@ -649,11 +677,37 @@ def dot_graph(spark, d):
     return report.dot_graph(nodes, edges)
 
 
-@query()
+def _batch_sql(matrices: str, d: int = 2) -> str:
+    """Shape, classes and near pairs of classes of each file, by the definition of the distance."""
+    return f"""WITH m AS ({matrices}), cell AS (SELECT file || '/' || r AS r, file, file || '/' || c AS c, v FROM m), {_CLASSES},
+size AS (SELECT rep, count(*) AS n FROM class GROUP BY rep),
+rc AS (SELECT cell.* FROM cell JOIN class ON class.r = cell.r AND rep = cell.r), n AS (SELECT r, file, count(*) AS n FROM rc GROUP BY r, file),
+pair AS (SELECT x.r AS i, y.r AS j, x.file, x.n + y.n AS total FROM n x JOIN n y ON x.file = y.file AND x.r < y.r AND abs(x.n - y.n) <= {d}),
+common AS (SELECT i, j, a.v AS x, b.v AS y FROM pair JOIN rc a ON a.r = i JOIN rc b ON b.r = j AND b.c = a.c),
+anchored AS (SELECT p.i, p.j, count(*) FILTER (abs(q.x - q.y * (p.x / p.y)) <= 1e-10) AS k, count(*) AS m
+             FROM (SELECT DISTINCT * FROM common) p JOIN common q ON p.i = q.i AND p.j = q.j GROUP BY p.i, p.j, p.x, p.y),
+best AS (SELECT i, j, max(k) + max(m) AS saved FROM anchored GROUP BY i, j),
+near AS (SELECT pair.file, a.n * b.n AS links FROM pair LEFT JOIN best USING (i, j) JOIN size a ON a.rep = i JOIN size b ON b.rep = j WHERE total - coalesce(saved, 0) <= {d}),
+shape AS (SELECT file, count(DISTINCT r) AS height, count(DISTINCT c) AS width, count(*) AS cells FROM cell GROUP BY file),
+classes AS (SELECT file, count(*) AS classes FROM n GROUP BY file), pairs AS (SELECT file, count(*) AS class_pairs, sum(links) AS links FROM near GROUP BY file)
+SELECT file, height, width, cells, classes, coalesce(class_pairs, 0)::BIGINT AS class_pairs, coalesce(links, 0)::BIGINT AS links
+FROM shape JOIN classes USING (file) LEFT JOIN pairs USING (file)"""
+
+
+@query(_batch_sql(SQL_MATRICES))
+def batch_files(spark, d):
+    """A hundred matrices written as MPS files and reported in one plan."""
+    from collinea.jobs.batch import mps_summary
+
+    path = scratch(spark, "mps")
+    mps.write(mps.text_lines(order_matrices(spark, d)), path)
+    return mps_summary(spark, path).withColumn("file", F.regexp_extract("file", "file=([^/]*)$", 1))
+
+
+@query(_batch_sql(" UNION ALL ".join(f"SELECT '{name}' AS file, r::VARCHAR AS r, c::VARCHAR AS c, v FROM ({SQL_CELLS[name]})" for name in ("events", "nations", "orders", "parts"))))
 def batch_report(spark, d):
     """Shape, cells and near-parallel classes of each of the matrices in the given tables."""
     from collinea.jobs.batch import summary
 
     named = {"events": event_cells, "nations": nation_cells, "orders": order_cells, "parts": part_cells}
     return summary({name: cells(spark, d) for name, cells in named.items()})
-

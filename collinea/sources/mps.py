@@ -1,8 +1,12 @@
 """MPS text: reader and writer of mixed-integer-program matrices.
 
-Files are read whole, one row each, so line order is certain; the lines are then exploded and
-everything after is relational. Archives ending in ``.gz`` are decompressed by Spark's text
-source. Each file's matrix has its own ``file`` key, so a folder of instances is one job.
+Files are split like any text: no task holds a file. A line's place is its split and its order
+there; the section it lies in is the last header before it, found inside its split and, for lines
+before a split's first header, carried over from the splits before (one small row for each split).
+Archives ending in ``.gz`` are decompressed by Spark's text source, as one split.
+
+A folder of instances is one job: each matrix has its ``file`` key. What the writer makes is a
+folder of ordered part files for each matrix, ``file=name/part-...``, which is read as one file.
 """
 
 from __future__ import annotations
@@ -21,20 +25,36 @@ NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, text) of the lines that count, with the section each lies in."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
-    kept = whole.filter(~(F.trim("text") == "") & ~F.col("text").startswith("*"))
-    is_header = ~F.col("text").startswith(" ")
+    """(file, split, at, text, section) of the lines that count.
+
+    ``split`` and ``at`` order the lines of a file: by part file and first byte of the split, then
+    by the order in which the split is read.
+    """
+    source = spark.read.option("recursiveFileLookup", "true").text(path)
+    name = F.col("_metadata.file_path")
+    raw = source.select(
+        F.regexp_replace(name, r"/part-[^/]*$", "").alias("file"),
+        F.struct(F.regexp_extract(name, r"[^/]*$", 0).alias("part"), F.col("_metadata.file_block_start").alias("start")).alias("split"),
+        F.monotonically_increasing_id().alias("at"),
+        F.regexp_replace("value", r"\r$", "").alias("text"),
+    )
+    kept = raw.filter(~(F.trim("text") == "") & ~F.col("text").startswith("*"))
     known = F.lit(None).cast("string")
-    for name in HEADERS:
-        known = F.when(F.col("text").startswith(name), name).otherwise(known)
+    for header in HEADERS:
+        known = F.when(F.col("text").startswith(header), header).otherwise(known)
     unknown = F.raise_error(F.concat(F.lit("unknown section: "), F.col("text"))).cast("string")
-    marked = kept.withColumn("header", F.when(is_header, F.coalesce(known, unknown)))
-    so_far = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marked.withColumn("section", F.last("header", ignorenulls=True).over(so_far)).withColumn("ended", F.max(F.col("header") == "ENDATA").over(so_far))
-    live = placed.filter(~F.coalesce("ended", F.lit(False)))
+    marked = kept.withColumn("header", F.when(~F.col("text").startswith(" "), F.coalesce(known, unknown)))
+    # a row for each split: its last header, and whether the file has ended by then
+    ends = marked.groupBy("file", "split").agg(F.max_by("header", F.when(F.col("header").isNotNull(), F.col("at"))).alias("last"), F.max(F.coalesce(F.col("header") == "ENDATA", F.lit(False))).alias("ended"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "split", F.last("last", ignorenulls=True).over(before).alias("carried"), F.coalesce(F.max("ended").over(before), F.lit(False)).alias("over"))
+    so_far = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = marked.withColumn("own", F.last("header", ignorenulls=True).over(so_far)).withColumn("closed", F.max(F.coalesce(F.col("header") == "ENDATA", F.lit(False))).over(so_far))
+    live = placed.filter(~F.col("closed")).join(carried, ["file", "split"]).filter(~F.col("over"))
     stray = F.raise_error(F.concat(F.lit("data before any section: "), F.col("text"))).cast("string")
-    return live.withColumn("section", F.coalesce("section", stray)).filter("header is null or section is null").drop("header", "ended")
+    section = F.coalesce("own", "carried", stray)
+    # written here: else the checks of a section's fields could run before a line's section is known
+    return cut(live.filter("header is null").select("file", "split", "at", "text", section.alias("section")), "mps-lines")
 
 
 def fields(text: Column, fixed_width: bool) -> Column:
@@ -48,11 +68,11 @@ def fields(text: Column, fixed_width: bool) -> Column:
 
 
 def row_types(placed: DataFrame, fixed_width: bool) -> DataFrame:
-    """(file, line_no, type, row_name) of the ROWS section; a type other than E, L, G, N fails."""
+    """(file, place, type, row_name) of the ROWS section; a type other than E, L, G, N fails."""
     split = placed.filter("section = 'ROWS'").withColumn("f", fields(F.col("text"), fixed_width))
     letter = F.substring(F.trim(F.get("f", F.lit(0))), 1, 1)
     wrong = F.raise_error(F.concat(F.lit("unknown row type: "), F.col("text"))).cast("string")
-    return split.select("file", "line_no", F.when(letter.isin("E", "L", "G", "N"), letter).otherwise(wrong).alias("type"), F.trim(F.get("f", F.lit(1))).alias("row_name"))
+    return split.select("file", F.struct("split", "at").alias("place"), F.when(letter.isin("E", "L", "G", "N"), letter).otherwise(wrong).alias("type"), F.trim(F.get("f", F.lit(1))).alias("row_name"))
 
 
 def read(spark: SparkSession, path: str, fixed_width: bool = False, objective: str = "last") -> DataFrame:
@@ -63,7 +83,7 @@ def read(spark: SparkSession, path: str, fixed_width: bool = False, objective: s
     """
     placed = lines(spark, path)
     types = row_types(placed, fixed_width).filter("type = 'N'")
-    gone = types.groupBy("file").agg(F.max_by("row_name", "line_no").alias("r")) if objective == "last" else types.select("file", F.col("row_name").alias("r"))
+    gone = types.groupBy("file").agg(F.max_by("row_name", "place").alias("r")) if objective == "last" else types.select("file", F.col("row_name").alias("r"))
     columns = placed.filter("section = 'COLUMNS'").withColumn("f", fields(F.col("text"), fixed_width)).filter(F.get("f", F.lit(2)) != "'MARKER'")
     pair = lambda k: F.struct(F.trim(F.get("f", F.lit(k))).alias("r"), F.get("f", F.lit(k + 1)).alias("number"))
     pairs = columns.select("file", F.trim(F.get("f", F.lit(1))).alias("c"), F.explode(F.array(pair(2), pair(4))).alias("p")).select("file", "p.r", "c", F.regexp_extract("p.number", NUMBER, 1).try_cast("double").alias("v"))
@@ -92,13 +112,37 @@ def numbered(cells: DataFrame, key: str, name: str) -> DataFrame:
     return keys.withColumn("k", F.row_number().over(inside) - 1).join(F.broadcast(starts), "_p").select(key, (F.col("k") + F.col("start")).cast("long").alias(name))
 
 
-def text_of(cells: DataFrame, name: str) -> DataFrame:
-    """One row with the space-separated MPS text of cells: the writer's result for one matrix.
+def text_lines(cells: DataFrame, objective: DataFrame | None = None, fixed_width: bool = False, integer: Column | None = None) -> DataFrame:
+    """(file, section, key, text): the ordered lines of the matrices of ``cells(file, r, c, v)``.
 
-    The objective is a row of its own; every column lists its cells one to a line.
+    The objective's coefficients are ``objective(file, c, v)``. A column's cells stand two to a
+    line. Columns for which ``integer`` holds lie between markers, one pair of markers each.
     """
-    rows = cells.select(F.col("r").cast("string").alias("r")).distinct().agg(F.sort_array(F.collect_list(F.concat(F.lit(" E  "), "r"))).alias("rows"))
-    body = cells.groupBy(F.col("c").cast("string").alias("c")).agg(F.sort_array(F.collect_list(F.format_string("    %s  %s  %s", F.col("c").cast("string"), F.col("r").cast("string"), F.col("v").cast("string")))).alias("lines"))
-    columns = body.agg(F.sort_array(F.collect_list(F.array_join("lines", "\n"))).alias("columns"))
-    parts = F.concat(F.array(F.lit(f"NAME {name}"), F.lit("ROWS"), F.lit(" N  objective")), "rows", F.array(F.lit("COLUMNS")), "columns", F.array(F.lit("RHS"), F.lit("ENDATA")))
-    return rows.crossJoin(columns).select(F.array_join(parts, "\n").alias("value"))
+    name = lambda c: F.col(c).cast("string")
+    cells = cells.select(name("file").alias("file"), name("r").alias("r"), name("c").alias("c"), F.col("v").cast("string").alias("v"))
+    heads = [(0, "NAME"), (1, "ROWS"), (2, " N  objective"), (4, "COLUMNS"), (6, "RHS"), (7, "ENDATA")]
+    frame = F.explode(F.array(*(F.struct(F.lit(k).alias("section"), F.lit("").alias("key"), F.lit(text).alias("text")) for k, text in heads)))
+    rows = cells.select("file", "r").distinct().select("file", F.lit(3).alias("section"), F.col("r").alias("key"), F.concat(F.lit(" E  "), "r").alias("text"))
+    all_cells = cells
+    if objective is not None:
+        all_cells = cells.unionByName(objective.select(name("file").alias("file"), F.lit("objective").alias("r"), name("c").alias("c"), F.col("v").cast("string").alias("v")))
+    held = all_cells.groupBy("file", "c").agg(F.sort_array(F.collect_list(F.struct("r", "v"))).alias("held"))
+    pad = (lambda c, n: F.rpad(c, n, " ")) if fixed_width else (lambda c, n: F.concat(c, F.lit("  ")))
+    number = (lambda c: F.concat(F.lpad(c, 12, " "), F.lit("   "))) if fixed_width else (lambda c: F.concat(c, F.lit("  ")))
+
+    def line(k: Column) -> Column:
+        pair = lambda at: F.coalesce(F.concat(pad(F.get("held", at)["r"], 10), number(F.get("held", at)["v"])), F.lit(""))
+        return trim_right(F.concat(F.lit("    "), pad(F.col("c"), 10), pair(k), pair(k + 1)))
+
+    body = F.transform(F.sequence(F.lit(0), F.size("held") - 1, F.lit(2)), line)
+    if integer is not None:
+        marker = lambda kind: F.concat(F.lit("    "), pad(F.lit("MARKER"), 10), pad(F.lit("'MARKER'"), 10), F.lit(kind))
+        body = F.when(integer, F.concat(F.array(marker("'INTORG'")), body, F.array(marker("'INTEND'")))).otherwise(body)
+    columns = held.select("file", F.lit(5).alias("section"), F.col("c").alias("key"), F.array_join(body, "\n").alias("text"))
+    return cells.select("file").distinct().select("file", frame.alias("h")).select("file", "h.*").unionByName(rows).unionByName(columns)
+
+
+def write(lines: DataFrame, path: str) -> None:
+    """Lines of ``text_lines`` as ordered part files below ``path/file=name``; a large matrix is written by many tasks."""
+    order = ["file", "section", "key"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("file", "text").write.partitionBy("file").text(path)

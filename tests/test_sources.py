@@ -3,8 +3,10 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from collinea.jobs import batch
+from collinea.operators import near_parallel
 from collinea.sources import mps
 
 SPACED = """* a comment
@@ -76,10 +78,40 @@ def test_errors(spark, tmp_path, text):
         mps.read(spark, str(path)).collect()
 
 
-def test_written_text_is_read_again(spark, tmp_path):
-    cells = spark.createDataFrame([("a", "x", 1.0), ("b", "x", -2.5), ("b", "y", 3.0)], "r string, c string, v double")
-    mps.text_of(cells, "m").coalesce(1).write.text(str(tmp_path / "out"))
-    assert found(mps.read(spark, str(tmp_path / "out"))) == {("a", "x", 1.0), ("b", "x", -2.5), ("b", "y", 3.0)}
+@pytest.mark.parametrize("fixed", [False, True])
+def test_written_text_is_read_again(spark, tmp_path, fixed):
+    cells = spark.createDataFrame([("m", "a", "x", 1.0), ("m", "b", "x", -2.5), ("m", "b2", "x", 4.0), ("m", "b", "y", 3.0), ("n", "a", "x", 9.0)], "file string, r string, c string, v double")
+    costs = spark.createDataFrame([("m", "x", 8.0), ("m", "z", 1.0)], "file string, c string, v double")
+    mps.write(mps.text_lines(cells, costs, fixed, F.col("c") == "y"), str(tmp_path / "out"))
+    got = mps.read(spark, str(tmp_path / "out"), fixed)
+    assert {(r.file.split("=")[-1], r.r, r.c, r.v) for r in got.collect()} == {tuple(r) for r in cells.collect()}
+    assert {(r.r, r.c, r.v) for r in mps.read(spark, str(tmp_path / "out" / "file=m"), fixed, objective="all").collect()} == {("a", "x", 1.0), ("b", "x", -2.5), ("b2", "x", 4.0), ("b", "y", 3.0)}
+
+
+def test_a_split_file_gives_the_rows_of_the_whole_one(spark, tmp_path):
+    body = [f"    x{k % 300}  r{k // 300}  {k + 1}" for k in range(3000)]
+    text = "\n".join(["NAME big", "ROWS", " N  cost", *(f" L  r{k}" for k in range(10)), "COLUMNS", *body, "RHS", "    rhs  r1  5", "ENDATA", "    x1  r1  99"]) + "\n"
+    (tmp_path / "big.mps").write_text(text)
+    want = {(f"r{k // 300}", f"x{k % 300}", float(k + 1)) for k in range(3000)}
+    assert found(mps.read(spark, str(tmp_path))) == want
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997b")
+    try:
+        assert mps.lines(spark, str(tmp_path)).select("split").distinct().count() > 20
+        assert found(mps.read(spark, str(tmp_path))) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_many_files_are_one_plan(spark, tmp_path):
+    rows = [(f"f{k % n}", f"r{k}", f"c{(k * j) % 7}", float(k % 3 + j)) for n in (3, 30) for k in range(60) for j in (1, 2, 3)]
+    few, many = (spark.createDataFrame([x for x in rows if (int(x[0][1:]) < n)], "file string, r string, c string, v double").dropDuplicates(["file", "r", "c"]) for n in (3, 30))
+    plans = [batch.file_summary(df)._jdf.queryExecution().executedPlan().toString().count("Exchange") for df in (few, many)]
+    assert plans[0] == plans[1]
+    report = {row.file: row for row in batch.file_summary(many).collect()}
+    assert len(report) == 30
+    alone = many.filter("file = 'f0'").select("r", "c", "v")
+    assert report["f0"].class_pairs == near_parallel.class_pairs(alone).count() > 0
 
 
 def test_numbers_are_dense(spark):
