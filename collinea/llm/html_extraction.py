@@ -7,8 +7,10 @@ inside a rejected element is kept, and no ancestor of a kept one is rejected.
 
 The model is fitted on the driver on a sample with a fixed bound (``SAMPLE_PAGES`` pages of
 least id hash, each of at most ``SAMPLE_BYTES``). Labels come from semantic elements; each
-page is also retold with neutral elements, other attribute names, and added sidebars,
-notices, comments and forms, so that the model does not rest on element names alone.
+page's prose is also retold with neutral elements, other and meaningless attribute names, and with
+sidebars, notices, comments, forms and footers around and inside of the article, so that the model
+does not rest on element names alone. A node is labelled by its own text, so a foreign part of any
+size inside an article is learnt as foreign.
 Extraction is one Arrow pass over whole pages; the model (a fixed size) is broadcast.
 
 Defined results: a null or empty page, and one without a main block, has an empty text; a
@@ -186,7 +188,7 @@ def parse(source: str) -> Page:
     return page
 
 
-FEATURES = [*KINDS, "depth", "children", "chars", "blocks", "link_share", "mean_block", "longest", "stops", "before", "after", "same_siblings", "sibling_chars", "place", "share_of_parent", "own_low", "own_high", "path_low", "path_high", "path_cut_kind", "path_main", "main_elsewhere"]
+FEATURES = [*KINDS, "depth", "children", "chars", "blocks", "link_share", "mean_block", "longest", "stops", "before", "after", "same_siblings", "sibling_chars", "place", "share_of_parent", "own_low", "own_high", "path_low", "path_high", "path_header", "path_foreign", "path_foot", "path_main", "main_elsewhere", "since_main_low"]
 
 
 def page_features(page: Page, token_score: dict[str, float]) -> np.ndarray:
@@ -200,8 +202,7 @@ def page_features(page: Page, token_score: dict[str, float]) -> np.ndarray:
     first_block = np.full(n, len(owner))
     np.minimum.at(first_block, owner, np.arange(len(owner)))
     depth, children, place = np.zeros(n), np.zeros(n), np.zeros(n)
-    low, high, path_low, path_high, path_kind, path_main = (np.zeros(n) for _ in range(6))
-    boiler = {"nav", "aside", "footer", "form", "header"}
+    low, high, path_low, path_high, path_header, path_foreign, path_foot, path_main, since_main = (np.zeros(n) for _ in range(9))
     kinds = [_KIND.get(t, t if t in KINDS else "other") for t in page.tag]
     for k in range(1, n):
         p = page.parent[k]
@@ -211,8 +212,12 @@ def page_features(page: Page, token_score: dict[str, float]) -> np.ndarray:
         scores = [token_score.get(t, 0.0) for t in page.tokens[k]]
         low[k], high[k] = min(scores, default=0.0), max(scores, default=0.0)
         path_low[k], path_high[k] = min(path_low[p], low[k]), max(path_high[p], high[k])
-        path_kind[k] = path_kind[p] or float(kinds[k] in boiler)
+        path_header[k] = path_header[p] or float(kinds[k] == "header")
+        path_foreign[k] = path_foreign[p] or float(kinds[k] in ("nav", "aside", "form"))
+        path_foot[k] = path_foot[p] or float(kinds[k] == "footer")
         path_main[k] = path_main[p] or float(kinds[k] in ("article", "main"))
+        # names below the nearest article: its own may be any
+        since_main[k] = 0.0 if kinds[k] in ("article", "main") else min(since_main[p], low[k])
     for k in range(n - 1, 0, -1):
         total[parent[k]] += total[k]
         longest[parent[k]] = max(longest[parent[k]], longest[k])
@@ -232,11 +237,11 @@ def page_features(page: Page, token_score: dict[str, float]) -> np.ndarray:
     kind = np.zeros((n, len(KINDS)))
     kind[np.arange(n), [KINDS.index(x) for x in kinds]] = 1
     rest = [depth, children, np.log1p(chars), np.log1p(blocks), linked / safe, np.log1p(chars / np.maximum(blocks, 1)), np.log1p(longest), 100 * stops / safe, before / whole, (whole - before - chars) / whole]
-    rest += [same, np.log1p(sibling), place, chars / np.maximum(chars[np.maximum(parent, 0)], 1), low, high, path_low, path_high, path_kind, path_main, np.full(n, path_main.max()) * (1 - path_main)]
+    rest += [same, np.log1p(sibling), place, chars / np.maximum(chars[np.maximum(parent, 0)], 1), low, high, path_low, path_high, path_header, path_foreign, path_foot, path_main, np.full(n, path_main.max()) * (1 - path_main), since_main]
     return np.concatenate([kind, np.stack(rest, 1)], 1)
 
 
-def decode(page: Page, score: np.ndarray, switch: float = 1.0) -> list[int]:
+def decode(page: Page, score: np.ndarray, switch: float = 0.5) -> list[int]:
     """The blocks whose owners are inside, under the best outside -> inside -> cut labelling."""
     n = len(page.tag)
     own = np.bincount(np.array(page.owner, np.int64), minlength=n) > 0
@@ -298,15 +303,19 @@ def retold(prose: list[str], rng: random.Random, mark: str = "") -> tuple[str, l
     short = lambda: " ".join(pick().split()[: rng.randint(1, 5)])
     title = " ".join(pick().split()[: rng.randint(1, 12)])
     body: list[str] = []
+    meaningless = rng.random() < 0.3  # a page whose names say nothing
 
     def said(text: str) -> str:
         body.append(text)
         return mark + text
 
-    def part(kind: str, inner: str) -> str:
+    def part(kind: str, inner: str, within: bool = False) -> str:
+        """A foreign part; inside of an article it has an element or a name that says so."""
         name = rng.choice(OTHER_NAMES[kind])
-        tag = OTHER_TAGS.get(kind, "div") if rng.random() < 0.5 else "div"
-        named = f' {rng.choice(["class", "id"])}="{name}{rng.choice(["", "-box", " block", "_1"])}"' if tag == "div" or rng.random() < 0.6 else ""
+        tag = OTHER_TAGS.get(kind, rng.choice(["div", "section"])) if rng.random() < 0.5 else "div"
+        if meaningless and not (within and kind != "nav"):
+            name = "".join(rng.choice("abcdefghijkqxz") for _ in range(rng.randint(1, 3))) + str(rng.randint(0, 99))
+        named = f' {rng.choice(["class", "id"])}="{name}{rng.choice(["", "-box", " block", "_1", "-list", " widget", "-footer"])}"' if rng.random() < (0.4 if tag in OTHER_TAGS.values() else 1.0 if within else 0.85) else ""
         return f"<{tag}{named}>{inner}</{tag}>"
 
     links = lambda: "<ul>" + "".join(f'<li><a href="/x">{short()}</a></li>' for _ in range(rng.randint(2, 8))) + "</ul>"
@@ -343,19 +352,33 @@ def retold(prose: list[str], rng: random.Random, mark: str = "") -> tuple[str, l
 
     for _ in range(rng.choice([1, 2, 3, 5, 8, 12])):
         inner.append(main_part())
-    for kind in ("ad", "side", "comment", "nav", "form", "notice"):
-        if rng.random() < 0.12:
-            added = part(kind, rng.choice([links, prose_part, short])() if kind != "form" else f"<p>{short()}</p>")
-            inner.insert(len(inner) if kind == "comment" else rng.randint(1, len(inner)), added)
+    replies = lambda: "".join(f"<p>{' '.join(pick().split()[: rng.randint(1, 25)])}</p>" for _ in range(rng.randint(1, 10)))
+    inserts = {
+        "ad": lambda: rng.choice([short, prose_part])(),
+        "side": lambda: f"<h3>{short()}</h3>" * (rng.random() < 0.7) + rng.choice([links, prose_part, prose_part])(),
+        "comment": lambda: f"<h3>{short()}</h3>" * (rng.random() < 0.8) + (replies() if rng.random() < 0.6 else "<ol>" + "".join(f"<li>{replies()}</li>" for _ in range(rng.randint(1, 4))) + "</ol>"),
+        "nav": links,
+        "form": lambda: f"<p>{short()}</p><label>{short()}</label><input>",
+        "notice": lambda: prose_part(),
+        "foot": lambda: f"<p>{short()}</p>" + (links() if rng.random() < 0.4 else ""),
+    }
+    for kind, make in inserts.items():
+        for _ in range(2 if kind == "side" else 1):
+            if rng.random() < 0.22:
+                at = len(inner) if kind in ("comment", "foot") else rng.randint(0 if kind == "notice" else 1, len(inner))
+                inner.insert(at, part(kind, make(), True))
+    if rng.random() < 0.2:  # parts of the article in sections of their own
+        cut = rng.randint(1, len(inner))
+        inner = [*inner[:1], "<section>", *inner[1:cut], "</section>", "<section>", *inner[cut:], "</section>"]
     any_name = lambda: rng.choice([*MAIN_NAMES, *(x for names in OTHER_NAMES.values() for x in names)])
     own_name = f' class="{any_name()}{rng.choice(["", "-story", " post"])}"' if rng.random() < 0.35 else ""
-    form = rng.random()
+    form = rng.random() * (1 - 0.25 * meaningless) + 0.25 * meaningless
     if form < 0.35:
         main = f"<article{own_name}>{''.join(inner)}</article>"
     elif form < 0.5:
         main = f"<main{own_name}>{''.join(inner)}</main>"
     else:
-        name = f' {rng.choice(["class", "id"])}="{rng.choice(MAIN_NAMES)}{rng.choice(["", "-area", " wrap"])}"' if rng.random() < 0.8 else ""
+        name = f' {rng.choice(["class", "id"])}="{rng.choice(["b", "k", "zq"]) + str(rng.randint(0, 99)) if meaningless else rng.choice(MAIN_NAMES)}{rng.choice(["", "-area", " wrap"])}"' if rng.random() < 0.8 else ""
         main = f"<{(tag := rng.choice(['div', 'section']))}{name}>{''.join(inner)}</{tag}>"
     if rng.random() < 0.3:
         main = f'<div class="container">{main}{after.pop(0) if after and rng.random() < 0.5 else ""}</div>'
@@ -375,21 +398,22 @@ def _known_labels(page: Page) -> np.ndarray | None:
 
 
 def _marked_labels(page: Page) -> np.ndarray:
-    """Labels of a retold page, whose marks are taken away: a node is main if most of its subtree's text is."""
-    total, good = np.zeros(len(page.tag)), np.zeros(len(page.tag))
+    """Labels of a retold page, whose marks are taken away.
+
+    A node with text of its own is main if most of that text is; any other one if most of its subtree's is.
+    """
+    own, total = np.zeros((len(page.tag), 2)), np.zeros((len(page.tag), 2))
     for k, (owner, text) in enumerate(zip(page.owner, page.text)):
         page.text[k] = text.replace(MARK, "").strip() or "x"
-        total[owner] += len(page.text[k])
-        good[owner] += len(page.text[k]) * (MARK in text)
+        own[owner] += [len(page.text[k]), len(page.text[k]) * (MARK in text)]
+    total += own
     for k in range(len(page.tag) - 1, 0, -1):
         total[page.parent[k]] += total[k]
-        good[page.parent[k]] += good[k]
-    share = good > 0.95 * np.maximum(total, 1)
-    wide = good > 0.8 * np.maximum(total, 1)  # an article with a small insert is still main
-    return share | (wide & np.array([t in ("article", "main", "section", "div") for t in page.tag]))
+    decisive = np.where(own[:, :1] > 0, own, total)
+    return decisive[:, 1] > 0.5 * np.maximum(decisive[:, 0], 1)
 
 
-def fit_model(sources: list[str], retellings: int = 1000, seed: int = 7) -> ExtractionModel:
+def fit_model(sources: list[str], retellings: int = 2000, seed: int = 7) -> ExtractionModel:
     """Fit on a bounded list of pages; the same pages give the same model."""
     rng = random.Random(seed)
     pages: list[tuple[Page, np.ndarray]] = []
@@ -417,7 +441,7 @@ def fit_model(sources: list[str], retellings: int = 1000, seed: int = 7) -> Extr
     token_score = {token: float(np.log((good + 0.5) / (bad + 0.5))) for token, (bad, good) in sorted(held.items()) if good + bad >= 5}
     x = np.concatenate([page_features(page, token_score)[1:] for page, _ in pages])
     y = np.concatenate([labels[1:] for _, labels in pages]).astype(float)
-    return ExtractionModel(BoostedTrees().fit(x, y), token_score)
+    return ExtractionModel(BoostedTrees(trees=60, depth=5).fit(x, y), token_score)
 
 
 def fit_on(pages: DataFrame) -> ExtractionModel:
