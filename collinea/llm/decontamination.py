@@ -8,8 +8,11 @@ documents without a shuffle.
 
 The items are dealt by hash into blocks of about ``block_bytes`` of text at most, whose number
 grows with the item table. One block at a time is fetched and broadcast, so neither the driver
-nor an executor ever holds the table; each block makes its own pass over the whole texts, and
-the hit spans of all blocks are merged per document row before anything is judged or cut.
+nor an executor ever holds the table. With several blocks, one pass over the texts first asks a
+filter of all windows' hashes (``FILTER_BITS`` bits, made by Spark) which rows may hold a window;
+only those are streamed through each block's automaton, and the hit spans of all blocks are
+merged per document row before anything is judged or cut. A window that many items share is one
+mark with one set of items, and equal items are one sequence, so repeats cost no more than one.
 
 Defined results: null or empty texts have no words and no hits; items without words (null,
 too) give no window; repeated items count each under their own id; null item ids give
@@ -21,10 +24,13 @@ one piece, with about 50 bytes of memory for each of its bytes; extra columns pa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from collinea.llm.common import ALNUM, LOWER, Chunk, RangeHash, chunks, cut, free_name, word_spans
@@ -32,14 +38,17 @@ from collinea.llm.common import ALNUM, LOWER, Chunk, RangeHash, chunks, cut, fre
 WINDOW = 13
 #: bytes of item text in one automaton: about 40 bytes of automaton for each byte of text
 BLOCK_BYTES = 4_000_000
+#: bits of the filter before several blocks: 16 MB
+FILTER_BITS = 1 << 27
 
 
 class SuffixAutomaton:
     """Generalised suffix automaton of word sequences with suffix links and item marks.
 
-    ``marks`` names, for a state, the windows that end in it: (length, item). A window of an
-    item belongs to the state that holds it; a state of a longer match reaches the states of
-    all its suffixes by suffix links.
+    ``marks`` names, for a state, the distinct windows that end in it: (length, set of items), one
+    for each length however many items hold it. A window belongs to the state that holds it; a
+    state of a longer match reaches the states of all its suffixes by suffix links. ``sets`` lists
+    the items of each set; windows with the same items share one.
     """
 
     def __init__(self, sequences: list[tuple[object, list[int]]], window: int):
@@ -47,18 +56,31 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        for _, words in sequences:
-            self._add(words)
-        self.marks: dict[int, list[tuple[int, object]]] = {}
+        equal: dict[tuple[int, ...], list] = {}
         for item, words in sequences:
+            equal.setdefault(tuple(words), []).append(item)
+        for words in equal:
+            self._add(words)
+        holders: dict[tuple[int, int], list[int]] = {}  # (state, length) -> numbers of unlike sequences
+        for number, words in enumerate(equal):
             need = min(window, len(words))
             state, matched = 0, 0
             for k, word in enumerate(words):
                 state, matched = self.step(state, matched, word)
                 if k + 1 >= need:
-                    at = self.holding(state, need)
-                    if (need, item) not in self.marks.setdefault(at, []):
-                        self.marks[at].append((need, item))
+                    held = holders.setdefault((self.holding(state, need), need), [])
+                    if not held or held[-1] != number:
+                        held.append(number)
+        items = list(equal.values())
+        self.sets: list[list] = []
+        self.marks: dict[int, list[tuple[int, int]]] = {}
+        known: dict[tuple[int, ...], int] = {}
+        for (state, need), held in holders.items():
+            key = tuple(held)
+            if key not in known:
+                known[key] = len(self.sets)
+                self.sets.append([item for number in held for item in items[number]])
+            self.marks.setdefault(state, []).append((need, known[key]))
         #: for each state the nearest state on its suffix path, itself included, with a mark
         self.marked = [-1] * len(self.link)
         for state in sorted(range(len(self.link)), key=self.length.__getitem__):
@@ -111,13 +133,13 @@ class SuffixAutomaton:
             state = self.link[state]
         return state
 
-    def ending(self, state: int, matched: int) -> Iterator[tuple[int, object]]:
-        """The windows (length, item) that end where the match ends."""
+    def ending(self, state: int, matched: int) -> Iterator[tuple[int, int]]:
+        """The windows (length, set of items) that end where the match ends."""
         at = self.marked[state]
         while at > 0:
-            for need, item in self.marks[at]:
+            for need, held in self.marks[at]:
                 if need <= matched:
-                    yield need, item
+                    yield need, held
             at = self.marked[self.link[at]]
 
 
@@ -135,8 +157,10 @@ class ItemMatcher:
         words = [(item, normalised_words((text or "").encode())) for item, text in items]
         number: dict[bytes, int] = {}
         sequences = [(k, [number.setdefault(w, len(number)) for w in found]) for k, (_, found) in enumerate(words) if found]
-        self.names = [item for item, _ in words]
+        names = [item for item, _ in words]
         self.automaton = SuffixAutomaton(sequences, window)
+        #: names of the items of each set of the automaton
+        self.names = [sorted({str(names[k]) for k in held if names[k] is not None}) for held in self.automaton.sets]
         self.least = min((min(window, len(s)) for _, s in sequences), default=0)
         vocabulary = b"".join(number)
         ends = np.cumsum([len(w) for w in number], dtype=np.int64)
@@ -145,7 +169,7 @@ class ItemMatcher:
         self.known, self.numbers = hashes[order], np.arange(len(number))[order]
 
     def match(self, chunk) -> tuple[np.ndarray, list[tuple[int, int, int, int]], tuple[np.ndarray, ...]]:
-        """Words per row; (row, first word, last word + 1, item place) of each occurrence; words."""
+        """Words per row; (row, first word, last word + 1, set of items) of each occurrence; words."""
         data = LOWER[chunk.data]
         start, end, row = word_spans(Chunk(chunk.lo, chunk.hi, data, chunk.offsets), ALNUM)
         n_words = np.bincount(row, minlength=chunk.rows)
@@ -170,11 +194,74 @@ class ItemMatcher:
                     else:
                         state, matched = to, matched + 1
                     if marked[state] > 0:
-                        for need, item in ending(state, matched):
-                            hits.append((int(row[a]), k + 1 - need, k + 1, item))
+                        for need, held in ending(state, matched):
+                            hits.append((int(row[a]), k + 1 - need, k + 1, held))
         return n_words, hits, (start, end, row)
 
 
+#: the matcher that a worker built last: its tasks share it
+_built: dict[str, ItemMatcher] = {}
+
+
+def _matcher(key: str, items: Broadcast, window: int) -> ItemMatcher:
+    if key not in _built:
+        _built.clear()
+        _built[key] = ItemMatcher(items.value, window)
+    return _built[key]
+
+
+def window_filter(items: DataFrame, window: int) -> tuple[np.ndarray, list[int]]:
+    """(bits of all windows' hashes, their lengths in words): a constant ``FILTER_BITS`` bits, built by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch, "text"):
+                codes, row = _word_codes(chunk)
+                lengths = np.bincount(row, minlength=chunk.rows)
+                need = np.minimum(lengths, window)[row]
+                at = np.arange(len(row))
+                whole = at + need <= np.cumsum(lengths)[row]
+                places = RangeHash(codes).of(at[whole], at[whole] + need[whole]) % np.uint64(FILTER_BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64)), pa.array(need[whole])], ["place", "need"])
+
+    places = cut(items.select("text").mapInArrow(run, "place long, need long"), "item-windows")
+    lengths = sorted(row.need for row in places.select("need").distinct().collect())  # at most ``window`` of them
+    blocks = places.select(F.bitmap_bucket_number(F.col("place") + 1).alias("block"), F.bitmap_bit_position(F.col("place") + 1).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for block, part in blocks.collect():  # FILTER_BITS in all
+        bits[(block - 1) * 4096 : block * 4096] = np.frombuffer(part, np.uint8)[: max(0, len(bits) - (block - 1) * 4096)]
+    return bits, lengths
+
+
+def _word_codes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    data = LOWER[chunk.data]
+    start, end, row = word_spans(Chunk(chunk.lo, chunk.hi, data, chunk.offsets), ALNUM)
+    return RangeHash(data).of(start, end), row
+
+
+def possible_rows(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """(row_key, doc_id, n_words, text): all rows, with the text of those alone that may hold a window of an item."""
+    bits, lengths = window_filter(items, window)
+    shared = docs.sparkSession.sparkContext.broadcast((bits.tobytes(), lengths))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, lengths = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
+        for batch in batches:
+            for chunk in chunks(batch, "text"):
+                codes, row = _word_codes(chunk)
+                hashes, possible = RangeHash(codes), np.zeros(chunk.rows, bool)
+                for need in lengths:
+                    at = np.arange(max(len(codes) - need + 1, 0))
+                    at = at[row[at] == row[at + need - 1]]
+                    place = (hashes.of(at, at + need) % np.uint64(FILTER_BITS)).astype(np.int64)
+                    possible[row[at[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]]] = True
+                part = batch.slice(chunk.lo, chunk.rows)
+                texts = pc.if_else(pa.array(possible), part.column("text"), pa.scalar(None, part.column("text").type))
+                yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("doc_id"), pa.array(np.bincount(row, minlength=chunk.rows)), texts], ["row_key", "doc_id", "n_words", "text"])
+
+    return docs.select("row_key", "doc_id", "text").mapInArrow(run, "row_key long, doc_id long, n_words long, text string")
+
+
 def dealt_items(items: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     """(item_id, text, block) of the items with a text, and the number of blocks.
 
@@ -201,15 +288,13 @@ def _covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, items: list[tuple[object, str]], window: int) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(items)
-    built: list[ItemMatcher] = []
+    shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(ItemMatcher(held.value, window))
+        matcher = _matcher(key, shared, window)
         for batch in batches:
             for chunk in chunks(batch, "text"):
-                n_words, hits, (_, _, row) = built[0].match(chunk)
+                n_words, hits, (_, _, row) = matcher.match(chunk)
                 base = np.concatenate([[0], np.cumsum(n_words)])
                 hit = _covered([(a, b) for _, a, b, _ in hits], len(row))
                 border = np.append(True, row[1:] != row[:-1])[: len(row)]
@@ -217,11 +302,11 @@ def _scan(docs: DataFrame, items: list[tuple[object, str]], window: int) -> Data
                 until = np.flatnonzero(hit & (np.append(border[1:], True)[: len(row)] | ~np.append(hit[1:], False)[: len(row)])) + 1
                 spans: list[list[dict]] = [[] for _ in range(chunk.rows)]
                 names: list[set[str]] = [set() for _ in range(chunk.rows)]
+                sets = {(r, held) for r, _, _, held in hits}
                 for r, a, b in zip(row[first].tolist(), first.tolist(), until.tolist()):
                     spans[r].append({"first": a - int(base[r]), "until": b - int(base[r])})
-                for r, _, _, item in hits:
-                    if built[0].names[item] is not None:
-                        names[r].add(str(built[0].names[item]))
+                for r, held in sets:
+                    names[r].update(matcher.names[held])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row_key").slice(chunk.lo, chunk.rows),
@@ -274,9 +359,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     if blocks <= 1:
         found = _scan(source.selectExpr("0L row_key", "doc_id", "text"), _items_of(dealt, 0) if blocks else [], window)
     else:
-        source = _keyed(source, "row_key")
-        counted = _scan(source, [], window).select("row_key", "doc_id", "n_words")
-        hits = _found_by_block(source, dealt, blocks, window)
+        counted = cut(possible_rows(_keyed(source, "row_key"), items.selectExpr("cast(text as string) text"), window), "possible-documents")
+        hits = _found_by_block(counted.filter("text is not null").select("row_key", "doc_id", "text"), dealt, blocks, window)
+        counted = counted.select("row_key", "doc_id", "n_words")
         none = _scan(source.limit(0), [], window).schema
         found = counted.join(hits, "row_key", "left").select(
             "row_key", "doc_id", "n_words", *(F.coalesce(name, F.array().cast(none[name].dataType)).alias(name) for name in ("spans", "items"))
@@ -318,22 +403,22 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, drop_c
         return pa.RecordBatch.from_arrays(arrays, schema=part.schema).filter(pa.array(keep))
 
     if blocks == 1:
-        held = docs.sparkSession.sparkContext.broadcast(_items_of(dealt, 0))
-        built: list[ItemMatcher] = []
+        held, key = docs.sparkSession.sparkContext.broadcast(_items_of(dealt, 0)), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not built:
-                built.append(ItemMatcher(held.value, window))
+            matcher = _matcher(key, held, window)
             for batch in batches:
                 for chunk in chunks(batch, "text"):
-                    n_words, hits, words = built[0].match(chunk)
+                    n_words, hits, words = matcher.match(chunk)
                     yield clean(batch.slice(chunk.lo, chunk.rows), chunk, n_words, words, [(a, b) for _, a, b, _ in hits])
 
         return docs.mapInArrow(run, schema)
 
     row_key, found_key, spans = (free_name(name, docs) for name in ("row_key", "found_key", "spans"))
     keyed = _keyed(docs, row_key)
-    found = _found_by_block(keyed.select(F.col(row_key).alias("row_key"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), dealt, blocks, window)
+    texts = keyed.select(F.col(row_key).alias("row_key"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    possible = cut(possible_rows(texts, items.selectExpr("cast(text as string) text"), window).filter("text is not null"), "possible-documents")
+    found = _found_by_block(possible.select("row_key", "doc_id", "text"), dealt, blocks, window)
     found = found.select(F.col("row_key").alias(found_key), F.col("spans").alias(spans))
 
     def run_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

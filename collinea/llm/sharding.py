@@ -6,11 +6,13 @@ Byte sums per directory cell are taken with map-side sums, so the work that deci
 splits is one small table; documents then join their cell, which spreads evenly.
 
 DataFrame functions only. Rows that share id and text have one hash, which no bit can part:
-such a bucket over the limit is dealt out in numbered parts, by counts per input partition.
+such a bucket over the limit is dealt out in numbered parts, by counts per partition of a table
+that holds those rows alone. The directory is broadcast if its counted cells are few enough.
 
 Defined results: a null text has no bytes; a null id hashes like the word null; one document
 larger than the limit is a shard of its own, marked ``over_limit``; an empty table gives no
-shards; extra columns are ignored by ``assign`` and kept by ``write_shards``.
+shards; extra columns are ignored by ``assign`` and kept by ``write_shards``. Ids must be integers
+or texts of such, else the job ends with a cast error.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from collinea.llm.common import cut, free_name
 SHARD_BYTES = 4 * 1024 * 1024
 HASH_BITS = 60
 FIRST_BITS = 20
+#: cells of a directory that is broadcast; about 80 bytes each, so 40 MB at most
+BROADCAST_CELLS = 500_000
 
 
 def hash_bits() -> Column:
@@ -38,8 +42,8 @@ def _nodes(cells: DataFrame, low: int, high: int) -> DataFrame:
     return depths.withColumn("prefix", F.expr(f"shiftright(cell, {high} - depth)"))
 
 
-def directory(hashed: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
-    """[(bits, table of cell -> bucket)]: one table for each round of deeper bits."""
+def directory(hashed: DataFrame, limit: int) -> list[tuple[int, DataFrame, int]]:
+    """[(bits, table of cell -> bucket, its cells)]: one table for each round of deeper bits."""
     total = hashed.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(FIRST_BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + 6)
     tables, low, rest = [], 0, hashed
@@ -55,13 +59,19 @@ def directory(hashed: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
         # the shallowest prefix that fits is the bucket
         leaf = paths.select("cell", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs", "single")).alias("leaf"))
         found = cut(leaf.select("cell", "leaf.*"), "shard-directory")
-        tables.append((bits, found))
-        if bits == HASH_BITS or cells.count() == found.count():
+        n_found = found.count()
+        tables.append((bits, found, n_found))
+        if bits == HASH_BITS or cells.count() == n_found:
             return tables
         rest = rest.withColumn("cell", cell).join(found.select("cell"), "cell", "left_anti").drop("cell")
         low, bits = bits + 1, min(HASH_BITS, bits + FIRST_BITS)
 
 
+def _sized(table: DataFrame, cells: int) -> DataFrame:
+    """A directory with its way to the rows: broadcast up to ``BROADCAST_CELLS`` counted cells, else a shuffle."""
+    return F.broadcast(table) if cells <= BROADCAST_CELLS else table.hint("merge")
+
+
 def assign(docs: DataFrame, limit: int = SHARD_BYTES, carry: bool = False) -> DataFrame:
     """doc_id, n_bytes and shard of each document row; with ``carry`` the row itself as ``doc``.
 
@@ -69,20 +79,22 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES, carry: bool = False) -> Da
     """
     result = [*RESULT, *(["doc"] if carry else [])]
     source = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *(["struct(*) doc"] if carry else []))
-    hashed = source.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), hash_bits().alias("hash"), F.spark_partition_id().alias("from"), *(["doc"] if carry else []))
+    hashed = source.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), hash_bits().alias("hash"), *(["doc"] if carry else []))
     rounds = directory(hashed.select("n_bytes", "hash"), limit)
     placed, rest = None, hashed
-    for k, (bits, table) in enumerate(rounds):
+    for k, (bits, table, cells) in enumerate(rounds):
         keyed = rest.withColumn("cell", F.expr(f"shiftright(hash, {HASH_BITS - bits})"))
-        here = keyed.join(table, "cell").drop("cell")
+        here = keyed.join(_sized(table, cells), "cell").drop("cell")
         placed = here if placed is None else placed.unionByName(here)
         if k + 1 < len(rounds):
-            rest = keyed.join(table.select("cell"), "cell", "left_anti").drop("cell")
+            rest = keyed.join(_sized(table.select("cell"), cells), "cell", "left_anti").drop("cell")
     bit_string = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("right(lpad(bin(prefix), 64, '0'), depth)"))
     placed = placed.withColumn("shard", bit_string)
     crowded = F.col("single") & (F.col("shard_docs") > 1) & (F.col("shard_bytes") > limit)
     plain = placed.filter(~crowded).withColumn("over_limit", F.col("shard_bytes") > limit)
-    return plain.select(*result).unionByName(_dealt(placed.filter(crowded), limit).select(*result))
+    # equal rows are written once with their partition, so that counts and rows see the same ones
+    equal = cut(placed.filter(crowded).withColumn("from", F.spark_partition_id()), "shard-equal-rows")
+    return plain.select(*result).unionByName(_dealt(equal, limit).select(*result))
 
 
 RESULT = ["doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs", "over_limit"]

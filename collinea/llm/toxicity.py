@@ -12,7 +12,9 @@ ones), so the fit keeps the grades' true shares. Scoring is one Arrow pass with
 Defined results: a null or empty text has no features and gets the base rate; labels with a
 null grade or without a document are ignored, repeated labels count once for each row; without
 labels, or with one grade only, every severity is that grade (0 without any); extra columns
-are ignored; rows with a null id are scored.
+are ignored; rows with a null id are scored; a very long text is scored whole, its words in a few
+8-byte arrays; equal rows score alike, so ties need no rule; ids must be integers or texts of such,
+else the job ends with a cast error.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from collinea.llm.common import ALNUM, LOWER, Chunk, RangeHash, chunks, mix, word_spans
+from collinea.llm.common import ALNUM, LOWER, Chunk, RangeHash, chunks, cut, mix, word_spans
 
 BITS = 18
 #: code points of the word beginnings that count as features of longer words
@@ -138,7 +140,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, grades: list[int], sample_per_gra
 
     ``labels`` holds doc_id and grade.
     """
+    known = docs.selectExpr("cast(doc_id as long) doc_id").filter("doc_id is not null")
     labels = labels.selectExpr("cast(doc_id as long) doc_id", "cast(grade as int) grade").filter("doc_id is not null")
+    # labels without a document neither count nor take a place in the sample
+    labels = cut(labels.join(known, "doc_id", "left_semi"), "labels-of-documents")
     counts = {r["grade"]: r["count"] for r in labels.filter(F.col("grade").isin(grades)).groupBy("grade").count().collect()}
     sample = None
     for grade in grades:

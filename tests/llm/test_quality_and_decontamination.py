@@ -4,10 +4,12 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from collinea.llm import decontamination as D
 from collinea.llm import quality_rules as Q
+from collinea.llm.common import chunks
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -204,3 +206,17 @@ def test_removal_does_not_depend_on_blocks(spark):
         assert (1 in {r[0] for r in whole}) != drop
         assert {r[0]: r[1] for r in whole}[3] == text(fill(600), fill(5, "g"))
         assert {r[0]: r[1] for r in whole}[4] == text(fill(600), ["left", "right"] * 7)
+
+
+def test_repeated_items_cost_about_one():
+    """Eight hundred items with one passage make one set, and as many hits as one item."""
+    passage = " ".join(f"w{k}" for k in range(60))
+    text = pa.record_batch([pa.array([" ".join(f"x{k}" for k in range(500)) + " " + passage])], ["text"])
+    hits = {}
+    for n in (1, 800):
+        matcher = D.ItemMatcher([(f"i{k}", passage) for k in range(n)], 13)
+        hits[n] = matcher.match(next(chunks(text, "text")))[1]
+        assert {held for *_, held in hits[n]} == {0} and len(matcher.names[0]) == n
+    assert len(hits[1]) == len(hits[800]) == 48
+    near = D.ItemMatcher([(f"i{k}", f"{passage} tail{k}") for k in range(800)], 13)
+    assert len(near.match(next(chunks(text, "text")))[1]) == 48 and len(near.automaton.sets) < 900
