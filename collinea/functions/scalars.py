@@ -68,18 +68,33 @@ def as_binary(n: Column, bits: int = 63) -> Column:
     return F.concat(F.lit("0b"), F.right(F.lpad(F.bin(n.cast("bigint")), 64, "0"), F.lit(bits)))
 
 
-def ordered_hash(*parts: Column) -> Column:
-    return F.xxhash64(*parts)
+def portable_hash(*parts: Column) -> Column:
+    """60 bits of the MD5 of the parts' texts; any engine with md5 finds the same number."""
+    text = F.concat_ws(chr(31), *(F.coalesce(part.cast("string"), F.lit("")) for part in parts))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def row_hash(*parts: Column) -> Column:
-    """A 32-bit hash of a row's values."""
-    return F.hash(*parts)
+def cell_text(c: Column, v: Column) -> Column:
+    """Column and value on the grid, as ``c=steps``; the same in any engine."""
+    return F.concat(c.cast("string"), F.lit("="), F.coalesce(quantise(v).cast("string"), F.lit("")))
+
+
+def ordered_hash(cells: Column) -> Column:
+    """The MD5 of a row's cells in their order."""
+    return F.md5(F.array_join(F.transform(cells, lambda cell: cell_text(cell["c"], cell["v"])), " "))
+
+
+def row_hash(cells: Column) -> Column:
+    """A 32-bit hash of a row: the beginning of its ordered hash."""
+    return F.conv(F.substring(ordered_hash(cells), 1, 8), 16, 10).cast("bigint")
 
 
 def unordered_hash(*parts: Column) -> Column:
-    """An aggregate that no order of rows changes: sum and xor of the rows' hashes."""
-    h = F.xxhash64(*parts)
+    """An aggregate that no order of rows changes: sum and xor of their hashes.
+
+    The sum of 60-bit numbers is a decimal of 38 digits, which no table overflows.
+    """
+    h = portable_hash(*parts)
     return F.struct(F.sum(h.cast("decimal(20,0)")).cast("decimal(38,0)").alias("sum"), F.bit_xor(h).alias("xor"))
 
 

@@ -388,6 +388,13 @@ def matmul_embeddings(spark, d):
     return algebra.matmul(embedding_cells(spark, d), labels).select("r", "c", F.round("v", 6).alias("v"))
 
 
+@query(with_cells("events", "SELECT a.r, b.r AS c, sum(a.v * b.v)::DOUBLE AS v FROM cell a JOIN cell b ON a.c = b.c GROUP BY 1, 2"))
+def matmul_events(spark, d):
+    """Users by users over event types: few inner keys, each of which holds most rows."""
+    cells = event_cells(spark, d)
+    return algebra.matmul(cells, reshape.transpose(cells))
+
+
 SUM_SQL = "SELECT coalesce(a.r, b.r) AS r, coalesce(a.c, b.c) AS c, {} AS v FROM cell a FULL JOIN other b ON a.r = b.r AND a.c = b.c WHERE abs({}) > 1e-10"
 OTHER = ", other AS (SELECT c_nationkey::BIGINT AS r, c_mktsegment AS c, count(*)::DOUBLE AS v FROM customer WHERE c_acctbal > 0 GROUP BY 1, 2) "
 
@@ -546,6 +553,18 @@ def compensated_sum(spark, d):
     return held.select("user_id", F.round(aggregates.compensated_sum(F.col("values")), 6).alias("total"), aggregates.tolerant_min(F.col("values")).alias("least"), aggregates.tolerant_max(F.col("values")).alias("most"))
 
 
+@query(
+    """WITH l AS (SELECT event_type, list(value ORDER BY event_id) AS v FROM (SELECT * FROM events UNION ALL SELECT * REPLACE ('all' AS event_type) FROM events) WHERE value IS NOT NULL GROUP BY 1)
+SELECT event_type, len(v)::BIGINT AS n, round(list_aggregate(v, 'fsum'), 6) AS total,
+       list_reduce(v, lambda a, b: CASE WHEN b < a - 1e-10 THEN b ELSE a END) AS least, list_reduce(v, lambda a, b: CASE WHEN b > a + 1e-10 THEN b ELSE a END) AS most FROM l"""
+)
+def ordered_totals(spark, d):
+    """Kahan's sum and the tolerant folds over each event type, and over all events as one group."""
+    events = table(spark, d, "events").select("event_type", "event_id", "value")
+    both = events.unionByName(events.withColumn("event_type", F.lit("all")))
+    return aggregates.ordered_totals(both, "event_type", "event_id", "value").withColumn("total", F.round("total", 6))
+
+
 # ------------------------------------------------------------------ scalar functions
 
 
@@ -586,11 +605,18 @@ def scalar_texts(spark, d):
     )
 
 
-@query()
+@query(
+    with_cells(
+        "events",
+        """, t AS (SELECT r, c, c || '=' || round(v * 1e10)::BIGINT AS t FROM cell), h AS (SELECT r, ('0x' || substr(md5(t), 1, 15))::BIGINT AS h FROM t),
+o AS (SELECT r, md5(string_agg(t, ' ' ORDER BY c)) AS ordered FROM t GROUP BY r)
+SELECT r, sum(h)::VARCHAR AS sum, bit_xor(h) AS xor, ordered, ('0x' || substr(ordered, 1, 8))::BIGINT AS short FROM h JOIN o USING (r) GROUP BY r, ordered""",
+    )
+)
 def row_hash_unordered(spark, d):
-    """Ordered and unordered hashes of rows; the values are Spark's own."""
+    """Ordered and unordered hashes of rows."""
     cells = event_cells(spark, d)
-    both = cells.groupBy("r").agg(scalars.unordered_hash(F.col("c"), F.col("v")).alias("h"))
+    both = cells.groupBy("r").agg(scalars.unordered_hash(scalars.cell_text(F.col("c"), F.col("v"))).alias("h"))
     ordered = reshape.sparse_rows(cells).select("r", scalars.ordered_hash(F.col("cells")).alias("ordered"), scalars.row_hash(F.col("cells")).alias("short"))
     return both.join(ordered, "r").select("r", F.col("h.sum").cast("string").alias("sum"), F.col("h.xor").alias("xor"), "ordered", "short")
 

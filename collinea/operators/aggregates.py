@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from collinea.functions.scalars import EPSILON
+from collinea.sources.workspace import cut
 
 
 def row_nnz(cells: DataFrame, rows: DataFrame | None = None) -> DataFrame:
@@ -59,8 +60,8 @@ def tolerant_max(values: Column) -> Column:
     return F.aggregate(values, F.lit(None).cast("double"), lambda most, v: F.when(most.isNull() | (v > most + EPSILON), v).otherwise(most))
 
 
-def compensated_sum(values: Column) -> Column:
-    """Kahan's sum of an array in its order."""
+def compensated_state(values: Column) -> Column:
+    """Kahan's sum and compensation of an array in its order."""
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
 
     def step(state: Column, v: Column) -> Column:
@@ -68,9 +69,47 @@ def compensated_sum(values: Column) -> Column:
         t = state["s"] + y
         return F.struct(t.alias("s"), ((t - state["s"]) - y).alias("c"))
 
-    return F.aggregate(values, start, step, lambda state: state["s"])
+    return F.aggregate(values, start, step)
+
+
+def compensated_sum(values: Column) -> Column:
+    """Kahan's sum of an array in its order."""
+    return compensated_state(values)["s"]
 
 
 def exact_sum(v: Column) -> Column:
     """A distributed sum without rounding drift: decimal partial sums of any order agree."""
     return F.sum(v.cast("decimal(38,12)")).cast("double")
+
+
+def ordered_totals(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """(group, n, total, least, most): Kahan's sum and the tolerant folds of each group in order.
+
+    A group may be the whole table. Rows are put in ranges of (group, order) and written once; each
+    range makes a state for each of its groups, and the states of a group are merged in order:
+
+    * the sum's state is a pair of sum and compensation; sums and compensations of all ranges are
+      added by the same rule;
+    * only a strictly new extreme can move a tolerant fold, so a state is the values that are new
+      extremes within their range, and the fold goes over these. They are few unless values fall
+      (or rise) all along.
+    """
+    held = df.select(F.col(group).alias("g"), F.col(order).alias("k"), F.col(value).cast("double").alias("v")).filter("v is not null")
+    ranged = cut(held.repartitionByRange("g", "k").withColumn("range", F.spark_partition_id()), "ordered-ranges")
+    before = Window.partitionBy("g", "range").orderBy("k", "v").rowsBetween(Window.unboundedPreceding, -1)
+    low, high = F.min("v").over(before), F.max("v").over(before)
+    marked = ranged.withColumn("low", low).withColumn("high", high)
+    entry = lambda keep: F.sort_array(F.collect_list(F.when(keep, F.struct("k", "v"))))
+    values = lambda entries: F.transform(entries, lambda x: x["v"])
+    states = marked.groupBy("g", "range").agg(
+        F.count("*").alias("n"),
+        entry(F.lit(True)).alias("all"),
+        entry(F.col("low").isNull() | (F.col("v") < F.col("low"))).alias("falls"),
+        entry(F.col("high").isNull() | (F.col("v") > F.col("high"))).alias("rises"),
+    )
+    part = compensated_state(values(F.col("all")))
+    state = F.struct("range", part.alias("part"), values(F.col("falls")).alias("falls"), values(F.col("rises")).alias("rises"))
+    merged = states.groupBy("g").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(state)).alias("states"))
+    sums = F.flatten(F.transform("states", lambda x: F.array(x["part"]["s"], -x["part"]["c"])))
+    chain = lambda name: F.flatten(F.transform("states", lambda x: x[name]))
+    return merged.select(F.col("g").alias(group), "n", compensated_sum(sums).alias("total"), tolerant_min(chain("falls")).alias("least"), tolerant_max(chain("rises")).alias("most"))

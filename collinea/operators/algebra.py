@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from collinea.functions.scalars import is_nonzero
+from collinea.operators.joins import met_in_tiles
 
 
 def _checked(left: object, right: object) -> None:
@@ -14,10 +15,19 @@ def _checked(left: object, right: object) -> None:
         raise ValueError(f"shapes do not fit: {left} and {right}")
 
 
-def matmul(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Products meet on the inner key and are summed on the map side."""
+#: cells of one inner key that a block holds of either factor
+BLOCK_CELLS = 2_048
+
+
+def matmul(left: DataFrame, right: DataFrame, block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """Products meet on the inner key, block by block, and are summed on the map side.
+
+    The cells of an inner key are dealt to blocks of about ``block_cells`` on either side; each pair
+    of blocks makes its partial products, so a key that holds a whole column is many tasks' work.
+    """
+    a = left.select("r", "c", "v")
     b = right.select(F.col("r").alias("c"), F.col("c").alias("c2"), F.col("v").alias("v2"))
-    return left.join(b, "c").groupBy("r", F.col("c2").alias("c")).agg(F.sum(F.col("v") * F.col("v2")).alias("v")).filter(is_nonzero(F.col("v")))
+    return met_in_tiles(a, b, ["c"], block_cells).groupBy("r", F.col("c2").alias("c")).agg(F.sum(F.col("v") * F.col("v2")).alias("v")).filter(is_nonzero(F.col("v")))
 
 
 def add_scaled(left: DataFrame, right: DataFrame, alpha: float = 1.0) -> DataFrame:

@@ -16,7 +16,7 @@ meant for small matrices and as the yardstick. ``blocked`` turns the search into
 
 Column numbers come from the ``RANKED`` most frequent columns, which are dealt in turn so that the
 groups are of like weight, and from a hash for the others. What still meets under one key is
-dealt to tiles of at most ``TILE_ROWS`` rows a side, so no task holds a key's pairs alone.
+dealt to tiles of some ``TILE_ROWS`` rows a side, so no task holds a key's pairs alone.
 
 Signatures only propose candidates; each is verified by the distance itself. Rows that are
 parallel as a whole are one class first: classes meet, not rows, so a hot class of a third of
@@ -33,13 +33,14 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from collinea.functions.scalars import quantise
+from collinea.operators import joins
 from collinea.operators.distance import hamming, may_be_within, pair_distances, within_at
+from collinea.operators.joins import met_in_tiles
 from collinea.operators.reshape import sparse_rows
 from collinea.sources.workspace import cut
 
 PAIR = "i < j"
-KEY_ROWS = 64
-TILE_ROWS = 256
+KEY_ROWS = 32
 LEVELS = 4
 RANKED = 4_096
 
@@ -50,18 +51,6 @@ def scope_of(rows: DataFrame) -> Column:
     return F.col("r")["file"] if "file" in getattr(kind, "names", ()) else F.lit("")
 
 
-def met_in_tiles(left: DataFrame, right: DataFrame, on: list[str], most: int = TILE_ROWS) -> DataFrame:
-    """The equi-join of two sides, a key's rows dealt to tiles of about ``most`` rows a side.
-
-    Each row goes to all tiles of the other side, so a key's pairs are spread over tasks. Keys that
-    only one side holds are dropped before the sides move.
-    """
-    counts = left.groupBy(*on).agg(F.count("*").alias("n_left")).join(right.groupBy(*on).agg(F.count("*").alias("n_right")), on)
-    tiles = counts.select(*on, *(F.ceil(F.col(n) / most).cast("int").alias(t) for n, t in (("n_left", "tiles_left"), ("n_right", "tiles_right"))))
-    spread = lambda side, own, other, a, b: side.join(tiles, on).withColumn(a, F.pmod(F.xxhash64(*side.columns), F.col(own)).cast("int")).withColumn(b, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("tiles_left", "tiles_right")
-    return spread(left, "tiles_left", "tiles_right", "tile_a", "tile_b").join(spread(right, "tiles_right", "tiles_left", "tile_b", "tile_a"), [*on, "tile_a", "tile_b"]).drop("tile_a", "tile_b")
-
-
 def exhaustive(cells: DataFrame, d: int = 2) -> DataFrame:
     """(i, j, distance) with i < j and distance <= d, over all rows that hold a cell.
 
@@ -216,7 +205,7 @@ def _short_variants(rows: DataFrame, d: int, small: int) -> DataFrame:
     return each.select(key.alias("key"), "r", F.size("way.gone").alias("deleted"), F.size("way.blank").alias("blanked"), (F.col("nnz") <= small).alias("is_small"))
 
 
-def short_row_groups(cells: DataFrame, d: int = 2, small: int | None = None, most: int = TILE_ROWS) -> DataFrame:
+def short_row_groups(cells: DataFrame, d: int = 2, small: int | None = None, most: int = joins.TILE_ROWS) -> DataFrame:
     """(key, left, right, links): factorised candidates of short rows; every left row with every right row.
 
     Left and right are parts of the rows that reach a variant with few enough edits in all, of

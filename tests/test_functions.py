@@ -2,6 +2,8 @@
 
 import math
 
+import hashlib
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,44 @@ def test_histogram(spark):
     rows = spark.range(1, 5).withColumnRenamed("id", "r")
     assert {(r.r, r.nnz) for r in aggregates.row_nnz(cells, rows).collect()} == {(1, 2), (2, 1), (3, 1), (4, 0)}
     assert [r.c for r in aggregates.most_frequent(cells, "c", 1).collect()] == ["a"]
+
+
+def test_ordered_totals_merge_like_one_fold(spark):
+    rng = random.Random(8)
+    step = 0.6e-10
+    rows = [("a", k, 1.0 - step * k) for k in range(300)]  # falls by less than the tolerance each time
+    rows += [("b", k, rng.uniform(-5, 5)) for k in range(2000)] + [("c", 0, None), ("c", 1, 2.5)] + [("d", k, 1e16 if k == 0 else 1.0) for k in range(500)]
+    want = {}
+    for g in "abcd":
+        values = [v for name, _, v in sorted(rows, key=lambda r: (r[0], r[1])) if name == g and v is not None]
+        least = most = values[0]
+        for v in values:
+            least, most = v if v < least - 1e-10 else least, v if v > most + 1e-10 else most
+        want[g] = (len(values), math.fsum(values), least, most)
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    df = spark.createDataFrame(shuffled, "g string, k int, v double").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.g: r for r in aggregates.ordered_totals(df, "g", "k", "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for g, (n, total, least, most) in want.items():
+        assert (got[g].n, got[g].least, got[g].most) == (n, least, most) and got[g].total == pytest.approx(total, rel=1e-15)
+    assert aggregates.ordered_totals(df.limit(0), "g", "k", "v").count() == 0
+
+
+def test_product_with_a_hot_inner_key(spark):
+    a = spark.createDataFrame([(k, k % 2 * 7, float(k + 1)) for k in range(40)], "r long, c long, v double")
+    b = spark.createDataFrame([(k % 2 * 7, k, 2.0) for k in range(30)], "r long, c long, v double")
+    want = {(i, j): (i + 1) * 2.0 for i in range(40) for j in range(30) if i % 2 == j % 2}
+    for cells in (3, 1000):
+        assert {(r.r, r.c): r.v for r in algebra.matmul(a, b, cells).collect()} == want
+
+
+def test_portable_hashes(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None)], "c int, v double")
+    digest = hashlib.md5(b"1=20000000000").hexdigest()
+    assert df.select(scalars.portable_hash(scalars.cell_text(F.col("c"), F.col("v")))).first()[0] == int(digest[:15], 16)
+    cells = df.agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("cells"))
+    assert cells.select(scalars.ordered_hash(F.col("cells"))).first()[0] == hashlib.md5(b"1=20000000000 2=").hexdigest()

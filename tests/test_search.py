@@ -121,3 +121,58 @@ def test_empty_rows_and_reports(spark):
     assert [r.line for r in report.dense_lines(cells, [0, 1, 2], "-", "%.0f").orderBy("r").collect()] == ["{1, -, 2},", "{3, -, 6},"]
     with pytest.raises(ValueError):
         source.from_lists(spark, [[1], [1, 2]])
+
+
+def candidates(spark, rows, d=2):
+    table = near_parallel.numbered_rows(as_cells(spark, rows))
+    return near_parallel.long_pairs(table, d, 2 * d, 2 * d, key_rows=8).select("i", "j").distinct().count()
+
+
+def test_candidates_grow_with_the_rows(spark):
+    """Sparse rows, of which many have few or no cells in a choice of groups; and one column that all rows hold.
+
+    Up to the bound of rows in a key their pairs are made, so the bound is low here.
+    """
+    rng = random.Random(5)
+    found = []
+    for n in (500, 2000):
+        rows = {k: {c: float(rng.randint(1, 9)) for c in rng.sample(range(1, 100_000), 6)} | {0: 1.0} for k in range(n)}
+        found.append(candidates(spark, rows))
+    assert found[1] <= 5 * max(found[0], 100)
+
+
+def test_hot_keys_lose_no_pair(spark):
+    rng = random.Random(6)
+    base = {c: 1.0 for c in range(8)}  # one key for most rows, and the longer keys for many
+    rows = {k: {**base, rng.randrange(8): float(rng.randint(1, 3)), rng.randrange(8, 12): 1.0} for k in range(70)}
+    want = brute(rows, 2)
+    for limit, levels in ((2, 1), (2, 3), (10, 2)):
+        table = near_parallel.numbered_rows(as_cells(spark, rows))
+        got = {(r.i, r.j) for r in near_parallel.long_pairs(table, 2, 4, 4, limit, levels).select("i", "j").distinct().collect()}
+        assert {(i, j) for i, j, _ in want} <= got
+
+
+def test_many_matrices_at_once(spark):
+    one, two = matrix(11, 25), matrix(12, 25)
+    keyed = [((name, r), (name, c), v) for name, rows in (("a", one), ("b", two)) for r, cells in rows.items() for c, v in cells.items()]
+    cells = spark.createDataFrame(keyed, "r struct<file:string,r:long>, c struct<file:string,c:long>, v double")
+    got = {(p.i.file, p.i.r, p.j.r, p.distance) for p in near_parallel.blocked(cells).collect()}
+    assert got == {("a", *x) for x in brute(one, 2)} | {("b", *x) for x in brute(two, 2)}
+
+
+def test_links_of_class_pairs(spark):
+    rows = {0: {0: 1.0, 1: 2.0, 2: 3.0}, 1: {0: 2.0, 1: 4.0, 2: 6.0}, 2: {0: 1.0, 1: 2.0, 3: 1.0}, 3: {0: 3.0, 1: 6.0, 3: 3.0}, 4: {9: 1.0, 8: 1.0, 7: 5.0}}
+    assert {tuple(r) for r in near_parallel.class_pairs(as_cells(spark, rows)).collect()} == {(0, 2, 2, 4)}
+
+
+def test_linear_vote_equals_the_distance_where_a_ratio_has_a_majority(spark):
+    rng = random.Random(3)
+    kind = "array<struct<c:long,v:double>>"
+    rows = []
+    for n in (1, 5, 40, 200):
+        for _ in range(20):
+            x = [(c, float(rng.randint(1, 9))) for c in range(n)]
+            off = set(rng.sample(range(n), rng.randint(0, (n - 1) // 2)))
+            rows.append((x, [(c, v * 2 + (c in off)) for c, v in x]))
+    df = spark.createDataFrame(rows, f"x {kind}, y {kind}")
+    assert df.filter(distance.majority_hamming(F.col("x"), F.col("y")) != distance.hamming(F.col("x"), F.col("y"))).count() == 0
