@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from collinea.functions.scalars import quantise
 from collinea.operators import joins
-from collinea.operators.distance import hamming, may_be_within, pair_distances, within_at
+from collinea.operators.distance import bound, hamming, may_be_within, pair_distances, within_at
 from collinea.operators.joins import met_in_tiles
 from collinea.operators.reshape import sparse_rows
 from collinea.sources.workspace import cut
@@ -143,10 +143,17 @@ def level_keys(rows: DataFrame, d: int, groups: int, level: int) -> DataFrame:
             held = held | F.get(F.get(chosen_groups, F.get("path", F.lit(at))), digit(cell, at))
         return held
 
-    each = rows.select("r", "nnz", "path", "cells", F.posexplode(chosen_groups).alias("mask", "_"))
-    part = each.withColumn("part", F.filter("cells", lambda cell: taken(cell, F.col("mask"))))
-    path = F.concat("path", F.array("mask"))
-    return part.select(F.xxhash64(scope_of(rows), path, signature(F.col("part"))).alias("key"), "r", "nnz", F.get("part", F.lit(0))["v"].alias("front"), path.alias("path"))
+    def keyed(mask: int) -> Column:
+        part = F.filter("cells", lambda cell: taken(cell, F.lit(mask)))
+        path = F.concat("path", F.array(F.lit(mask)))
+        # at the first level each choice has keys of its own, later ones differ by their cells alone
+        return bound(part, lambda part: F.struct(F.xxhash64(scope_of(rows), F.lit(-1 if level else mask), signature(part)).alias("key"), F.get(part, F.lit(0))["v"].alias("front"), path.alias("path")))
+
+    keys = F.array(*(keyed(mask) for mask in range(len(masks(d, groups)))))
+    if level:  # a choice that adds the cells of another, or none, is no other key
+        once = lambda keys, names: F.filter(keys, lambda x, at: F.array_position(names, x["key"]) == at + 1)
+        keys = bound(keys, lambda keys: bound(F.transform(keys, lambda x: x["key"]), lambda names: once(keys, names)))
+    return rows.select("r", "nnz", F.explode(keys).alias("k")).select("k.key", "r", "nnz", "k.front", "k.path")
 
 
 def long_pairs(rows: DataFrame, d: int, groups: int, small: int, key_rows: int = KEY_ROWS, levels: int = LEVELS, seen: list | None = None) -> DataFrame:
@@ -156,6 +163,9 @@ def long_pairs(rows: DataFrame, d: int, groups: int, small: int, key_rows: int =
     many pairs of rows share a key, by choice of groups.
     """
     going = rows.filter(F.col("nnz") > small).withColumn("path", F.array().cast("array<int>"))
+    most = rows.agg(F.max(F.array_max(F.transform("cells", lambda cell: cell["k"])))).first()[0] or 0
+    # column numbers have no more digits than that
+    levels = max(1, min(levels, next(n for n in range(1, 64) if groups**n > most)))
     found = []
     for level in range(levels):
         keys = cut(level_keys(going, d, groups, level), "long-keys")
@@ -254,7 +264,9 @@ def short_pairs(rows: DataFrame, d: int, small: int) -> DataFrame:
 def _candidates(rows: DataFrame, d: int, groups: int | None, small: int | None, seen: list | None = None) -> DataFrame:
     """(i, j, ratios): distinct pairs of rows from ``numbered_rows``; null ratios stand for unknown ones."""
     groups, small = 2 * d if groups is None else groups, 2 * d if small is None else small
-    pairs = long_pairs(rows, d, groups, small, seen=seen).unionByName(short_pairs(rows, d, small).withColumn("ratio", F.lit(None).cast("double")))
+    pairs = long_pairs(rows, d, groups, small, seen=seen)
+    if not rows.filter(F.col("nnz") <= small).isEmpty():
+        pairs = pairs.unionByName(short_pairs(rows, d, small).withColumn("ratio", F.lit(None).cast("double")))
     unknown = F.count("*") > F.count("ratio")
     return pairs.groupBy("i", "j").agg(F.collect_set("ratio").alias("known"), unknown.alias("unknown")).select("i", "j", F.when(~F.col("unknown"), F.col("known")).alias("ratios"))
 
