@@ -15,8 +15,8 @@ anchors at equal places. Runs of windows under one anchor travel as two hashes:
 Contexts lie in the sorted buffer with their anchors at multiples of the cover's period, so
 strings that may be equal have equal residues and one sample offset serves them.
 
-Defined results: null and empty texts have no bytes; texts under 100 bytes lose none; rows
-with a null id stay whole and lend no earlier string; equal rows with one id are one document;
+Defined results: null and empty texts have no bytes; texts under 100 bytes lose none; a row
+with a null id loses what repeats earlier in itself, and no other row has a part in that; equal rows with one id are one document;
 the unlike texts of one id are parts of it that matches don't cross, and of two equal strings in
 different parts the one in the part of lesser text hash counts as earlier; extra columns are
 ignored. A very long text is held whole, with a few 8-byte arrays over its bytes.
@@ -129,11 +129,11 @@ def _runs(docs: DataFrame, blocks: int) -> DataFrame:
                 yield _deal(entries[again], blocks + entries["doc"][again] % blocks)
 
         for batch in batches:
-            ids, parts = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("doc_id", "part"))
+            ids, parts, salts = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("key", "part", "salt"))
             for chunk in chunks(batch, "text", 1_000_000):
                 row, start, size, at, token, run = anchored_runs(chunk)
                 entries = np.empty(len(row), ENTRY)
-                entries["token"], entries["run"], entries["doc"] = token, run, ids[chunk.lo + row]
+                entries["token"], entries["run"], entries["doc"] = token ^ salts[chunk.lo + row].view(np.uint64), run, ids[chunk.lo + row]
                 entries["part"] = parts[chunk.lo + row]
                 entries["at"], entries["size"], entries["turn"] = start - chunk.offsets[row], size, at - start
                 held.append(entries)
@@ -159,7 +159,7 @@ def _runs(docs: DataFrame, blocks: int) -> DataFrame:
         columns = [kind, *(entries[name].astype(np.int64) for name in ("doc", "part", "at", "size", "turn"))]
         return pa.table([pa.array(c) for c in columns], ["kind", "doc", "part", "at", "size", "turn"])
 
-    dealt = docs.select("doc_id", "part", "text").mapInArrow(deal, "block int, " + ", ".join(f"{name} binary" for name in ENTRY.names))
+    dealt = docs.select("key", "part", "salt", "text").mapInArrow(deal, "block int, " + ", ".join(f"{name} binary" for name in ENTRY.names))
     return dealt.groupBy("block").applyInArrow(settle, "kind long, doc long, part long, at long, size long, turn long")
 
 
@@ -171,14 +171,14 @@ def _contexts(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
     """
     half = (LENGTH - ANCHOR) // 2
     wanted = open_runs.groupBy("doc", "part").agg(F.collect_list(F.struct("at", "size", "turn")).alias("runs"))
-    joined = docs.join(wanted.withColumnRenamed("doc", "doc_id"), ["doc_id", "part"]).select("doc_id", "part", "text", "runs")
+    joined = docs.join(wanted.withColumnRenamed("doc", "key"), ["key", "part"]).select("key", "part", "salt", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = batch.column("runs")
             lists, values = np.asarray(runs.offsets), runs.values
             at, size, turn = (np.asarray(values.field(k)) for k in range(3))
-            ids, parts = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("doc_id", "part"))
+            ids, parts, salts = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("key", "part", "salt"))
             for chunk in chunks(batch, "text", 1_000_000):
                 lo, hi = int(lists[chunk.lo]), int(lists[chunk.hi])
                 row = np.repeat(np.arange(chunk.rows), np.diff(lists[chunk.lo : chunk.hi + 1]))
@@ -193,7 +193,7 @@ def _contexts(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
                         continue
                     a, b, p = a[here], b[here], anchor[here]
                     shared = hashes.of(p, p + LENGTH - half) if side == 0 else hashes.of(p - half - 1, p + ANCHOR)
-                    bucket = mix(shared ^ np.uint64(side + 1)).view(np.int64)
+                    bucket = mix(shared ^ np.uint64(side + 1) ^ salts[chunk.lo + row[here]].view(np.uint64)).view(np.int64)
                     content = pa.array([raw[x : y + LENGTH] for x, y in zip(a.tolist(), b.tolist())], pa.binary())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(bucket), pa.array(ids[chunk.lo + row[here]].astype(np.int64)), pa.array(parts[chunk.lo + row[here]].astype(np.int64)), pa.array(a - base[here]), pa.array(b - a + 1), pa.array(p - a), content], ["bucket", "doc", "part", "at", "size", "turn", "content"]
@@ -294,18 +294,26 @@ def _settled_contexts(contexts: DataFrame) -> DataFrame:
 
 
 def _parted(docs: DataFrame) -> DataFrame:
-    """doc_id, text and part of each row: 0, or the text's hash where the id stands for several texts."""
+    """doc_id, text and how a row takes part: key, part, salt.
+
+    ``part`` is 0, or the text's hash where the id stands for several texts. Rows without an id have a
+    key of their own and a salt for each text, which keeps their strings from all others.
+    """
     source = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    lone = F.col("doc_id").isNull()
     several = source.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high")).filter("low != high").select("doc_id")
-    if several.isEmpty():
-        return source.withColumn("part", F.lit(0).cast("long"))
-    marked = source.join(several.withColumn("clash", F.lit(True)), "doc_id", "left")
-    return marked.select("doc_id", "text", F.when(F.col("clash"), F.xxhash64("text")).otherwise(0).alias("part"))
+    clash = F.lit(False)
+    if not several.isEmpty():
+        source = source.join(several.withColumn("clash", F.lit(True)), "doc_id", "left")
+        clash = F.coalesce("clash", F.lit(False))
+    own = F.xxhash64(F.lit("without an id"), "text")
+    part = F.when(lone, own).when(clash, F.xxhash64("text")).otherwise(0)
+    return source.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("key"), part.alias("part"), F.when(lone, own).otherwise(0).alias("salt"))
 
 
 def repeated_spans(parted: DataFrame) -> DataFrame:
     """(doc, part, start, end) byte spans that hold every byte to remove; spans may overlap."""
-    docs = parted.filter("doc_id is not null")
+    docs = parted
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total * 2 // (LENGTH - ANCHOR + 2)) // BLOCK_ENTRIES + 1
     runs = cut(_runs(docs, blocks), "suffix-runs")
@@ -318,7 +326,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with the kept bytes if asked."""
     source = _parted(docs)
     spans = cut(repeated_spans(source), "suffix-spans").groupBy("doc", "part").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    joined = source.join(spans.withColumnRenamed("doc", "doc_id"), ["doc_id", "part"], "left").select("doc_id", "text", "starts", "ends")
+    joined = source.join(spans.withColumnRenamed("doc", "key"), ["key", "part"], "left").select("doc_id", "text", "starts", "ends")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

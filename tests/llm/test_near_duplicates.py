@@ -117,17 +117,17 @@ def test_suffix_dedup(spark):
     phrase = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(40, 400))) for _ in range(20)]
     parts = [lambda: rng.choice(phrase), lambda: "".join(rng.choice("abc ") for _ in range(rng.randint(0, 80))), lambda: "ab" * rng.randint(1, 120), lambda: rng.choice(phrase)[rng.randint(0, 30) :][: rng.randint(50, 200)]]
     rows = [(d, "".join(rng.choice(parts)() for _ in range(rng.randint(0, 6))) if d % 37 else None) for d in range(150)]
-    extra = [(None, phrase[0] * 3), (None, phrase[0] * 3)]
+    extra = [(None, phrase[0] * 3), (None, phrase[0] * 3), (None, "x" + phrase[0] + phrase[1]), (None, "ab" * 90)]
     docs = spark.createDataFrame([(a, b, 1) for a, b in rows + extra], "doc_id long, text string, kind long").repartition(5)
     got = S.remove_repeats(docs, with_text=True).collect()
-    assert len(got) == len(rows) + 2
+    assert len(got) == len(rows) + 4
     want = removed_brute(rows)
+    alone = sorted(removed_brute([(0, text)])[0] for _, text in extra)  # without an id: repeats in itself only
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got if r.doc_id is None) == alone and alone[-1][1] > 0
     for r in got:
-        if r.doc_id is None:
-            assert r.n_removed == 0
-        else:
+        assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
+        if r.doc_id is not None:
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
-            assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
 
 
 def test_suffix_dedup_edges(spark):
