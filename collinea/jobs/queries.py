@@ -475,7 +475,7 @@ def slice_cells(spark, d):
 @query(with_cells("numbered", "SELECT r, c, v FROM cell WHERE NOT (r < 5 AND c < 2) UNION ALL SELECT r - 10, c - 2, v FROM cell WHERE r >= 10 AND r < 15 AND c >= 2 AND c < 4"))
 def assign_slice(spark, d):
     cells = numbered_nations(spark, d)
-    return reshape.assign_slice(cells, reshape.slice_cells(cells, 10, 15, 2, 4), 0, 0, Shape(5, 2))
+    return reshape.assign_slice(cells, reshape.slice_cells(cells, 10, 15, 2, 4), 0, 0, Shape(5, 2), NATIONS)
 
 
 @query(with_cells("numbered", "SELECT CASE WHEN r < 5 THEN r + 10 WHEN r >= 10 AND r < 15 THEN r - 10 ELSE r END AS r, c, v FROM cell"))
@@ -488,10 +488,43 @@ def identity(spark, d):
     return source.identity(table(spark, d, "orders"), "o_custkey")
 
 
-@query(with_cells("orders", "SELECT true AS equal"))
+@query(
+    with_cells(
+        "numbered",
+        """, s AS (SELECT unnest(range(max(r) + 1)) AS r FROM cell), t AS (SELECT unnest(range(max(c) + 1)) AS c FROM cell)
+SELECT s.r::BIGINT AS r, t.c::BIGINT AS c, coalesce(cell.v, 0) + 2 AS v FROM s CROSS JOIN t LEFT JOIN cell ON cell.r = s.r AND cell.c = t.c""",
+    )
+)
+def constant(spark, d):
+    """The numbered nation matrix plus a constant matrix of its shape."""
+    cells = numbered_nations(spark, d)
+    return algebra.add(cells, source.constant(spark, source.shape_of(cells), 2.0))
+
+
+@query(with_cells("numbered", "SELECT r, c, v - CASE WHEN r = (SELECT max(r) FROM cell) AND c = (SELECT max(c) FROM cell) THEN 1 ELSE 0 END AS v FROM cell"))
+def unit(spark, d):
+    """The matrix less one at its last place, which the shape names."""
+    cells = numbered_nations(spark, d)
+    shape = source.shape_of(cells)
+    return algebra.subtract(cells, source.unit(spark, shape, shape.height - 1, shape.width - 1))
+
+
+@query("SELECT max(l_partkey) + 1 AS height, max(l_linenumber)::BIGINT + 1 AS width FROM lineitem")
+def shape(spark, d):
+    """Height and width of the part matrix, as far as its cells show them."""
+    found = source.shape_of(part_cells(spark, d))
+    return spark.createDataFrame([(found.height, found.width)], "height long, width long")
+
+
+_UNEQUAL = "EXISTS (SELECT * FROM cell EXCEPT SELECT * FROM {0}) OR EXISTS (SELECT * FROM {0} EXCEPT SELECT * FROM cell)"
+
+
+@query(with_cells("nations", OTHER + f"SELECT 'rich' AS name, NOT ({_UNEQUAL.format('other')}) AS equal UNION ALL SELECT 'turned twice', NOT ({_UNEQUAL.format('cell')})"))
 def mat_equal(spark, d):
-    cells = order_cells(spark, d)
-    return algebra.equal(cells, reshape.transpose(reshape.transpose(cells)))
+    """Nations against those of customers with money, and against themselves turned twice."""
+    cells = nation_cells(spark, d)
+    named = lambda name, other: algebra.equal(cells, other).select(F.lit(name).alias("name"), "equal")
+    return named("rich", rich_cells(spark, d)).unionByName(named("turned twice", reshape.transpose(reshape.transpose(cells))))
 
 
 @query(with_cells("numbered", "SELECT r, c, v FROM cell UNION ALL SELECT r, 5, sum(v) FROM cell GROUP BY r"))
@@ -512,9 +545,7 @@ def nonzero_count(spark, d):
 
 @query(with_cells("lineitem", "SELECT count(*)::DOUBLE / ((SELECT count(DISTINCT l_orderkey) FROM lineitem) * (SELECT count(DISTINCT l_suppkey) FROM lineitem)) AS density FROM cell"))
 def density(spark, d):
-    cells = lineitem_cells(spark, d)
-    shape = cells.select("r").distinct().agg(F.count("*").alias("height")).crossJoin(cells.select("c").distinct().agg(F.count("*").alias("width")))
-    return cells.agg(F.count("*").alias("n")).crossJoin(shape).select(F.try_divide(F.col("n").cast("double"), F.col("height") * F.col("width")).alias("density"))
+    return algebra.density(lineitem_cells(spark, d), F.count_distinct("r"), F.count_distinct("c"))
 
 
 # ------------------------------------------------------------------ aggregates

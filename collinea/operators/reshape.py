@@ -40,10 +40,17 @@ def slice_cells(cells: DataFrame, r0: int, r1: int, c0: int, c1: int, shape: Sha
     return cells.filter(inside).select((F.col("r") - r0).alias("r"), (F.col("c") - c0).alias("c"), "v")
 
 
-def assign_slice(cells: DataFrame, part: DataFrame, r0: int, c0: int, part_shape: Shape) -> DataFrame:
-    """The cells with a block replaced by ``part``."""
+def assign_slice(cells: DataFrame, part: DataFrame, r0: int, c0: int, part_shape: Shape, shape: Shape | None = None) -> DataFrame:
+    """The cells with a block replaced by ``part``.
+
+    A block that leaves ``shape`` is an error, and so is a cell of ``part`` outside of ``part_shape``.
+    """
+    if r0 < 0 or c0 < 0 or (shape and (r0 + part_shape.height > shape.height or c0 + part_shape.width > shape.width)):
+        raise IndexError("the block leaves the matrix")
     inside = F.col("r").between(r0, r0 + part_shape.height - 1) & F.col("c").between(c0, c0 + part_shape.width - 1)
-    return cells.filter(~inside).unionByName(part.select((F.col("r") + r0).alias("r"), (F.col("c") + c0).alias("c"), "v"))
+    fits = F.col("r").between(0, part_shape.height - 1) & F.col("c").between(0, part_shape.width - 1)
+    value = F.when(fits, F.col("v")).otherwise(F.raise_error(F.lit("a cell outside of the block's shape")).cast("double"))
+    return cells.filter(~inside).unionByName(part.select((F.col("r") + r0).alias("r"), (F.col("c") + c0).alias("c"), value.alias("v")))
 
 
 def swap_slices(cells: DataFrame, r0: int, c0: int, r1: int, c1: int, shape: Shape) -> DataFrame:

@@ -141,3 +141,14 @@ def test_portable_hashes(spark):
     assert df.select(scalars.portable_hash(scalars.cell_text(F.col("c"), F.col("v")))).first()[0] == int(digest[:15], 16)
     cells = df.agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("cells"))
     assert cells.select(scalars.ordered_hash(F.col("cells"))).first()[0] == hashlib.md5(b"1=20000000000 2=").hexdigest()
+
+
+def test_assigned_blocks_are_checked(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (1, 1, 2.0)], "r long, c long, v double")
+    part = spark.createDataFrame([(0, 0, 5.0)], "r long, c long, v double")
+    assert {tuple(r) for r in reshape.assign_slice(cells, part, 1, 1, Shape(1, 1), Shape(2, 2)).collect()} == {(0, 0, 1.0), (1, 1, 5.0)}
+    with pytest.raises(IndexError):
+        reshape.assign_slice(cells, part, 2, 0, Shape(1, 1), Shape(2, 2))
+    wide = spark.createDataFrame([(0, 3, 5.0)], "r long, c long, v double")
+    with pytest.raises(Exception, match="outside"):
+        reshape.assign_slice(cells, wide, 0, 0, Shape(1, 1), Shape(2, 2)).collect()
