@@ -5,8 +5,9 @@ All counts are exact and taken in column blocks, packed arrays of a bounded numb
 
 1. A row reaches the threshold with another only if ``ceil(t n)`` of its columns are shared.
    A fixed range of column hashes (``LOW`` of all) is counted over all rows first; a row with
-   more unshared columns there than the size bound allows is discarded. The whole columns of
-   the rest, the open rows, are multiplied.
+   more unshared columns there than the size bound allows is discarded. Rows of at most
+   ``WHOLE_ROWS`` shingles are judged by all columns; rows that may be linked with such a one
+   are counted in all columns, too. The whole columns of the rest, the open rows, are multiplied.
 2. In each block every row meets the least and the greatest row of each of its columns, and
    overlaps are accumulated over the blocks. A count that reaches what the sizes ask for is a
    link, links form groups; counts of at least half of it form areas, which hold the groups.
@@ -48,7 +49,7 @@ PERCENT = 75
 HASHED_BYTES = 1_000_000
 #: the share of column hashes that is counted for all rows; it must exceed 1 - threshold
 LOW = 0.375
-#: rows of at most so many shingles show all their columns in the first count
+#: rows of at most so many shingles are judged by all their columns in the first count
 WHOLE_ROWS = 256
 #: entries of a column block, and those that a task holds before it deals them to blocks
 BLOCK_ENTRIES = 250_000
@@ -101,25 +102,38 @@ def set_signatures(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, n
     return (a[edges[1:]] - a[edges[:-1]]).view(np.int64), (b[edges[1:]] - b[edges[:-1]]).view(np.int64)
 
 
-def shown(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """How many leading columns of each row belong to the first count."""
-    low = np.concatenate([[0], np.cumsum(hashes < np.uint64(int(LOW * (1 << 64))))])
+#: column hashes below are counted for all rows
+LOW_END = np.uint64(int(LOW * (1 << 64)))
+
+
+def judged(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """By how many leading columns each row is judged in the first count."""
+    low = np.concatenate([[0], np.cumsum(hashes < LOW_END)])
     n = np.diff(edges)
     return np.where(n <= WHOLE_ROWS, n, low[edges[1:]] - low[edges[:-1]])
 
 
-def row_table(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, shown columns and set signatures of each row."""
+def shown(hashes: np.ndarray, edges: np.ndarray, percent: int) -> np.ndarray:
+    """How many leading columns of each row belong to the first count.
+
+    A row judged by all its columns must see all columns of any row that it may be linked with.
+    """
+    n = np.diff(edges)
+    return np.where(percent * n <= 100 * WHOLE_ROWS, n, judged(hashes, edges))
+
+
+def row_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, shown and judged columns and set signatures of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch, "text", HASHED_BYTES):
                 hashes, edges = shingle_sets(chunk, words)
                 a, b = set_signatures(hashes, edges)
-                columns = [np.diff(edges).astype(np.int64), shown(hashes, edges).astype(np.int64), a, b]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.lo, chunk.rows), *map(pa.array, columns)], ["doc_id", "n_shingles", "n_shown", "set_a", "set_b"])
+                columns = [np.diff(edges).astype(np.int64), shown(hashes, edges, percent).astype(np.int64), judged(hashes, edges).astype(np.int64), a, b]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.lo, chunk.rows), *map(pa.array, columns)], ["doc_id", "n_shingles", "n_shown", "n_judged", "set_a", "set_b"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, n_shown long, set_a long, set_b long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, n_shown long, n_judged long, set_a long, set_b long")
 
 
 def node_of(several: bool | Column, doc_id: object, set_a: object) -> object:
@@ -182,19 +196,20 @@ def block_columns(block: pa.Table) -> tuple[np.ndarray, ...]:
     return token, doc, n, np.cumsum(new) - 1, first, np.append(first[1:], len(token))[: len(first)] - 1
 
 
-def shared_counts(docs: DataFrame, blocks: int, words: int) -> DataFrame:
-    """(doc, shared): how many of a row's shown columns another row has, too."""
+def shared_counts(docs: DataFrame, blocks: int, words: int, percent: int) -> DataFrame:
+    """(doc, shared): how many of the columns that a row is judged by another row has, too."""
 
     def read(batch: pa.RecordBatch):
         for chunk in chunks(batch, "text", HASHED_BYTES):
             hashes, edges = shingle_sets(chunk, words)
-            until = edges[:-1] + shown(hashes, edges)
+            until, whole = edges[:-1] + shown(hashes, edges, percent), (judged(hashes, edges) == np.diff(edges)).tolist()
             ids, several, signature = batch.column("doc_id").slice(chunk.lo, chunk.rows).to_pylist(), batch.column("several").slice(chunk.lo, chunk.rows).to_pylist(), set_signatures(hashes, edges)[0]
             for k, (a, b) in enumerate(zip(edges[:-1].tolist(), until.tolist())):
-                yield node_of(several[k], ids[k], signature[k]), 0, hashes[a:b]
+                yield node_of(several[k], ids[k], signature[k]), whole[k], hashes[a:b]
 
     def count(block: pa.Table) -> pa.Table:
-        doc, n = np.unique(block_columns(block)[1], return_counts=True)
+        token, doc, whole = block_columns(block)[:3]
+        doc, n = np.unique(doc[(whole > 0) | (token < LOW_END)], return_counts=True)
         return pa.table([pa.array(doc), pa.array(n)], ["doc", "shared"])
 
     counted = dealt(docs, blocks, read).groupBy("block").applyInArrow(count, "doc long, shared long")
@@ -504,10 +519,10 @@ def merged(nodes: DataFrame, group: DataFrame, upper: DataFrame) -> DataFrame:
 
 
 def open_row_groups(source: DataFrame, members: DataFrame, own_links: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, component) of linked sets; ``members`` holds each set's node, size and shown columns."""
+    """(node, component) of linked sets; ``members`` holds each set's node, size, shown and judged columns."""
     blocks = lambda entries: int((entries or 0) // BLOCK_ENTRIES) + 1
-    counts = shared_counts(source, blocks(members.agg(F.sum("n_shown")).first()[0]), words)
-    unshared = F.col("n_shown") - F.coalesce("shared", F.lit(0))
+    counts = shared_counts(source, blocks(members.agg(F.sum("n_shown")).first()[0]), words, percent)
+    unshared = F.col("n_judged") - F.coalesce("shared", F.lit(0))
     opened = members.join(counts.withColumnRenamed("doc", "node"), "node", "left").filter(F.col("n_shingles") - unshared >= row_need(F.col("n_shingles"), percent))
     opened = cut(opened.select("node", "doc_id", "n_shingles"), "jaccard-open")
     ids = opened.select("doc_id").distinct()
@@ -546,22 +561,22 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     if 100 * LOW <= 100 - percent:
         raise ValueError("LOW must exceed 1 - percent / 100")
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    rows = cut(row_table(docs, words), "jaccard-rows")
+    rows = cut(row_table(docs, words, percent), "jaccard-rows")
     key = ["set_a", "set_b", "n_shingles"]
     filled = rows.filter("n_shingles > 0 and doc_id is not null")
     several = cut(filled.groupBy("doc_id").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high")).filter("low < high").select("doc_id", F.lit(True).alias("several")), "jaccard-several")
     # one node for each set: its least id, unless that id stands for several sets
-    least = filled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("n_shown").alias("n_shown"))
+    least = filled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("n_shown").alias("n_shown"), F.max("n_judged").alias("n_judged"))
     flagged = least.join(several.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    classes = cut(flagged.select(*key, "rep", "n_shown", node_of(F.coalesce("several", F.lit(False)), F.col("rep"), F.col("set_a")).alias("node")), "jaccard-classes")
-    named = rows.select("doc_id", *key).join(classes.drop("n_shown"), key, "left")
+    classes = cut(flagged.select(*key, "rep", "n_shown", "n_judged", node_of(F.coalesce("several", F.lit(False)), F.col("rep"), F.col("set_a")).alias("node")), "jaccard-classes")
+    named = rows.select("doc_id", *key).join(classes.drop("n_shown", "n_judged"), key, "left")
     of_one = named.join(several, "doc_id", "left_semi").filter("node is not null")
     own_links = of_one.join(of_one.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).filter("a < b").distinct()
 
     reps = cut(classes.select(F.col("rep").alias("doc_id")).distinct(), "jaccard-reps")
     copies = cut(filled.select("doc_id").distinct().join(reps, "doc_id", "left_anti"), "jaccard-copies")
     source = docs.filter("doc_id is not null").join(bounded(copies), "doc_id", "left_anti").join(bounded(several), "doc_id", "left").withColumn("several", F.coalesce("several", F.lit(False)))
-    groups = open_row_groups(source, classes.select("node", F.col("rep").alias("doc_id"), "n_shingles", "n_shown"), own_links, words, percent)
+    groups = open_row_groups(source, classes.select("node", F.col("rep").alias("doc_id"), "n_shingles", "n_shown", "n_judged"), own_links, words, percent)
 
     found = named.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     label = found.filter("doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("least"))

@@ -61,6 +61,20 @@ def near_texts(seed):
     return rows
 
 
+def test_rows_on_either_side_of_the_whole_row_bound_are_linked(spark):
+    """The short one of a pair is judged by all its columns, so the long one must show all of its."""
+    words = [f"w{k}" for k in range(700)]
+    rows = []
+    for at, (short, long) in enumerate(((254, 304), (260, 345), (255, 270), (300, 390))):
+        mark = [f"{w}x{at}" for w in words]
+        rows += [(10 * at, " ".join(mark[:short])), (10 * at + 1, " ".join(mark[:long]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {doc: shingles(text) for doc, text in rows}
+    want = groups(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    assert len(set(want.values())) == 4
+    assert {r.doc_id: r.component_id for r in J.link_documents(docs).collect()} == want
+
+
 def test_jaccard_components(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_ENTRIES", 4000)
     monkeypatch.setattr(J, "EXPANDED", 50)
