@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from collinea.operators import distance, near_parallel, report, reshape
+from collinea.operators import distance, meeting, near_parallel, report, reshape
 from collinea.sources import cells as source
 
 VECTORS = [
@@ -176,3 +176,37 @@ def test_linear_vote_equals_the_distance_where_a_ratio_has_a_majority(spark):
             rows.append((x, [(c, v * 2 + (c in off)) for c, v in x]))
     df = spark.createDataFrame(rows, f"x {kind}, y {kind}")
     assert df.filter(distance.majority_hamming(F.col("x"), F.col("y")) != distance.hamming(F.col("x"), F.col("y"))).count() == 0
+
+
+@pytest.mark.parametrize("width", [14, 60])
+def test_rows_are_measured_where_they_meet(spark, width):
+    """Dense and sparse groups, hot keys in tiles, both kinds of keys: the pairs of the definition."""
+    rows = {k: {c * (width // 14): v for c, v in cells.items()} | ({100 + k % 9: 1.0} if width > 14 else {}) for k, cells in matrix(21, 70).items()}
+    table = reshape.sparse_rows(as_cells(spark, rows))
+    way = lambda sym, side: table.select(F.lit(7 + sym).cast("long").alias("key"), F.lit(bool(sym)).alias("sym"), F.lit(side).alias("side"), (F.col("r") % 3 == 0).alias("home"), "r")
+    want = {(i, j, far) for i, j, far in brute(rows, 2) if i % 3 == 0 or j % 3 == 0}
+    assert len(want) > 20
+    assert pairs(meeting.near(way(1, 0), table, 2, tile_rows=8)) == want
+    both = way(0, 0).filter("r < 30").unionByName(way(0, 1).filter("r >= 30"))
+    assert pairs(meeting.near(both, table, 2, tile_rows=8)) == {x for x in want if x[0] < 30 <= x[1]}
+    few = {x for x in want if 6 <= len(rows[x[0]]) + len(rows[x[1]]) <= 9}
+    assert pairs(meeting.near(way(1, 0), table, 2, 6, 9)) == few
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_tables_are_not_broadcast_by_their_file_size(spark):
+    """A file of equal rows is a hundredth of its rows, which would all go through the driver."""
+    cells = spark.range(4000).selectExpr("id as r", "explode(sequence(0L, 6L)) as c").selectExpr("r", "c", "1.0D + (r % 20) * c as v")
+    assert "Broadcast" not in plan(near_parallel.class_pairs(cells)) and "Broadcast" not in plan(near_parallel.blocked(cells))
+
+
+def test_equal_rows_are_expanded_not_measured(spark):
+    """Three thousand equal rows meet as one row; a part of the others is near them."""
+    rows = {k: {0: 1.0, 1: 2.0, 2: 3.0, 3: 5.0, 4: 7.0} for k in range(3000)} | {5000: {0: 1.0, 1: 2.0, 2: 3.0, 3: 5.0, 9: 1.0}, 5001: {7: 1.0, 8: 2.0, 9: 9.0}}
+    found = near_parallel.blocked(as_cells(spark, rows))
+    assert {tuple(r) for r in found.groupBy("distance").count().collect()} == {(0, 3000 * 2999 // 2), (2, 3000)}
+    near, copies = near_parallel.unlike_pairs(as_cells(spark, rows))
+    assert pairs(near) == {(0, 5000, 2)} and copies.count() == 3002
