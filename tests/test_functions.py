@@ -152,3 +152,22 @@ def test_assigned_blocks_are_checked(spark):
     wide = spark.createDataFrame([(0, 3, 5.0)], "r long, c long, v double")
     with pytest.raises(Exception, match="outside"):
         reshape.assign_slice(cells, wide, 0, 0, Shape(1, 1), Shape(2, 2)).collect()
+
+
+def test_dense_factors_meet_by_panels(spark):
+    """Few inner keys that most rows hold: no partial product is shuffled, and infinite cells keep their places."""
+    rng = random.Random(8)
+    a = {(r, c): float(rng.randint(-3, 3) or 1) for r in range(40) for c in range(7) if rng.random() < 0.8}
+    b = {(c, f"k{x}"): float(rng.randint(-3, 3) or 1) for c in range(7) for x in range(30) if rng.random() < 0.8}
+    table = lambda cells, kinds: spark.createDataFrame([(*at, v) for at, v in cells.items()], kinds)
+    left, right = table(a, "r long, c long, v double"), table(b, "r long, c string, v double")
+    want = {}
+    for (r, c), v in a.items():
+        for (c1, x), w in b.items():
+            if c == c1:
+                want[r, x] = want.get((r, x), 0.0) + v * w
+    made = algebra.matmul(left, right, panel_rows=16)
+    assert {(x.r, x.c): x.v for x in made.collect()} == {at: v for at, v in want.items() if v}
+    assert "sum(" not in made._jdf.queryExecution().executedPlan().toString()
+    odd = left.unionByName(spark.createDataFrame([(99, 0, float("inf"))], "r long, c long, v double"))
+    assert {(x.r, x.c) for x in algebra.matmul(odd, right, panel_rows=16).collect() if x.r == 99} == {(99, x) for c, x in b if c == 0}
