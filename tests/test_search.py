@@ -210,3 +210,39 @@ def test_equal_rows_are_expanded_not_measured(spark):
     assert {tuple(r) for r in found.groupBy("distance").count().collect()} == {(0, 3000 * 2999 // 2), (2, 3000)}
     near, copies = near_parallel.unlike_pairs(as_cells(spark, rows))
     assert pairs(near) == {(0, 5000, 2)} and copies.count() == 3002
+
+
+def test_small_matrices_of_a_batch_need_no_keys(spark, monkeypatch):
+    from collinea.jobs.batch import summary
+
+    named = {"a": as_cells(spark, matrix(5)), "b": as_cells(spark, matrix(6, 80))}
+    by_keys = {name: near_parallel.class_pairs(cells).agg(F.count("*"), F.coalesce(F.sum("links"), F.lit(0))).first() for name, cells in named.items()}
+    monkeypatch.setattr(near_parallel, "level_keys", lambda *_: pytest.fail("keys of a small matrix"))
+    found = {r.file: (r.class_pairs, r.links) for r in summary(named).collect()}
+    assert found == {name: tuple(one) for name, one in by_keys.items()}
+
+
+@pytest.mark.parametrize("band_classes", [0, 45, 1_000])
+def test_small_and_large_matrices_of_a_batch(spark, band_classes):
+    held = {"a": as_cells(spark, matrix(5)), "b": as_cells(spark, matrix(6, 30))}
+    want = {}
+    for name, cells in held.items():
+        n, links = near_parallel.class_pairs(cells).agg(F.count("*"), F.coalesce(F.sum("links"), F.lit(0))).first()
+        want[name] = (near_parallel.parallel_classes(cells).filter("r = rep").count(), n, links)
+    both = [cells.select(F.struct(F.lit(name).alias("file"), F.col("r").cast("string").alias("r")).alias("r"), F.struct(F.lit(name).alias("file"), F.col("c").cast("string").alias("c")).alias("c"), "v") for name, cells in held.items()]
+    found = near_parallel.class_tallies(both[0].unionByName(both[1]), band_classes=band_classes)
+    assert {r.file: (r.classes, r.class_pairs, r.links) for r in found.collect()} == want
+
+
+def test_links_are_made_where_pairs_are(spark):
+    found = near_parallel.class_pairs(as_cells(spark, {k: {k % 7: float(k)} for k in range(1, 40)}))
+    assert "n_i#" not in plan(found)
+    # seven columns of 6 or 5 rows: one class each, any two of them near
+    assert {(r.distance, r.links) for r in found.collect()} <= {(2, 25), (2, 30), (2, 36)} and found.count() == 21
+
+
+def test_pairs_of_single_cells(spark):
+    rows = {k: {k % 5: float(3 + k)} for k in range(60)}
+    held = reshape.sparse_rows(as_cells(spark, rows))
+    found = {(r.i, r.j): r.distance for r in near_parallel.single_cell_pairs(held, tile_rows=8).collect()}
+    assert found == {(i, j): 0 if i % 5 == j % 5 else 2 for i in range(60) for j in range(i + 1, 60)}
