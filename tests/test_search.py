@@ -246,3 +246,27 @@ def test_pairs_of_single_cells(spark):
     held = reshape.sparse_rows(as_cells(spark, rows))
     found = {(r.i, r.j): r.distance for r in near_parallel.single_cell_pairs(held, tile_rows=8).collect()}
     assert found == {(i, j): 0 if i % 5 == j % 5 else 2 for i in range(60) for j in range(i + 1, 60)}
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_expanded_rows_in_units_and_tiles(spark, text):
+    """Units, blocks and runs far smaller than the copies of a row: each pair once, in the order of its keys."""
+    held = {k: [k + 10 * n for n in range(1 + 9 * (k % 3))] for k in range(8)}
+    name = str if text else int
+    kind = "string" if text else "long"
+    copies = spark.createDataFrame([(name(r), name(k)) for k, rows in held.items() for r in rows], f"r {kind}, rep {kind}")
+    near = {(0, 1, 1), (0, 2, 2), (2, 5, 0), (4, 5, 1), (6, 7, 2)}
+    want = sorted((*sorted((name(a), name(b))), far) for i, j, far in near for a in held[i] for b in held[j])
+    want = sorted(want + [(*sorted((name(a), name(b))), 0) for rows in held.values() for a in rows for b in rows if a < b])
+    for sizes in ({}, {"held_rows": 4, "block_rows": 16, "block_units": 3}):
+        found = near_parallel.expanded(spark.createDataFrame([(name(i), name(j), far) for i, j, far in near], f"i {kind}, j {kind}, distance long"), copies, **sizes)
+        assert sorted(map(tuple, found.collect())) == want
+
+
+def test_expanded_pairs_are_written_in_runs(spark, tmp_path):
+    """Two hundred rows of twenty copies: a file of their pairs needs a fraction of a byte a pair, not one."""
+    copies = spark.range(200 * 20).selectExpr("id as r", "id % 200 as rep")
+    near = spark.range(200).selectExpr("id as i").join(spark.range(200).selectExpr("id as j")).filter("i < j and (i + j) % 5 < 2").withColumn("distance", (F.col("i") % 3).cast("long"))
+    near_parallel.expanded(near, copies).write.parquet(str(tmp_path / "pairs"))
+    written = sum(part.stat().st_size for part in (tmp_path / "pairs").glob("*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 3_222_000 and written < 0.6 * 3_222_000
