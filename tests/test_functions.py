@@ -171,3 +171,19 @@ def test_dense_factors_meet_by_panels(spark):
     assert "sum(" not in made._jdf.queryExecution().executedPlan().toString()
     odd = left.unionByName(spark.createDataFrame([(99, 0, float("inf"))], "r long, c long, v double"))
     assert {(x.r, x.c) for x in algebra.matmul(odd, right, panel_rows=16).collect() if x.r == 99} == {(99, x) for c, x in b if c == 0}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"panel_rows": 16, "panel_units": 3}])
+def test_equal_rows_are_multiplied_once_and_written_in_runs(spark, tmp_path, sizes):
+    """Forty kinds of rows, some hot: the product of the definition, a fraction of a byte a cell."""
+    cells = {r: {c: float(1 + (r % 40 * (c + 3)) % 11) for c in range(5) if (r % 40 + c) % 7} for r in range(40 * (30 if not sizes else 2))}
+    left = spark.createDataFrame([(r, c, v) for r, row in cells.items() for c, v in row.items()], "r long, c long, v double")
+    made = algebra.matmul(left, left.select(F.col("c").alias("r"), F.concat(F.lit("x"), F.col("r").cast("string")).alias("c"), "v"), **sizes)
+    made.write.parquet(str(tmp_path / "product"))
+    found = spark.read.parquet(str(tmp_path / "product"))
+    want = {(a % 40, b % 40): sum(v * cells[b][c] for c, v in cells[a].items() if c in cells[b]) for a in range(40) for b in range(40)}
+    kind = found.groupBy((F.col("r") % 40).alias("a"), (F.substring("c", 2, 9).cast("long") % 40).alias("b")).agg(F.min("v"), F.max("v"), F.count("*"), F.count_distinct("r", "c")).collect()
+    copies = (len(cells) // 40) ** 2
+    assert {(x.a, x.b): tuple(x)[2:] for x in kind} == {k: (v, v, copies, copies) for k, v in want.items() if v}
+    if not sizes:
+        assert sum(part.stat().st_size for part in (tmp_path / "product").glob("*.parquet")) < 0.7 * found.count()
