@@ -187,3 +187,12 @@ def test_equal_rows_are_multiplied_once_and_written_in_runs(spark, tmp_path, siz
     assert {(x.a, x.b): tuple(x)[2:] for x in kind} == {k: (v, v, copies, copies) for k, v in want.items() if v}
     if not sizes:
         assert sum(part.stat().st_size for part in (tmp_path / "product").glob("*.parquet")) < 0.7 * found.count()
+
+
+def test_quantise_rounds_as_a_decimal_does(spark):
+    rng = random.Random(9)
+    values = [0.0, -0.0, 5e-11, -5e-11, 4.9999999999999994e-11, 1.5e-10, -2.5e-10, math.nan, math.inf, -math.inf, 1e300, 9.3e8, -9.3e8, 922337203.6854775807, 450359.96273704955, None]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-12, 12) for _ in range(2000)] + [(rng.randint(-(10**7), 10**7) + 0.5) / 1e10 for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", scalars.quantise(F.col("v")).alias("q"), F.round(F.col("v") * scalars.GRID).try_cast("bigint").alias("want"))
+    assert df.filter("not (q <=> want)").collect() == []
+    assert "round(" not in df.select("v", "q")._jdf.queryExecution().executedPlan().toString()

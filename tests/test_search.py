@@ -277,3 +277,12 @@ def test_exhaustive_compares_unlike_rows_only(spark, monkeypatch):
     met, near = [], meeting.near
     monkeypatch.setattr(meeting, "near", lambda entries, rows, *more: met.append(rows.count()) or near(entries, rows, *more))
     assert pairs(near_parallel.exhaustive(as_cells(spark, rows))) == brute(rows, 2) and met == [4]
+
+
+def test_shapes_are_hashed_as_numbers(spark):
+    """Values of rows are numbers on the grid, columns as they are: no text is made for each cell of each row."""
+    rows = reshape.sparse_rows(as_cells(spark, matrix(4, 40)))
+    made = rows.select("r", F.xxhash64(near_parallel.shape_of(F.col("cells"))).alias("shape"), near_parallel.signature(F.col("cells")).alias("text"))
+    assert made.groupBy("text").agg(F.count_distinct("shape").alias("n")).filter("n > 1").isEmpty()
+    assert made.groupBy("shape").agg(F.count_distinct("text").alias("n")).filter("n > 1").isEmpty()
+    assert "as string" not in plan(near_parallel.class_rows(rows)) and "round(" not in plan(near_parallel.class_rows(rows))
