@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from collinea.operators import distance, meeting, near_parallel, report, reshape
 from collinea.sources import cells as source
+from collinea.sources.workspace import cut
 
 VECTORS = [
     ("0:1 1:1 2:1", "0:3 1:3 2:3", 0),
@@ -286,3 +287,11 @@ def test_shapes_are_hashed_as_numbers(spark):
     assert made.groupBy("text").agg(F.count_distinct("shape").alias("n")).filter("n > 1").isEmpty()
     assert made.groupBy("shape").agg(F.count_distinct("text").alias("n")).filter("n > 1").isEmpty()
     assert "as string" not in plan(near_parallel.class_rows(rows)) and "round(" not in plan(near_parallel.class_rows(rows))
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_variants_of_short_rows_are_made_without_a_shuffle(spark, d):
+    rows = cut(reshape.sparse_rows(as_cells(spark, matrix(8, 60))), "test-rows")
+    entries = near_parallel.short_entries(rows, d, 2 * d)
+    assert "Exchange" not in plan(entries) and "array_contains" not in plan(entries)
+    assert entries.count() == entries.distinct().count() > 0
